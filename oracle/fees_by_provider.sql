@@ -1,0 +1,7 @@
+SELECT liquidity_provider, token, sum(earned) AS fees_collected_usd
+FROM (SELECT liquidity_provider, token0_symbol AS token, sum(coalesce(amount0_usd, 0)) AS earned
+      FROM position_collected_fees WHERE block_timestamp > TIMESTAMP '2024-01-05 12:00:00' GROUP BY 1, 2
+      UNION
+      SELECT liquidity_provider, token1_symbol, sum(coalesce(amount0_usd, 0))
+      FROM position_collected_fees WHERE block_timestamp > TIMESTAMP '2024-01-05 12:00:00' GROUP BY 1, 2)
+WHERE liquidity_provider <> 7 GROUP BY 1, 2
