@@ -35,7 +35,7 @@ MANAGER = 7
 
 # Common table expressions shared by oracles, each using only those before it.
 FRAGMENTS = (
-    "edge_flags", "edge_bands", "day_bands", "edge_prices", "day_actions", "pool_value", "price_span",
+    "edge_flags", "edge_bands", "day_bands", "covered", "edge_prices", "day_actions", "pool_value", "price_span",
     "responses", "movements", "class_shares", "net_by_day", "holdings", "hour_state", "hour_value",
     "value_per_unit",
 )
@@ -411,7 +411,7 @@ OPERATORS: dict[str, Entry] = {
             "price_lower_1_0 price_upper_1_0 avg_price_rng open_price close_price",
         ),
     ),
-    "liquidity_at_bounds": Entry(_bounds, _digits("bound_liquidity", "price_bound_1_0")),
+    "liquidity_at_bounds": Entry(_bounds, _digits("bound_liquidity liquidity_below total_liquidity", "price_bound_1_0")),
     "central_band": Entry(
         lambda t: bnd.central_band(_bounds(t), ["blk_date", "pool_name"]),
         _digits("", "price_bound_1_0_min price_bound_1_0_max price_bound_0_1_min price_bound_0_1_max"),

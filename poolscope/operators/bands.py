@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rolling import price_slice, running_sum_sliced
-
 # Sums that are later subtracted from each other must not round, or a small band next to
 # a huge one would vanish. Totals beyond 10^20 raise an overflow error.
 _EXACT = "decimal(38,18)"
 
 
+def price_slice(price: str, per_octave: int = 64) -> Column:
+    """A slice number that never decreases with the price.
+
+    Slices depend on the price alone, so they need no pass over the data, and even the
+    full range of doubles has a bounded number of them.
+    """
+    x = F.col(price)
+    return (
+        F.when(x <= 0, F.lit(-1_000_000))
+        .when(F.isnan(x) | (x == float("inf")), F.lit(1_000_000))
+        .otherwise(F.floor(F.log2(x) * per_octave).cast("int"))
+    )
+
+
 def liquidity_at_bounds(
     bands: DataFrame,
     keys: Sequence[str],
@@ -21,15 +33,18 @@ def liquidity_at_bounds(
     upper: str = "price_upper_1_0",
     liquidity: str = "avg_liquidity",
     bound: str = "price_bound_1_0",
-    out: str = "bound_liquidity",
 ) -> DataFrame:
     """For every distinct band edge of a key, the liquidity of all bands that contain it.
 
+    Also gives the running total of that liquidity by rising edge (``liquidity_below``,
+    the edge included) and its total over the key (``total_liquidity``).
+
     A sweep: a band starts at its lower edge and ends just after its upper edge, so the
     liquidity at an edge is what started up to and including it minus what ended strictly
-    before it. No band is ever paired with an edge, and a pool with very many edges is
-    swept slice by slice.
+    before it. No band is ever paired with an edge. A key's edges are swept slice by slice;
+    only one summary row per slice meets in a task, to carry totals from slice to slice.
     """
+    keys = list(keys)
     amount = F.when(F.col(lower) <= F.col(upper), F.col(liquidity)).otherwise(0.0)
     amount = F.coalesce(amount, F.lit(0.0)).cast(_EXACT)
     zero = F.lit(0).cast(_EXACT)
@@ -48,19 +63,49 @@ def liquidity_at_bounds(
         .filter(F.col(bound).isNotNull())
         .withColumn("__slice", price_slice(bound))
     )
-    swept = running_sum_sliced(
-        edges, keys, bound, "__slice", {"__started": "__up", "__ended": "__down"}
+
+    in_slice = Window.partitionBy(*keys, "__slice").orderBy(bound)
+    swept = edges.withColumn(
+        "__local",
+        F.sum("__up").over(in_slice) - (F.sum("__down").over(in_slice) - F.col("__down")),
+    )
+
+    of_key = Window.partitionBy(*keys)
+    earlier = of_key.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (
+        swept.groupBy(*keys, "__slice")
+        .agg(
+            F.sum("__up").alias("__up"),
+            F.sum("__down").alias("__down"),
+            F.sum(F.col("__local").cast("double")).alias("__local"),
+            F.count("*").alias("__n"),
+        )
+        .withColumn(
+            "__carried",
+            F.coalesce(F.sum("__up").over(earlier) - F.sum("__down").over(earlier), zero),
+        )
+        # every edge of the slice also lies in the bands carried into it
+        .withColumn("__sum", F.col("__local") + F.col("__n") * F.col("__carried").cast("double"))
+        .select(
+            *keys,
+            "__slice",
+            "__carried",
+            F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("__before"),
+            F.sum("__sum").over(of_key).alias("total_liquidity"),
+        )
+    )
+
+    here = (F.col("__carried") + F.col("__local")).cast("double")
+    return (
+        swept.join(slices, [*keys, "__slice"])
+        .withColumn("bound_liquidity", here)
+        .withColumn("liquidity_below", F.col("__before") + F.sum("bound_liquidity").over(in_slice))
+        .select(*keys, bound, "bound_liquidity", "liquidity_below", "total_liquidity")
     )
-    covering = F.col("__started") - (F.col("__ended") - F.col("__down"))
-    return swept.select(*keys, bound, covering.cast(_EXACT).alias(out))
 
 
 def central_band(
-    bounds: DataFrame,
-    keys: Sequence[str],
-    trim: float = 0.1,
-    bound: str = "price_bound_1_0",
-    liquidity: str = "bound_liquidity",
+    bounds: DataFrame, keys: Sequence[str], trim: float = 0.1, bound: str = "price_bound_1_0"
 ) -> DataFrame:
     """The price band left after cutting ``trim`` of the liquidity at either end.
 
@@ -68,18 +113,10 @@ def central_band(
     above. The reciprocals keep their order of computation: the one called ``min`` is the
     reciprocal of the smallest bound, hence the larger number.
     """
-    rows = bounds.withColumn("__slice", price_slice(bound)).withColumn(
-        "__liq", F.col(liquidity).cast(_EXACT)
-    )
-    swept = running_sum_sliced(
-        rows, keys, bound, "__slice", {"__below": "__liq"}, totals={"__liq": "__total"}
-    )
-    total = F.col("__total").cast("double")
-    above = F.col("__total") - F.col("__below") + F.col("__liq")
-    from_below = F.try_divide(F.col("__below").cast("double"), total)
-    from_above = F.try_divide(above.cast("double"), total)
+    total, below = F.col("total_liquidity"), F.col("liquidity_below")
+    above = total - below + F.col("bound_liquidity")
     return (
-        swept.filter((from_below >= trim) & (from_above >= trim))
+        bounds.filter((F.try_divide(below, total) >= trim) & (F.try_divide(above, total) >= trim))
         .groupBy(*keys)
         .agg(F.min(bound).alias("price_bound_1_0_min"), F.max(bound).alias("price_bound_1_0_max"))
         .withColumn("price_bound_0_1_min", F.try_divide(F.lit(1.0), F.col("price_bound_1_0_min")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALT = "__salt"
@@ -17,6 +18,16 @@ def _default_salts(df: DataFrame) -> int:
     return max(2, min(64, partitions // 3))
 
 
+def keep_listed(df: DataFrame, listed: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows of ``df`` whose key is in a list of bounded size, which is broadcast.
+
+    ``columns`` maps columns of ``df`` to columns of ``listed``. NULL keys match.
+    """
+    keys = listed.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(columns.values())])
+    same = [F.col(c).eqNullSafe(F.col(f"__key_{i}")) for i, c in enumerate(columns)]
+    return df.join(F.broadcast(keys), reduce(Column.__and__, same), "left_semi")
+
+
 def salted_join(
     big: DataFrame,
     summary: DataFrame,

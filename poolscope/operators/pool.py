@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import (
@@ -191,32 +191,46 @@ def movement_class(response: DataFrame) -> DataFrame:
 
 
 def class_share(movement: DataFrame) -> DataFrame:
-    """Share of providers and liquidity per pool, day and label, among rows opened out of range."""
-    opened_out = movement.filter(F.col("open_state") == OUT_OF_RANGE)
-    per_class = opened_out.groupBy("blk_date", "pool_name", "change_that_day").agg(
-        # movement has one row per provider and label
-        F.count("liquidity_provider").alias("n"),
-        F.sum("open_liquidity").alias("open"),
-        F.sum("close_liquidity").alias("close"),
-        F.avg("open_price").alias("st_price_1_0"),
-        F.avg("close_price").alias("end_price_1_0"),
-    )
-    per_pool = opened_out.groupBy("blk_date", "pool_name").agg(
-        F.count_distinct("liquidity_provider").alias("all_n"),
-        F.sum("open_liquidity").alias("all_open"),
-        F.sum("close_liquidity").alias("all_close"),
+    """Share of providers and liquidity per pool, day and label, among rows opened out of range.
+
+    Labels and pool totals come from one aggregation over both groupings, so the movements
+    are computed once; a window over the few rows of a pool and day then brings them together.
+    """
+    pool_day = ("blk_date", "pool_name")
+    both = (
+        movement.filter(F.col("open_state") == OUT_OF_RANGE)
+        .groupingSets([[*pool_day, "change_that_day"], pool_day], *pool_day, "change_that_day")
+        .agg(
+            F.grouping_id().alias("__level"),
+            # a provider may appear under two labels, but counts once for the pool
+            F.count_distinct("liquidity_provider").alias("n"),
+            F.sum("open_liquidity").alias("open"),
+            F.sum("close_liquidity").alias("close"),
+            F.avg("open_price").alias("st_price_1_0"),
+            F.avg("close_price").alias("end_price_1_0"),
+        )
     )
-    return per_class.join(per_pool, ["blk_date", "pool_name"], "left").select(
-        "blk_date",
-        "pool_name",
-        "change_that_day",
-        F.try_divide("n", "all_n").alias("pct_num_active_lps"),
-        F.try_divide("open", "all_open").alias("pct_min_liquidity_adjusted"),
-        F.try_divide("close", "all_close").alias("pct_max_liquidity_adjusted"),
-        "st_price_1_0",
-        "end_price_1_0",
-        F.col("all_n").alias("pool_num_active_lps"),
-        F.col("all_open").alias("pool_min_liquidity_adjusted"),
+    of_pool = Window.partitionBy(*pool_day)
+    is_total = F.col("__level") > 0
+    named = F.col("blk_date").isNotNull() & F.col("pool_name").isNotNull()
+
+    def total(column: str) -> Column:
+        return F.when(named, F.max(F.when(is_total, F.col(column))).over(of_pool))
+
+    return (
+        both.withColumns({f"all_{c}": total(c) for c in ("n", "open", "close")})
+        .filter(~is_total)
+        .select(
+            *pool_day,
+            "change_that_day",
+            F.try_divide("n", "all_n").alias("pct_num_active_lps"),
+            F.try_divide("open", "all_open").alias("pct_min_liquidity_adjusted"),
+            F.try_divide("close", "all_close").alias("pct_max_liquidity_adjusted"),
+            "st_price_1_0",
+            "end_price_1_0",
+            F.col("all_n").alias("pool_num_active_lps"),
+            F.col("all_open").alias("pool_min_liquidity_adjusted"),
+        )
     )
 
 

@@ -99,52 +99,3 @@ def running_positive(
     if until is not None:
         totals = totals.withColumn(until, F.lead(order).over(series))
     return totals.filter(F.col(out) > 0)
-
-
-def price_slice(value: str, per_octave: int = 64) -> Column:
-    """A slice number that never decreases with ``value``; fine enough to split one hot pool."""
-    x = F.col(value)
-    return (
-        F.when(x <= 0, F.lit(-1_000_000))
-        .when(F.isnan(x) | (x == float("inf")), F.lit(1_000_000))
-        .otherwise(F.floor(F.log2(x) * per_octave).cast("int"))
-    )
-
-
-def running_sum_sliced(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    slice_col: str,
-    sums: dict[str, str],
-    totals: dict[str, str] | None = None,
-) -> DataFrame:
-    """Running totals per key by ``order``, computed slice by slice.
-
-    ``sums`` maps output names to values; ``totals`` names whole-key totals to add,
-    by value. ``slice_col`` must not decrease with ``order``, and (keys, ``order``)
-    must be unique. Only one row per slice of a key meets in one task.
-    """
-    totals = totals or {}
-    keys = list(keys)
-    of_key = Window.partitionBy(*keys)
-    before = of_key.orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    values = list(dict.fromkeys([*sums.values(), *totals]))
-    carried = (
-        df.groupBy(*keys, slice_col)
-        .agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
-        .withColumns({f"__carry_{v}": F.sum(f"__sum_{v}").over(before) for v in sums.values()})
-        .withColumns({out: F.sum(f"__sum_{v}").over(of_key) for v, out in totals.items()})
-        .drop(*[f"__sum_{v}" for v in values])
-    )
-    inside = Window.partitionBy(*keys, slice_col).orderBy(order)
-    return (
-        df.join(carried, [*keys, slice_col])
-        .withColumns(
-            {
-                out: F.sum(v).over(inside) + F.coalesce(F.col(f"__carry_{v}"), F.lit(0))
-                for out, v in sums.items()
-            }
-        )
-        .drop(*[f"__carry_{v}" for v in sums.values()])
-    )

@@ -36,21 +36,21 @@ def topk_per_group(
     return numbered.filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
-def _place(by: str, tiebreak: Sequence[str]) -> Column:
-    """A value whose ascending order is: ``by`` descending, NULLs last, then ``tiebreak``."""
+def _descending(by: str) -> Column:
+    """A number whose ascending order is ``by`` descending with NULLs last.
+
+    NaN is the largest double to Spark, so it stands for NULL; a NaN measure goes first.
+    """
     x = F.col(by).cast("double")
-    return F.struct(
-        x.isNull().alias("missing"),
-        (~F.isnan(F.coalesce(x, F.lit(0.0)))).alias("number"),
-        F.coalesce(-x, F.lit(0.0)).alias("value"),
-        *[F.col(c).alias(f"tie{i}") for i, c in enumerate(tiebreak)],
-    )
+    return F.when(x.isNull(), float("nan")).when(F.isnan(x), float("-inf")).otherwise(-x)
 
 
 def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[str]) -> DataFrame:
     """Rows that are among the top ``k`` by *any* of several measures, with every exact rank.
 
-    ``ranks`` maps a rank column to its measure; ``tiebreak`` must identify a row.
+    ``ranks`` maps a rank column to its measure; ``tiebreak`` must identify a row. Only these
+    columns come back, so that the several passes over ``df`` read no others and share their
+    exchanges; look further columns up for the few rows of the result.
 
     At most ``k`` rows per measure can qualify, and those come from per-task top-k.
     Their rank in the *other* measures may be anything, and numbering all rows in one
@@ -58,52 +58,62 @@ def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[st
     two qualifying places it falls into; the at most ``len(ranks) * k + 1`` gap counts
     per measure, summed map-side, give each qualifying row's rank.
     """
-    places = {rank: _place(by, tiebreak) for rank, by in ranks.items()}
+    names = list(ranks)
+    keyed = list(dict.fromkeys([*tiebreak, *ranks.values()]))
+    slim = df.select(*keyed)
+    places = [_descending(ranks[name]) for name in names]
+    tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)])
     winners = reduce(
-        DataFrame.union, [df.orderBy(place).limit(k) for place in places.values()]
-    ).dropDuplicates(list(tiebreak))
-
-    marks = {rank: f"__marks_{i}" for i, rank in enumerate(places)}
-    spots = winners.agg(
-        *[F.array_sort(F.collect_list(place)).alias(marks[rank]) for rank, place in places.items()]
+        DataFrame.union, [slim.orderBy(place, tie).limit(k) for place in places]
+    ).distinct()
+
+    # One row with one sorted array of qualifying places per measure.
+    marks = winners.agg(
+        F.struct(
+            *[
+                F.array_sort(F.collect_list(F.struct(place.alias("at"), tie.alias("tie")))).alias(f"m{i}")
+                for i, place in enumerate(places)
+            ]
+        )
     )
 
-    def gap(rank: str) -> Column:
-        at = places[rank]
-        return F.size(F.filter(F.col(marks[rank]), lambda mark: mark <= at))
+    def gap(i: int) -> Column:
+        """How many qualifying places are at or ahead of the row's own."""
+
+        def reached(mark: Column) -> Column:
+            # the tie is compared only where the measures are equal
+            return (mark["at"] < places[i]) | ((mark["at"] == places[i]) & (mark["tie"] <= tie))
+
+        return F.size(F.filter(F.col(f"__marks.m{i}"), reached))
 
     def with_marks(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({m: spots.select(m).scalar() for m in marks.values()})
+        return rows.select("*", marks.scalar().alias("__marks"))
 
     counted = (
-        with_marks(df)
+        with_marks(slim)
         .select(
             F.explode(
-                F.array(*[F.struct(F.lit(r).alias("rank"), gap(r).alias("gap")) for r in places])
+                F.array(
+                    *[F.struct(F.lit(i).alias("side"), gap(i).alias("gap")) for i in range(len(names))]
+                )
             ).alias("__g")
         )
-        .groupBy("__g.rank", "__g.gap")
+        .groupBy("__g.side", "__g.gap")
         .agg(F.count("*").alias("n"))
     )
-    sizes = counted.groupBy().agg(
-        *[
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("rank") == r, F.struct("gap", "n")))
-            ).alias(f"__sizes_{i}")
-            for i, r in enumerate(places)
-        ]
-    )
+    in_gap = counted.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("side", "gap"), "n"))))
 
-    ranked = with_marks(winners).withColumns(
-        {f"__sizes_{i}": sizes.select(f"__sizes_{i}").scalar() for i in range(len(places))}
-    )
-    for i, rank in enumerate(places):
+    def rank(i: int) -> Column:
         # A qualifying row is itself a mark; rows in the gaps before that mark sort ahead.
-        size_of = F.col(f"__sizes_{i}")
-        ahead = F.aggregate(
-            F.sequence(F.lit(0), gap(rank) - 1),
-            F.lit(0).cast("long"),
-            lambda total, g: total + F.coalesce(size_of[g], F.lit(0).cast("long")),  # noqa: B023
-        )
-        ranked = ranked.withColumn(rank, ahead + 1)
-    return ranked.drop(*marks.values(), *[f"__sizes_{i}" for i in range(len(places))])
+        def add(total: Column, g: Column) -> Column:
+            key = F.struct(F.lit(i).alias("side"), g.alias("gap"))
+            return total + F.coalesce(F.col("__sizes")[key], F.lit(0).cast("long"))
+
+        before = F.sequence(F.lit(0), gap(i) - 1)
+        return F.aggregate(before, F.lit(0).cast("long"), add) + 1
+
+    return (
+        with_marks(winners)
+        .select("*", in_gap.scalar().alias("__sizes"))
+        .select(*keyed, *[rank(i).alias(name) for i, name in enumerate(names)])
+    )

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import coef_var, safe_corr
 from ..operators.flows import flow_totals, full_outer_merge, off_peg
+from ..operators.joins import keep_listed
 from ..operators.rolling import diff_prev_nonnull, rolling_rows, rolling_rows_global
 from ..operators.time import as_date, since, since_days, timestamp
 from ..operators.topk import topk_any
@@ -74,18 +76,28 @@ def borrow_deposit_ratios(
     )
 
 
-def _wallet_totals(
-    df: DataFrame, as_of, days: int, wallet: str, symbol: str, amount: str, usd: str, names: dict,
-    tx: str | None = "tx_id",
-) -> DataFrame:
-    totals = flow_totals(
-        since_days(df, "block_timestamp", as_of, days),
-        {"address": wallet, "underlying_symbol": symbol},
-        amount,
-        usd,
-        tx=tx,
-    )
-    return totals.withColumnsRenamed(names)
+@dataclass(frozen=True)
+class Flow:
+    """Where one kind of event keeps its wallet, token, amount and usd value."""
+
+    wallet: str
+    symbol: str
+    amount: str
+    usd: str
+
+    def recent(self, df: DataFrame, as_of: date | str, days: int) -> DataFrame:
+        return since_days(df, "block_timestamp", as_of, days)
+
+
+BORROWED = Flow("borrower", "borrows_contract_symbol", "loan_amount", "loan_amount_usd")
+DEPOSITED = Flow("supplier", "supplied_symbol", "supplied_base_asset", "supplied_base_asset_usd")
+REPAID = Flow("borrower", "repay_contract_symbol", "repayed_amount", "repayed_amount_usd")
+LIQUIDATED = Flow(
+    "borrower", "liquidation_contract_symbol", "liquidation_amount", "liquidation_amount_usd"
+)
+REDEEMED = Flow("supplier", "recieved_contract_symbol", "recieved_amount", "recieved_amount_usd")
+
+_PAIR = ["address", "underlying_symbol"]
 
 
 def whale_interactions(
@@ -98,41 +110,24 @@ def whale_interactions(
     lookback_days: int = 30,
     k: int = 20,
 ) -> DataFrame:
-    """All flows per token of the wallets among the top ``k`` by total borrowed or deposited."""
+    """All flows per token of the wallets among the top ``k`` by total borrowed or deposited.
 
-    def flow(df, wallet, symbol, amount, usd, amount_out, usd_out, count_out):
-        names = {"token_amount": amount_out, "amount_usd": usd_out, "dist_num_txs": count_out}
-        return _wallet_totals(df, as_of, lookback_days, wallet, symbol, amount, usd, names)
+    The wallets are found first. There are at most 2k of them, so they are broadcast and
+    every flow is cut to their events at the scan, before its distinct counts.
+    """
+    nothing = F.lit(None).cast("double")
 
-    borrowed = flow(
-        borrows, "borrower", "borrows_contract_symbol", "loan_amount", "loan_amount_usd",
-        "borrow_amt_token", "borrow_amt_usd", "num_borrows",
-    )
-    deposited = flow(
-        deposits, "supplier", "supplied_symbol", "supplied_base_asset", "supplied_base_asset_usd",
-        "deposit_amt_token", "deposit_amt_usd", "num_deposits",
-    )
-    repaid = flow(
-        repayments, "borrower", "repay_contract_symbol", "repayed_amount", "repayed_amount_usd",
-        "token_repay_amount", "loan_repay_amount_usd", "num_repay",
-    )
-    liquidated = flow(
-        liquidations, "borrower", "liquidation_contract_symbol", "liquidation_amount",
-        "liquidation_amount_usd", "token_liquidation_amount", "loan_liquidation_amount_usd",
-        "num_liquidations",
-    )
-    redeemed = flow(
-        redemptions, "supplier", "recieved_contract_symbol", "recieved_amount", "recieved_amount_usd",
-        "token_redeem_amount", "loan_redeem_amount_usd", "num_redemptions",
-    )
-    keys = ["address", "underlying_symbol"]
-    merged = full_outer_merge(borrowed, deposited, keys)
-    per_wallet = merged.groupBy("address").agg(
-        F.sum("borrow_amt_usd").alias("borrow_total_amt_usd"),
-        F.sum("deposit_amt_usd").alias("deposit_total_amt_usd"),
+    def usd(df: DataFrame, flow: Flow, borrow: Column, deposit: Column) -> DataFrame:
+        return flow.recent(df, as_of, lookback_days).select(
+            F.col(flow.wallet).alias("address"), borrow.alias("b"), deposit.alias("d")
+        )
+
+    per_wallet = (
+        usd(borrows, BORROWED, F.col(BORROWED.usd), nothing)
+        .union(usd(deposits, DEPOSITED, nothing, F.col(DEPOSITED.usd)))
+        .groupBy("address")
+        .agg(F.sum("b").alias("borrow_total_amt_usd"), F.sum("d").alias("deposit_total_amt_usd"))
     )
-    # At most 2k wallets: a proven bound, so they are broadcast, and they filter the
-    # merged flows before those meet the other three.
     whales = topk_any(
         per_wallet,
         {
@@ -142,9 +137,34 @@ def whale_interactions(
         k,
         ["address"],
     )
-    result = merged.join(F.broadcast(whales), "address")
-    for other in (repaid, liquidated, redeemed):
-        result = result.join(other, keys, "left")
+
+    def of_whales(df: DataFrame, flow: Flow, amount: str, usd: str, count: str) -> DataFrame:
+        events = keep_listed(flow.recent(df, as_of, lookback_days), whales, {flow.wallet: "address"})
+        totals = flow_totals(
+            events,
+            {"address": flow.wallet, "underlying_symbol": flow.symbol},
+            flow.amount,
+            flow.usd,
+            tx="tx_id",
+        )
+        return totals.withColumnsRenamed(
+            {"token_amount": amount, "amount_usd": usd, "dist_num_txs": count}
+        )
+
+    result = full_outer_merge(
+        of_whales(borrows, BORROWED, "borrow_amt_token", "borrow_amt_usd", "num_borrows"),
+        of_whales(deposits, DEPOSITED, "deposit_amt_token", "deposit_amt_usd", "num_deposits"),
+        _PAIR,
+    ).join(F.broadcast(whales), "address")
+    for other in (
+        of_whales(repayments, REPAID, "token_repay_amount", "loan_repay_amount_usd", "num_repay"),
+        of_whales(
+            liquidations, LIQUIDATED, "token_liquidation_amount", "loan_liquidation_amount_usd",
+            "num_liquidations",
+        ),
+        of_whales(redemptions, REDEEMED, "token_redeem_amount", "loan_redeem_amount_usd", "num_redemptions"),
+    ):
+        result = result.join(other, _PAIR, "left")
     return result.select(
         F.col("address").alias("overall_address"),
         "underlying_symbol",
@@ -182,33 +202,38 @@ def market_leaders(
 ) -> DataFrame:
     """Wallet and token pairs among the top ``k`` by borrowed or by deposited value.
 
-    A side's amounts are shown only if the pair is in that side's top ``k``.
+    A side's amounts are shown only if the pair is in that side's top ``k``. Token amounts
+    are summed for the at most 2k leading pairs only.
     """
+    sides = {"borrow": (borrows, BORROWED), "deposit": (deposits, DEPOSITED)}
 
-    def side(df, wallet, symbol, amount, usd, name):
-        names = {"token_amount": f"{name}_amt_token", "amount_usd": f"{name}_amt_usd"}
-        return _wallet_totals(df, as_of, lookback_days, wallet, symbol, amount, usd, names, tx=None)
+    def per_pair(df: DataFrame, flow: Flow, value: str, out: str) -> DataFrame:
+        keys = (F.col(flow.wallet).alias("address"), F.col(flow.symbol).alias("underlying_symbol"))
+        return df.groupBy(*keys).agg(F.sum(value).alias(out))
 
-    merged = full_outer_merge(
-        side(borrows, "borrower", "borrows_contract_symbol", "loan_amount", "loan_amount_usd", "borrow"),
-        side(
-            deposits, "supplier", "supplied_symbol", "supplied_base_asset", "supplied_base_asset_usd",
-            "deposit",
-        ),
-        ["address", "underlying_symbol"],
-    )
-    ranked = topk_any(
-        merged,
-        {f"{name}_amt_token_order": f"{name}_amt_usd" for name in ("borrow", "deposit")},
+    usd = [
+        per_pair(flow.recent(df, as_of, lookback_days), flow, flow.usd, f"{name}_amt_usd")
+        for name, (df, flow) in sides.items()
+    ]
+    leaders = topk_any(
+        full_outer_merge(*usd, _PAIR),
+        {f"{name}_amt_token_order": f"{name}_amt_usd" for name in sides},
         k,
-        ["address", "underlying_symbol"],
+        _PAIR,
     )
+    result = leaders
+    for name, (df, flow) in sides.items():
+        events = keep_listed(
+            flow.recent(df, as_of, lookback_days), leaders, {flow.wallet: "address", flow.symbol: "underlying_symbol"}
+        )
+        tokens = per_pair(events, flow, flow.amount, f"{name}_amt_token")
+        result = result.join(tokens, _PAIR, "left")
     shown = {
         f"{name}_amt_{unit}": F.when(F.col(f"{name}_amt_token_order") <= k, F.col(f"{name}_amt_{unit}"))
-        for name in ("borrow", "deposit")
+        for name in sides
         for unit in ("token", "usd")
     }
-    return ranked.withColumns(shown).select(
+    return result.withColumns(shown).select(
         "underlying_symbol",
         F.col("address").alias("symbol_address"),
         "borrow_amt_token_order",

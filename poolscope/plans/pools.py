@@ -44,12 +44,12 @@ def top_pools_by_class(
     return best.orderBy("pairing_type", "rank")
 
 
-def _of_pools(df: DataFrame, pools: DataFrame) -> DataFrame:
+def _of_pools(df: DataFrame, pools: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of a few chosen pools; ``pools`` is a top-k result and therefore broadcast.
 
     Position, price and action groups all lie within a pool, so this can come first.
     """
-    return df.join(F.broadcast(pools.select("pool_address")), "pool_address", "left_semi")
+    return df.join(F.broadcast(pools.select("pool_address")), "pool_address", how)
 
 
 def _movement_shares(
@@ -59,9 +59,8 @@ def _movement_shares(
     pools: DataFrame,
     single_price_row: bool,
 ) -> DataFrame:
-    bands = position_boundaries(_of_pools(positions, pools)).join(
-        F.broadcast(pools.select("pool_address")), "pool_address"
-    )
+    # a pool listed twice counts twice
+    bands = position_boundaries(_of_pools(positions, pools, "inner"))
     prices = price_boundaries(_of_pools(pool_stats, pools), single_price_row)
     actions = action_counts(_of_pools(lp_actions, pools))
     return class_share(movement_class(range_response(bands, prices, actions)))
