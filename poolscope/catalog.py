@@ -522,7 +522,7 @@ REPORTS: dict[str, Entry] = {
         _digits("curr_tvl_usd", "avg_price_rng tvl_weighted_avg_price_rng"),
     ),
     "central_band_by_pool": Entry(
-        lambda t: plans.central_band_by_pool(*_pool_inputs(t), EVENTS_DAY),
+        lambda t: plans.central_band_by_pool(t("positions"), t("pool_stats"), EVENTS_DAY),
         _digits("", "price_bound_1_0_min price_bound_1_0_max price_bound_0_1_min price_bound_0_1_max"),
     ),
     "cohort_balances": Entry(

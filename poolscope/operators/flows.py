@@ -65,12 +65,16 @@ def fee_tally(
     both sides are merged into one. ``token1_amount='amount1_usd'`` and
     ``dedupe=False`` switch them off.
     """
-    recent = fees.filter(F.col("block_timestamp") > since)
+    def side(token: str, amount: str) -> Column:
+        earned = F.coalesce(F.col(amount), F.lit(0.0)).alias("amount")
+        return F.struct(F.lit(token).alias("side"), F.col(token).alias("token"), earned)
 
-    def side(token: str, amount: str) -> DataFrame:
-        return recent.groupBy("liquidity_provider", F.col(token).alias("token")).agg(
-            F.sum(F.coalesce(F.col(amount), F.lit(0.0))).alias("token_amount_earned")
-        )
-
-    both = side("token0_symbol", "amount0_usd").union(side("token1_symbol", token1_amount))
-    return both.distinct() if dedupe else both
+    both = F.array(side("token0_symbol", "amount0_usd"), side("token1_symbol", token1_amount))
+    totals = (
+        fees.filter(F.col("block_timestamp") > since)
+        .select("liquidity_provider", F.inline(both))
+        .groupBy("liquidity_provider", "token", "side")
+        .agg(F.sum("amount").alias("token_amount_earned"))
+        .drop("side")
+    )
+    return totals.distinct() if dedupe else totals

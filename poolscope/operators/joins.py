@@ -12,10 +12,11 @@ _SALT = "__salt"
 
 
 def _default_salts(df: DataFrame) -> int:
-    # A third of all rows under one key, cut into partitions/3 parts, gives parts
-    # the size of an average partition. The ceiling bounds the copies of the summary.
+    # A third of all rows under one key, cut into partitions/3 parts, gives parts the size
+    # of an average partition. The ceiling bounds the copies of the summary; adaptive
+    # execution splits parts that are still too large.
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(64, partitions // 3))
+    return max(2, min(16, partitions // 3))
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, columns: dict[str, str]) -> DataFrame:

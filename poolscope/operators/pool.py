@@ -139,13 +139,7 @@ def price_boundaries(pool_stats: DataFrame, single_price_row: bool = False) -> D
     return rows
 
 
-def _with_context(bands: DataFrame, prices: DataFrame, actions: DataFrame) -> DataFrame:
-    """Attach action counts and prices to position rows and classify both ends of the day.
-
-    Actions go first: price rows fan positions out, and a pool-day may be hot.
-    """
-    acted = bands.join(actions, list(POSITION_KEYS), "left")
-    priced = salted_join(acted, prices, ("pool_address", "blk_date"), spread=HOLDER)
+def _with_states(priced: DataFrame) -> DataFrame:
     return priced.withColumns(
         {
             "close_state": in_range_state("price_lower_1_0", "price_upper_1_0", "close_price"),
@@ -159,9 +153,13 @@ def _zero_sum(column: str) -> Column:
 
 
 def range_response(boundaries: DataFrame, prices: DataFrame, actions: DataFrame) -> DataFrame:
-    """Per pool, day, provider and range state at open and close: prices, liquidity, actions."""
+    """Per pool, day, provider and range state at open and close: prices, liquidity, actions.
+
+    Actions are looked up first, because price rows fan positions out.
+    """
+    acted = boundaries.join(actions, list(POSITION_KEYS), "left")
     return (
-        _with_context(boundaries, prices, actions)
+        _with_states(salted_join(acted, prices, ("pool_address", "blk_date"), spread=HOLDER))
         .groupBy("pool_name", "blk_date", "liquidity_provider", "close_state", "open_state")
         .agg(
             F.avg("price_lower_1_0").alias("avg_price_lower_1_0"),
@@ -252,8 +250,9 @@ def tvl_share(
 ) -> DataFrame:
     """Width and value of each provider's bands: pool value split by share of liquidity.
 
-    ``totals`` are matched on the day of ``tvl``, not of the band. Everything known per
-    pool is gathered first, so the bands meet one summary per pool.
+    ``totals`` are those of ``bands``; for the shares they are matched on the day of ``tvl``,
+    not of the band. Everything known per pool and day is gathered first, so the bands are
+    shuffled once to meet it.
     """
     per_pool = (
         tvl.select("pool_address", "pairing_type", "tvl", F.col("blk_date").alias("tvl_date"))
@@ -265,9 +264,12 @@ def tvl_share(
         )
         .drop("tvl_date")
     )
-    rows = _with_context(
-        salted_join(bands, per_pool, ("pool_address",), spread=HOLDER, how="inner"), prices, actions
+    pool_day = ("pool_address", "blk_date")
+    per_day = (
+        totals.select(*pool_day).join(per_pool, "pool_address").join(prices, list(pool_day), "left")
     )
+    acted = bands.join(actions, list(POSITION_KEYS), "left")
+    rows = _with_states(salted_join(acted, per_day, pool_day, spread=HOLDER, how="inner"))
     width = F.abs(F.col("price_upper_1_0") - F.col("price_lower_1_0"))
 
     def worth(liquidity: str, total: str, out: str) -> Column:

@@ -37,28 +37,33 @@ def rolling_rows_global(
     out: str,
     agg: Callable[[str], Column] = F.sum,
     block: int = 65536,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """``rolling_rows`` over one total order (``bucket``, ``order``) without a one-task window.
 
-    Rows are numbered within their bucket and offset by the counts of the buckets
-    before it, cut into blocks of consecutive numbers, and the last ``n - 1`` rows
-    of a block are copied into the next one so that each block can be windowed alone.
-    Only the per-bucket counts meet in one task. (``bucket``, ``order``) must be unique.
+    Rows are numbered within their slice of a bucket and offset by the counts of the slices
+    before it, cut into blocks of consecutive numbers, and the last ``n - 1`` rows of a block
+    are copied into the next one so that each block can be windowed alone. Only the slice
+    counts meet in one task. ``slice_by`` cuts large buckets; it must not decrease with
+    ``order`` within a bucket, must not be NULL, and must have a bounded number of values.
+    (``bucket``, ``order``) must be unique.
     """
     if n > block:
         raise ValueError("a block must hold a whole frame")
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__slice", F.lit(0) if slice_by is None else slice_by)
+    before = Window.orderBy(bucket, "__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(bucket)
+        df.groupBy(bucket, "__slice")
         .agg(F.count("*").alias("__n"))
         .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
-    position = F.col("__offset") + F.row_number().over(Window.partitionBy(bucket).orderBy(order)) - 1
+    in_slice = Window.partitionBy(bucket, "__slice").orderBy(order)
+    position = F.col("__offset") + F.row_number().over(in_slice) - 1
     home = F.floor(F.col("__position") / block)
     in_tail = F.col("__position") % block >= block - (n - 1)
     copies = (
-        df.join(offsets, bucket)
+        df.join(offsets, [bucket, "__slice"])
         .withColumn("__position", position)
         .withColumn("__home", home)
         .withColumn(
@@ -74,7 +79,7 @@ def rolling_rows_global(
     return (
         copies.withColumn(out, agg(value).over(frame))
         .filter(F.col("__block") == F.col("__home"))
-        .drop("__offset", "__position", "__home", "__block")
+        .drop("__slice", "__offset", "__position", "__home", "__block")
     )
 
 

@@ -330,7 +330,9 @@ def reserve_revenue(
         )
     else:
         rolled = rolling_rows_global(
-            recent, "reserve_diff_usd", bucket="date", order="ctoken_address", n=frame, out=out
+            recent, "reserve_diff_usd", bucket="date", order="ctoken_address", n=frame, out=out,
+            # of hexadecimal addresses: at most 4096 slices per day
+            slice_by=F.substring("ctoken_address", 1, 5),
         )
     return rolled.select("date", "underlying_symbol", out).orderBy(F.desc("date"))
 

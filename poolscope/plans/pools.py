@@ -19,14 +19,11 @@ from ..operators.pool import (
     action_counts,
     class_share,
     movement_class,
-    pool_totals,
     pool_tvl,
     position_boundaries,
     position_day_totals,
     price_boundaries,
-    price_range,
     range_response,
-    tvl_share,
 )
 from ..operators.shares import share_of_total
 from ..operators.time import on_day
@@ -111,45 +108,20 @@ def range_response_by_class(
     return share_of_total(averages, ["blk_date"], {f"{m}_avg": f"{m}_avg" for m in measures})
 
 
-def bands_on_day(
-    positions: DataFrame,
-    pool_stats: DataFrame,
-    lp_actions: DataFrame,
-    tvl: DataFrame,
-    as_of: date | str,
-    averaged: bool,
-    single_price_row: bool = False,
-) -> DataFrame:
-    """Value and width of every provider's bands on one day.
-
-    The reports only use the day of ``as_of``, so every day-grained input is cut to it at
-    the scan; only the price range looks further back.
-    """
-
-    def today(df: DataFrame) -> DataFrame:
-        return on_day(df, "block_timestamp", as_of)
-
-    bands = (position_day_totals if averaged else position_boundaries)(today(positions))
-    return tvl_share(
-        bands,
-        tvl,
-        pool_totals(bands),
-        price_boundaries(today(pool_stats), single_price_row),
-        action_counts(today(lp_actions)),
-        price_range(pool_stats),
-    )
-
-
 def central_band_by_pool(
     positions: DataFrame,
     pool_stats: DataFrame,
-    lp_actions: DataFrame,
     as_of: date | str,
     k: int = 5,
     trim: float = 0.1,
     stables: Sequence[str] = STABLE_SYMBOLS,
+    single_price_row: bool = False,
 ) -> DataFrame:
-    """Price band holding the middle of the liquidity of the ``k`` largest pools per class."""
+    """Price band holding the middle of the liquidity of the ``k`` largest pools per class.
+
+    Only liquidity per band matters here, so of the price rows only their number is used:
+    a band counts once per row, as if it had been joined to them.
+    """
     tvl = pool_tvl(
         pool_stats,
         as_of,
@@ -158,7 +130,20 @@ def central_band_by_pool(
         CLASS_LABELS_TITLE,
     )
     best = topk_per_group(tvl, ["pairing_type"], "tvl", k, ["pool_address"])
-    chosen = [_of_pools(df, best) for df in (positions, pool_stats, lp_actions)]
-    bands = bands_on_day(*chosen, best, as_of, averaged=True)
+
+    def today(df: DataFrame) -> DataFrame:
+        return _of_pools(on_day(df, "block_timestamp", as_of), best)
+
+    price_rows = (
+        price_boundaries(today(pool_stats), single_price_row)
+        .groupBy("pool_address")
+        .agg(F.count("*").alias("__copies"))
+    )
+    # at most k pools per class, each with one count
+    copies = best.select("pool_address").join(price_rows, "pool_address", "left")
+    counted = position_day_totals(today(positions)).join(F.broadcast(copies), "pool_address")
+    bands = counted.withColumn(
+        "avg_liquidity", F.col("avg_liquidity") * F.coalesce(F.col("__copies"), F.lit(1))
+    )
     keys = ["blk_date", "pool_name"]
     return central_band(liquidity_at_bounds(bands, keys), keys, trim)

@@ -22,11 +22,18 @@ from ..operators.balances import (
 )
 from ..operators.flows import fee_tally
 from ..operators.joins import salted_join
-from ..operators.pool import pool_tvl
+from ..operators.pool import (
+    action_counts,
+    pool_totals,
+    pool_tvl,
+    position_boundaries,
+    price_boundaries,
+    price_range,
+    tvl_share,
+)
 from ..operators.snapshot import first_seen
 from ..operators.time import as_date, on_day, timestamp
 from ..operators.topk import topk
-from .pools import bands_on_day
 
 # Fixed value: the position manager contract, which is not a provider.
 POSITION_MANAGER = "0xC36442b4a4522E871399CD717aBDD847Ab11FE88"
@@ -48,9 +55,19 @@ def largest_providers(
     the original, i.e. the weighted mean divided by the number of bands;
     ``true_weighted`` gives the weighted mean itself.
     """
-    tvl = pool_tvl(pool_stats, as_of, stables=stables)
-    bands = bands_on_day(
-        positions, pool_stats, lp_actions, tvl, as_of, averaged=False, single_price_row=single_price_row
+
+    def today(df: DataFrame) -> DataFrame:
+        # only the bands of this day are reported, so the day-grained inputs are cut at the scan
+        return on_day(df, "block_timestamp", as_of)
+
+    held = position_boundaries(today(positions))
+    bands = tvl_share(
+        held,
+        pool_tvl(pool_stats, as_of, stables=stables),
+        pool_totals(held),
+        price_boundaries(today(pool_stats), single_price_row),
+        action_counts(today(lp_actions)),
+        price_range(pool_stats),
     )
     weighted = F.col("avg_price_rng") * F.col("open_tvl_usd")
     combine = F.sum if true_weighted else F.avg
@@ -113,17 +130,16 @@ def cohort_balances(
     # holdings are dated at midnight, which is never after a cutoff on the same day
     first = cutoff.date() + timedelta(days=1)
 
-    net = net_liquidity_by_day(lp_actions)
-    listed = salted_join(
-        net, pools.select("pool_address"), ("pool_address",), ("liquidity_provider",), "left_semi"
-    )
-    intervals = held_intervals(listed, spine_start, as_of)
+    intervals = held_intervals(net_liquidity_by_day(lp_actions), spine_start, as_of)
     recent = pool_stats.filter(F.col("block_timestamp") >= timestamp(since))
 
     def balances(lo: date, hi: date, states: DataFrame) -> DataFrame:
         holdings = daily_holdings(intervals, max(lo, first), hi)
         hourly = tvl_with_price_fallback(hourly_state(states, token_prices))
-        return provider_balances(holdings, value_per_liquidity(holdings, daily_close_value(hourly)))
+        per_unit = value_per_liquidity(holdings, daily_close_value(hourly))
+        # unknown pools are dropped here, one row per pool and day, instead of from the holdings
+        known = per_unit.join(pools.select("pool_address"), "pool_address", "left_semi")
+        return provider_balances(holdings, known)
 
     def leaders(day: date) -> DataFrame:
         on_that_day = balances(day, day, on_day(recent, "block_timestamp", day))

@@ -219,8 +219,9 @@ def test_global_rolling_equals_one_window(spark, block):
         F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("v"),
     )
     one = df.withColumn("x", F.sum("v").over(Window.orderBy("b", "o").rowsBetween(-2, 0)))
-    cut = rolling.rolling_rows_global(df, "v", "b", "o", 3, "x", block=block)
-    assert rows(cut, "b", "o", "x") == rows(one, "b", "o", "x")
+    for slice_by in (None, F.floor(F.col("o") / 10)):
+        cut = rolling.rolling_rows_global(df, "v", "b", "o", 3, "x", block=block, slice_by=slice_by)
+        assert rows(cut, "b", "o", "x") == rows(one, "b", "o", "x")
 
 
 def test_revenue_frame_spans_markets_unless_partitioned(spark):

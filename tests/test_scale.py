@@ -47,6 +47,7 @@ def test_stored_tables_are_read_with_their_schema_and_pushed_filters(spark, tmp_
     derived = derived_table(spark, SF, "market_stats")
     derived.select(*SCHEMAS["market_stats"].names).write.parquet(f"{tmp_path}/market_stats")
     stats = read_table(spark, str(tmp_path), "market_stats")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     report = plans.volatility_and_apy(stats, "2024-01-05", "error", "2024-01-19 15:00:00", "csignup2")
     assert report.count() > 0
     scan = re.search(r"PushedFilters: \[([^\n]*)", report._jdf.queryExecution().toString()).group(1)
