@@ -45,6 +45,19 @@ def _descending(by: str) -> Column:
     return F.when(x.isNull(), float("nan")).when(F.isnan(x), float("-inf")).otherwise(-x)
 
 
+def _place_slice(place: Column) -> Column:
+    """A whole number that never decreases with a place, and takes a bounded number of values."""
+    size = F.floor(F.log2(F.abs(place)) * 64).cast("int")
+    return (
+        F.when(F.isnan(place), F.lit(2_000_000))
+        .when(place == float("inf"), F.lit(1_000_000))
+        .when(place == float("-inf"), F.lit(-1_000_000))
+        .when(place > 0, size + 100_000)
+        .when(place < 0, -size - 100_000)
+        .otherwise(F.lit(0))
+    )
+
+
 def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[str]) -> DataFrame:
     """Rows that are among the top ``k`` by *any* of several measures, with every exact rank.
 
@@ -52,68 +65,52 @@ def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[st
     columns come back, so that the several passes over ``df`` read no others and share their
     exchanges; look further columns up for the few rows of the result.
 
-    At most ``k`` rows per measure can qualify, and those come from per-task top-k.
-    Their rank in the *other* measures may be anything, and numbering all rows in one
-    task to learn it does not scale. Instead every row is counted into the gap between
-    two qualifying places it falls into; the at most ``len(ranks) * k + 1`` gap counts
-    per measure, summed map-side, give each qualifying row's rank.
+    At most ``k`` rows per measure can qualify, and those come from per-task top-k. Their rank
+    in the *other* measures may be anything, and numbering all rows in one task to learn it
+    does not scale. Instead rows are counted per slice of the measure, and within the few
+    slices that hold a qualifying row (the broadcast ones) also how many go ahead of it. Both
+    counts are summed map-side; only one row per slice and qualifying row meets in a task.
     """
     names = list(ranks)
     keyed = list(dict.fromkeys([*tiebreak, *ranks.values()]))
     slim = df.select(*keyed)
     places = [_descending(ranks[name]) for name in names]
-    tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)])
+    tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)]).alias("tie")
     winners = reduce(
         DataFrame.union, [slim.orderBy(place, tie).limit(k) for place in places]
     ).distinct()
 
-    # One row with one sorted array of qualifying places per measure.
-    marks = winners.agg(
-        F.struct(
-            *[
-                F.array_sort(F.collect_list(F.struct(place.alias("at"), tie.alias("tie")))).alias(f"m{i}")
-                for i, place in enumerate(places)
-            ]
-        )
+    def sides(rows: DataFrame, *extra: Column) -> DataFrame:
+        """One row per measure: which, in which slice, and where."""
+        each = [
+            F.struct(
+                F.lit(i).alias("side"), _place_slice(place).alias("slice"), place.alias("at"), tie, *extra
+            )
+            for i, place in enumerate(places)
+        ]
+        return rows.select(F.inline(F.array(*each)))
+
+    marks = sides(winners, F.struct(*keyed).alias("row")).withColumnsRenamed(
+        {"at": "mark_at", "tie": "mark_tie"}
+    )
+    ahead = (F.col("at") < F.col("mark_at")) | (
+        (F.col("at") == F.col("mark_at")) & (F.col("tie") < F.col("mark_tie"))
     )
-
-    def gap(i: int) -> Column:
-        """How many qualifying places are at or ahead of the row's own."""
-
-        def reached(mark: Column) -> Column:
-            # the tie is compared only where the measures are equal
-            return (mark["at"] < places[i]) | ((mark["at"] == places[i]) & (mark["tie"] <= tie))
-
-        return F.size(F.filter(F.col(f"__marks.m{i}"), reached))
-
-    def with_marks(rows: DataFrame) -> DataFrame:
-        return rows.select("*", marks.scalar().alias("__marks"))
-
     counted = (
-        with_marks(slim)
-        .select(
-            F.explode(
-                F.array(
-                    *[F.struct(F.lit(i).alias("side"), gap(i).alias("gap")) for i in range(len(names))]
-                )
-            ).alias("__g")
-        )
-        .groupBy("__g.side", "__g.gap")
-        .agg(F.count("*").alias("n"))
+        sides(slim)
+        .join(F.broadcast(marks), ["side", "slice"], "left")
+        .groupBy("side", "slice", "row")
+        .agg(F.count("*").alias("in_slice"), F.count_if(ahead).alias("ahead"))
     )
-    in_gap = counted.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("side", "gap"), "n"))))
-
-    def rank(i: int) -> Column:
-        # A qualifying row is itself a mark; rows in the gaps before that mark sort ahead.
-        def add(total: Column, g: Column) -> Column:
-            key = F.struct(F.lit(i).alias("side"), g.alias("gap"))
-            return total + F.coalesce(F.col("__sizes")[key], F.lit(0).cast("long"))
-
-        before = F.sequence(F.lit(0), gap(i) - 1)
-        return F.aggregate(before, F.lit(0).cast("long"), add) + 1
-
-    return (
-        with_marks(winners)
-        .select("*", in_gap.scalar().alias("__sizes"))
-        .select(*keyed, *[rank(i).alias(name) for i, name in enumerate(names)])
+    # A slice has one row per mark in it, each with the slice's full count: use the first.
+    in_order = Window.partitionBy("side").orderBy("slice")
+    first = F.row_number().over(Window.partitionBy("side", "slice").orderBy("row")) == 1
+    earlier = F.sum("once").over(in_order.rangeBetween(Window.unboundedPreceding, -1))
+    placed = (
+        counted.withColumn("once", F.when(first, F.col("in_slice")))
+        .withColumn("rank", F.coalesce(earlier, F.lit(0)) + F.col("ahead") + 1)
+        .filter(F.col("row").isNotNull())
+    )
+    return placed.groupBy(*[F.col(f"row.{c}").alias(c) for c in keyed]).agg(
+        *[F.max(F.when(F.col("side") == i, F.col("rank"))).alias(name) for i, name in enumerate(names)]
     )

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import coef_var, safe_corr
 from ..operators.flows import flow_totals, full_outer_merge, off_peg
-from ..operators.joins import keep_listed
 from ..operators.rolling import diff_prev_nonnull, rolling_rows, rolling_rows_global
 from ..operators.time import as_date, since, since_days, timestamp
 from ..operators.topk import topk_any
@@ -80,24 +80,38 @@ def borrow_deposit_ratios(
 class Flow:
     """Where one kind of event keeps its wallet, token, amount and usd value."""
 
+    kind: str
     wallet: str
     symbol: str
     amount: str
     usd: str
 
-    def recent(self, df: DataFrame, as_of: date | str, days: int) -> DataFrame:
-        return since_days(df, "block_timestamp", as_of, days)
+    def events(self, df: DataFrame, as_of: date | str, days: int) -> DataFrame:
+        return since_days(df, "block_timestamp", as_of, days).select(
+            F.lit(self.kind).alias("kind"),
+            F.col(self.wallet).alias("address"),
+            F.col(self.symbol).alias("underlying_symbol"),
+            F.col(self.amount).alias("amount"),
+            F.col(self.usd).alias("usd"),
+            "tx_id",
+        )
 
 
-BORROWED = Flow("borrower", "borrows_contract_symbol", "loan_amount", "loan_amount_usd")
-DEPOSITED = Flow("supplier", "supplied_symbol", "supplied_base_asset", "supplied_base_asset_usd")
-REPAID = Flow("borrower", "repay_contract_symbol", "repayed_amount", "repayed_amount_usd")
+BORROWED = Flow("borrow", "borrower", "borrows_contract_symbol", "loan_amount", "loan_amount_usd")
+DEPOSITED = Flow(
+    "deposit", "supplier", "supplied_symbol", "supplied_base_asset", "supplied_base_asset_usd"
+)
+REPAID = Flow("repay", "borrower", "repay_contract_symbol", "repayed_amount", "repayed_amount_usd")
 LIQUIDATED = Flow(
-    "borrower", "liquidation_contract_symbol", "liquidation_amount", "liquidation_amount_usd"
+    "liquidate", "borrower", "liquidation_contract_symbol", "liquidation_amount", "liquidation_amount_usd"
+)
+REDEEMED = Flow(
+    "redeem", "supplier", "recieved_contract_symbol", "recieved_amount", "recieved_amount_usd"
 )
-REDEEMED = Flow("supplier", "recieved_contract_symbol", "recieved_amount", "recieved_amount_usd")
 
-_PAIR = ["address", "underlying_symbol"]
+
+def _of(flow: Flow, column: str) -> Column:
+    return F.when(F.col("kind") == flow.kind, F.col(column))
 
 
 def whale_interactions(
@@ -112,21 +126,24 @@ def whale_interactions(
 ) -> DataFrame:
     """All flows per token of the wallets among the top ``k`` by total borrowed or deposited.
 
-    The wallets are found first. There are at most 2k of them, so they are broadcast and
-    every flow is cut to their events at the scan, before its distinct counts.
+    The wallets are found first. There are at most 2k of them, so they are broadcast and the
+    flows are cut to their events at the scan. The flows are then stacked and folded into one
+    row per wallet and token, which takes the place of a chain of outer joins.
     """
-    nothing = F.lit(None).cast("double")
-
-    def usd(df: DataFrame, flow: Flow, borrow: Column, deposit: Column) -> DataFrame:
-        return flow.recent(df, as_of, lookback_days).select(
-            F.col(flow.wallet).alias("address"), borrow.alias("b"), deposit.alias("d")
-        )
+    tables = {
+        BORROWED: borrows, DEPOSITED: deposits, REPAID: repayments, LIQUIDATED: liquidations,
+        REDEEMED: redemptions,
+    }
+    flows = {flow: flow.events(df, as_of, lookback_days) for flow, df in tables.items()}
 
     per_wallet = (
-        usd(borrows, BORROWED, F.col(BORROWED.usd), nothing)
-        .union(usd(deposits, DEPOSITED, nothing, F.col(DEPOSITED.usd)))
+        flows[BORROWED]
+        .union(flows[DEPOSITED])
         .groupBy("address")
-        .agg(F.sum("b").alias("borrow_total_amt_usd"), F.sum("d").alias("deposit_total_amt_usd"))
+        .agg(
+            F.sum(_of(BORROWED, "usd")).alias("borrow_total_amt_usd"),
+            F.sum(_of(DEPOSITED, "usd")).alias("deposit_total_amt_usd"),
+        )
     )
     whales = topk_any(
         per_wallet,
@@ -138,51 +155,49 @@ def whale_interactions(
         ["address"],
     )
 
-    def of_whales(df: DataFrame, flow: Flow, amount: str, usd: str, count: str) -> DataFrame:
-        events = keep_listed(flow.recent(df, as_of, lookback_days), whales, {flow.wallet: "address"})
-        totals = flow_totals(
-            events,
-            {"address": flow.wallet, "underlying_symbol": flow.symbol},
-            flow.amount,
-            flow.usd,
-            tx="tx_id",
-        )
-        return totals.withColumnsRenamed(
-            {"token_amount": amount, "amount_usd": usd, "dist_num_txs": count}
+    wallet = whales.columns
+    per_kind = (
+        reduce(DataFrame.union, flows.values())
+        .join(F.broadcast(whales), "address")
+        .groupBy(*wallet, "underlying_symbol", "kind")
+        .agg(
+            F.sum("amount").alias("amount"),
+            F.sum("usd").alias("usd"),
+            F.count_distinct("tx_id").alias("txs"),
         )
+    )
+    # flows of an unnamed token are never matched to each other
+    apart = F.when(F.col("underlying_symbol").isNull(), F.col("kind")).alias("__apart")
 
-    result = full_outer_merge(
-        of_whales(borrows, BORROWED, "borrow_amt_token", "borrow_amt_usd", "num_borrows"),
-        of_whales(deposits, DEPOSITED, "deposit_amt_token", "deposit_amt_usd", "num_deposits"),
-        _PAIR,
-    ).join(F.broadcast(whales), "address")
-    for other in (
-        of_whales(repayments, REPAID, "token_repay_amount", "loan_repay_amount_usd", "num_repay"),
-        of_whales(
-            liquidations, LIQUIDATED, "token_liquidation_amount", "loan_liquidation_amount_usd",
-            "num_liquidations",
-        ),
-        of_whales(redemptions, REDEEMED, "token_redeem_amount", "loan_redeem_amount_usd", "num_redemptions"),
-    ):
-        result = result.join(other, _PAIR, "left")
-    return result.select(
+    def value(flow: Flow, column: str, out: str) -> Column:
+        return F.max(_of(flow, column)).alias(out)
+
+    folded = (
+        per_kind.groupBy(*wallet, "underlying_symbol", apart)
+        .agg(
+            F.bool_or(F.col("kind").isin(BORROWED.kind, DEPOSITED.kind)).alias("__listed"),
+            value(BORROWED, "amount", "borrow_amt_token"),
+            value(BORROWED, "usd", "borrow_amt_usd"),
+            value(DEPOSITED, "amount", "deposit_amt_token"),
+            value(DEPOSITED, "usd", "deposit_amt_usd"),
+            value(BORROWED, "txs", "num_borrows"),
+            value(DEPOSITED, "txs", "num_deposits"),
+            value(REPAID, "amount", "token_repay_amount"),
+            value(REPAID, "usd", "loan_repay_amount_usd"),
+            value(LIQUIDATED, "amount", "token_liquidation_amount"),
+            value(LIQUIDATED, "usd", "loan_liquidation_amount_usd"),
+            value(REDEEMED, "amount", "token_redeem_amount"),
+            value(REDEEMED, "usd", "loan_redeem_amount_usd"),
+            value(REPAID, "txs", "num_repay"),
+            value(LIQUIDATED, "txs", "num_liquidations"),
+            value(REDEEMED, "txs", "num_redemptions"),
+        )
+        .filter("__listed")
+    )
+    return folded.select(
         F.col("address").alias("overall_address"),
         "underlying_symbol",
-        "borrow_amt_token",
-        "borrow_amt_usd",
-        "deposit_amt_token",
-        "deposit_amt_usd",
-        "num_borrows",
-        "num_deposits",
-        "token_repay_amount",
-        "loan_repay_amount_usd",
-        "token_liquidation_amount",
-        "loan_liquidation_amount_usd",
-        "token_redeem_amount",
-        "loan_redeem_amount_usd",
-        "num_repay",
-        "num_liquidations",
-        "num_redemptions",
+        *[c for c in folded.columns if c not in (*wallet, "underlying_symbol", "__apart", "__listed")],
         (F.col("borrow_amt_usd") - F.col("loan_repay_amount_usd")).alias("net_borrowing"),
         (F.col("deposit_amt_usd") - F.col("loan_redeem_amount_usd")).alias("net_deposits"),
         F.col("address").alias("symbol_address"),
@@ -205,35 +220,38 @@ def market_leaders(
     A side's amounts are shown only if the pair is in that side's top ``k``. Token amounts
     are summed for the at most 2k leading pairs only.
     """
-    sides = {"borrow": (borrows, BORROWED), "deposit": (deposits, DEPOSITED)}
+    pair = ["address", "underlying_symbol"]
+    unnamed = F.col("address").isNull() | F.col("underlying_symbol").isNull()
+    events = (
+        BORROWED.events(borrows, as_of, lookback_days)
+        .union(DEPOSITED.events(deposits, as_of, lookback_days))
+        # the two sides of an unnamed wallet or token are never matched to each other
+        .withColumn("__apart", F.when(unnamed, F.col("kind")).otherwise(""))
+    )
 
-    def per_pair(df: DataFrame, flow: Flow, value: str, out: str) -> DataFrame:
-        keys = (F.col(flow.wallet).alias("address"), F.col(flow.symbol).alias("underlying_symbol"))
-        return df.groupBy(*keys).agg(F.sum(value).alias(out))
+    def sides(unit: str, column: str) -> list[Column]:
+        return [F.sum(_of(f, column)).alias(f"{f.kind}_amt_{unit}") for f in (BORROWED, DEPOSITED)]
 
-    usd = [
-        per_pair(flow.recent(df, as_of, lookback_days), flow, flow.usd, f"{name}_amt_usd")
-        for name, (df, flow) in sides.items()
-    ]
+    key = [*pair, "__apart"]
     leaders = topk_any(
-        full_outer_merge(*usd, _PAIR),
-        {f"{name}_amt_token_order": f"{name}_amt_usd" for name in sides},
+        events.groupBy(*key).agg(*sides("usd", "usd")),
+        {f"{f.kind}_amt_token_order": f"{f.kind}_amt_usd" for f in (BORROWED, DEPOSITED)},
         k,
-        _PAIR,
+        key,
+    )
+    listed = leaders.withColumnsRenamed({c: f"__{c}" for c in key})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+    found = (
+        events.join(F.broadcast(listed), same)
+        .groupBy(*key, *[c for c in leaders.columns if c not in key])
+        .agg(*sides("token", "amount"))
     )
-    result = leaders
-    for name, (df, flow) in sides.items():
-        events = keep_listed(
-            flow.recent(df, as_of, lookback_days), leaders, {flow.wallet: "address", flow.symbol: "underlying_symbol"}
-        )
-        tokens = per_pair(events, flow, flow.amount, f"{name}_amt_token")
-        result = result.join(tokens, _PAIR, "left")
     shown = {
-        f"{name}_amt_{unit}": F.when(F.col(f"{name}_amt_token_order") <= k, F.col(f"{name}_amt_{unit}"))
-        for name in sides
+        f"{f.kind}_amt_{unit}": F.when(F.col(f"{f.kind}_amt_token_order") <= k, F.col(f"{f.kind}_amt_{unit}"))
+        for f in (BORROWED, DEPOSITED)
         for unit in ("token", "usd")
     }
-    return result.withColumns(shown).select(
+    return found.withColumns(shown).select(
         "underlying_symbol",
         F.col("address").alias("symbol_address"),
         "borrow_amt_token_order",
