@@ -58,7 +58,9 @@ def borrow_deposit_ratios(
         deposits, "supplied_symbol", "supplied_base_asset", "supplied_base_asset_usd", "supplier",
         "deposits", "depositors",
     )
-    both = full_outer_merge(b, d, ["overall_block_day", "underlying_symbol"])
+    keys = ["overall_block_day", "underlying_symbol"]
+    interleaved = [c for pair in zip(b.columns[2:], d.columns[2:], strict=True) for c in pair]
+    both = full_outer_merge(b, d, keys).select(*keys, *interleaved)
     b_usd, d_usd = "borrows_usd_30day_rolling_sum", "deposits_usd_30day_rolling_sum"
     b_num, d_num = "dist_num_borrows_30day_rolling_sum", "dist_num_deposits_30day_rolling_sum"
     b_who, d_who = "num_borrowers_30day_rolling_avg", "num_depositors_30day_rolling_avg"

@@ -131,18 +131,20 @@ def cohort_balances(
     first = cutoff.date() + timedelta(days=1)
 
     intervals = held_intervals(net_liquidity_by_day(lp_actions), spine_start, as_of)
+    holdings = daily_holdings(intervals, first, as_of)
     recent = pool_stats.filter(F.col("block_timestamp") >= timestamp(since))
-
-    def balances(lo: date, hi: date, states: DataFrame) -> DataFrame:
-        holdings = daily_holdings(intervals, max(lo, first), hi)
-        hourly = tvl_with_price_fallback(hourly_state(states, token_prices))
-        per_unit = value_per_liquidity(holdings, daily_close_value(hourly))
-        # unknown pools are dropped here, one row per pool and day, instead of from the holdings
-        known = per_unit.join(pools.select("pool_address"), "pool_address", "left_semi")
-        return provider_balances(holdings, known)
+    hourly = tvl_with_price_fallback(hourly_state(recent, token_prices))
+    per_unit = value_per_liquidity(holdings, daily_close_value(hourly))
+    # unknown pools are dropped here, one row per pool and day, instead of from the holdings
+    known = per_unit.join(pools.select("pool_address"), "pool_address", "left_semi")
+    daily = provider_balances(holdings, known)
 
     def leaders(day: date) -> DataFrame:
-        on_that_day = balances(day, day, on_day(recent, "block_timestamp", day))
-        return topk(on_that_day, "token_bal_usd", k, ["liquidity_provider"], rank=None)
-
-    return cohort_label(balances(first, as_of, recent), leaders(cohort_day), leaders(as_of))
+        # Ranked by the balance of that day with all other days last, and cut to the day only
+        # after the limit: a filter before it would be pushed down and make this a different
+        # plan, while an equal one reuses the shuffled balances.
+        of_day = F.when(F.col("block_day") == F.lit(day), F.col("token_bal_usd"))
+        best = topk(daily.withColumn("__usd", of_day), "__usd", k, ["liquidity_provider"], rank=None)
+        return best.filter(F.col("__usd").isNotNull())
+
+    return cohort_label(daily, leaders(cohort_day), leaders(as_of))
