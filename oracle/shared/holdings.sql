@@ -1,4 +1,4 @@
-SELECT liquidity_provider, pool_address, pool_name, block_day, running AS liquidity_adj
+SELECT liquidity_provider, pool_address, pool_name, block_day, CAST(running AS DOUBLE) AS liquidity_adj
 FROM (SELECT e.liquidity_provider, e.pool_address, e.pool_name, e.block_day,
              sum(coalesce(n.net_liquidity, 0)) OVER (
                PARTITION BY e.liquidity_provider, e.pool_address, e.pool_name ORDER BY e.block_day

@@ -233,9 +233,7 @@ def _price_boundaries(t: TableReader) -> DataFrame:
 
 
 def _last_in_bucket(t: TableReader) -> DataFrame:
-    hourly = t("pool_stats").withColumn(
-        "block_hour", F.date_trunc("hour", "block_timestamp").cast("timestamp_ntz")
-    )
+    hourly = t("pool_stats").withColumn("block_hour", time.hour_of("block_timestamp"))
     return snapshot.last_in_bucket(
         hourly,
         ["block_hour", "pool_address", "pool_name"],

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import price_status
+from ..functions.exact import exact
 from .joins import salted_join
 from .rolling import running_positive
 from .snapshot import last_in_bucket
-from .time import as_date, expand_days
+from .time import as_date, expand_days, hour_of
 
 HOLDING = ("liquidity_provider", "pool_address", "pool_name")
 
@@ -25,7 +26,9 @@ def net_liquidity_by_day(lp_actions: DataFrame) -> DataFrame:
     def total(side: Column, value: Column) -> Column:
         return F.sum(F.when(side, value))
 
-    liquidity = F.col("liquidity_adjusted")
+    # exact, so that taking everything out again leaves zero and not a last bit
+    liquidity = exact("liquidity_adjusted")
+    nothing = exact(F.lit(0))
     return (
         lp_actions.filter(added | removed)
         .groupBy(*HOLDING, F.to_date("block_timestamp").alias("day"))
@@ -33,8 +36,8 @@ def net_liquidity_by_day(lp_actions: DataFrame) -> DataFrame:
             total(added, usd).alias("total_deposits_usd"),
             (-total(removed, usd)).alias("total_withdrawals_usd"),
             (
-                F.coalesce(total(added, liquidity), F.lit(0.0))
-                - F.coalesce(total(removed, liquidity), F.lit(0.0))
+                F.coalesce(total(added, liquidity), nothing)
+                - F.coalesce(total(removed, liquidity), nothing)
             ).alias("net_liquidity"),
         )
         .filter(F.col("total_deposits_usd").isNotNull() | F.col("total_withdrawals_usd").isNotNull())
@@ -54,9 +57,8 @@ def held_intervals(net: DataFrame, start: date | str, as_of: date | str) -> Data
         & F.col("pool_address").isNotNull()
         & F.col("pool_name").isNotNull()
     )
-    return running_positive(
-        known, "net_liquidity", HOLDING, "day", "liquidity_adj", until="until"
-    ).select(*HOLDING, "day", "until", "liquidity_adj")
+    held = running_positive(known, "net_liquidity", HOLDING, "day", "liquidity_adj", until="until")
+    return held.select(*HOLDING, "day", "until", F.col("liquidity_adj").cast("double").alias("liquidity_adj"))
 
 
 def daily_holdings(intervals: DataFrame, lo: date | str, hi: date | str) -> DataFrame:
@@ -72,9 +74,7 @@ def hourly_state(pool_stats: DataFrame, prices: DataFrame) -> DataFrame:
     every raw row. ``prices`` has one row per token and hour.
     """
     state = last_in_bucket(
-        pool_stats.withColumn(
-            "block_hour", F.date_trunc("hour", "block_timestamp").cast("timestamp_ntz")
-        ),
+        pool_stats.withColumn("block_hour", hour_of("block_timestamp")),
         ("block_hour", "pool_address", "pool_name"),
         ("block_timestamp", "block_id"),
         (

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Sums that are later subtracted from each other must not round, or a small band next to
-# a huge one would vanish. Totals beyond 10^20 raise an overflow error.
-_EXACT = "decimal(38,18)"
+from ..functions.exact import exact
 
 
 def price_slice(price: str, per_octave: int = 64) -> Column:
@@ -46,8 +44,8 @@ def liquidity_at_bounds(
     """
     keys = list(keys)
     amount = F.when(F.col(lower) <= F.col(upper), F.col(liquidity)).otherwise(0.0)
-    amount = F.coalesce(amount, F.lit(0.0)).cast(_EXACT)
-    zero = F.lit(0).cast(_EXACT)
+    # a small band next to a huge one must not vanish when sums are subtracted
+    amount, zero = exact(F.coalesce(amount, F.lit(0.0))), exact(F.lit(0))
     edges = (
         bands.select(
             *keys,

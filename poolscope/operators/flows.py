@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact
+
 
 def flow_totals(
     df: DataFrame,
@@ -66,7 +68,8 @@ def fee_tally(
     ``dedupe=False`` switch them off.
     """
     def side(token: str, amount: str) -> Column:
-        earned = F.coalesce(F.col(amount), F.lit(0.0)).alias("amount")
+        # exact, because equal totals are merged
+        earned = exact(F.coalesce(F.col(amount), F.lit(0.0))).alias("amount")
         return F.struct(F.lit(token).alias("side"), F.col(token).alias("token"), earned)
 
     both = F.array(side("token0_symbol", "amount0_usd"), side("token1_symbol", token1_amount))
@@ -77,4 +80,5 @@ def fee_tally(
         .agg(F.sum("amount").alias("token_amount_earned"))
         .drop("side")
     )
-    return totals.distinct() if dedupe else totals
+    kept = totals.distinct() if dedupe else totals
+    return kept.withColumn("token_amount_earned", F.col("token_amount_earned").cast("double"))

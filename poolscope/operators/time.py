@@ -17,6 +17,11 @@ def timestamp(text: date | str) -> Column:
     return F.lit(str(text)).cast("timestamp_ntz")
 
 
+def hour_of(ts: str) -> Column:
+    """The start of the hour of a zone-less timestamp, without passing through the session's zone."""
+    return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(ts))
+
+
 def _until_end_of(ts: str, as_of: date) -> Column:
     return F.col(ts) < timestamp(as_of + timedelta(days=1))
 
