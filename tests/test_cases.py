@@ -148,6 +148,17 @@ def test_fees_are_merged_over_distinct_totals(spark):
     assert rows(fixed) == [("1", "X", 11.0), ("2", "X", 7.0), ("2", "Y", 0.0)]
 
 
+def test_equal_totals_merge_whatever_the_order_of_addition(spark):
+    fees = table(
+        spark, "position_collected_fees",
+        [{"block_timestamp": D1, "liquidity_provider": "1", "token0_symbol": t0, "token1_symbol": t1, "amount0_usd": a}
+         for t0, t1, a in [("X", "P", 0.1), ("X", "Q", 0.2), ("X", "R", 0.3), ("S", "X", 0.3), ("T", "X", 0.2),
+                           ("U", "X", 0.1)]],
+    )
+    got = {r.token: r.fees_collected_usd for r in plans.fees_by_provider(fees, "2023-01-01 00:00:00").collect()}
+    assert got["X"] == 0.6
+
+
 def test_manager_contract_is_excluded_in_lower_case(spark):
     fees = table(
         spark, "position_collected_fees",
@@ -195,6 +206,29 @@ def test_balances_fill_days_until_zero(spark):
     assert rows(one_day, "pool_address", "liquidity_adj") == [("p", 10.0), ("q", 3.0)]
 
 
+def test_taking_everything_out_leaves_nothing(spark):
+    """0.1 + 0.2 - 0.3 is not zero in doubles."""
+    actions = table(
+        spark, "lp_actions",
+        [{"block_timestamp": datetime(2024, 1, d), "action": f"{kind}_LIQUIDITY", "liquidity_provider": "a",
+          "liquidity_adjusted": liq, "pool_address": "p", "pool_name": "n", "amount0_usd": 1.0, "amount1_usd": 1.0}
+         for d, kind, liq in [(1, "INCREASE", 0.1), (2, "INCREASE", 0.2), (3, "DECREASE", 0.3)]],
+    )
+    held = balances.held_intervals(balances.net_liquidity_by_day(actions), "2024-01-01", "2024-01-09")
+    assert rows(held, "day", "until", "liquidity_adj") == [(day(1), day(2), 0.1), (day(2), day(3), 0.3)]
+
+
+def test_an_action_without_usd_value_does_not_count(spark):
+    actions = table(
+        spark, "lp_actions",
+        [{"block_timestamp": datetime(2024, 1, 1), "action": "INCREASE_LIQUIDITY", "liquidity_provider": lp,
+          "liquidity_adjusted": 5.0, "pool_address": "p", "pool_name": "n", "amount0_usd": usd, "amount1_usd": 1.0}
+         for lp, usd in [("a", None), ("b", 2.0)]],
+    )
+    got = rows(balances.net_liquidity_by_day(actions), "liquidity_provider", "total_deposits_usd")
+    assert got == [("b", 3.0)]
+
+
 def test_actions_before_the_spine_do_not_count(spark):
     net = spark.createDataFrame(
         [("a", "p", "n", day(1), 5.0), ("a", "p", "n", day(4), 2.0)],
@@ -210,6 +244,26 @@ def test_spine_starts_late_and_ends_at_as_of(spark):
     assert got == [("a", day(3)), ("a", day(4)), ("b", day(4))]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_hours_do_not_depend_on_the_session_zone(spark, zone):
+    # 02:40 on this day does not exist in New York
+    df = spark.createDataFrame([(datetime(2024, 3, 10, 2, 40, 59),)], "t timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert df.select(time.hour_of("t")).collect()[0][0] == datetime(2024, 3, 10, 2)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_lookbacks_end_with_as_of(spark):
+    stamps = [datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 31, 23), datetime(2024, 2, 1)]
+    df = spark.createDataFrame([(t,) for t in stamps], "t timestamp_ntz")
+    assert [r[0] for r in time.since_days(df, "t", "2024-01-31", 29).collect()] == stamps[1:3]
+    assert [r[0] for r in time.since(df, "t", "2024-01-31", "30 days", strict=True).collect()] == stamps[1:3]
+    assert [r[0] for r in time.on_day(df, "t", "2024-01-31").collect()] == stamps[2:3]
+    assert [r[0] for r in time.since_months(df, "t", "2024-02-01", 1).collect()] == stamps[1:]
+
+
 @pytest.mark.parametrize("block", [3, 4, 7, 1000])
 def test_global_rolling_equals_one_window(spark, block):
     from pyspark.sql import Window
@@ -337,6 +391,39 @@ def test_cohorts(spark):
                    ("Top_30_Today_Only", "_not_", 1)]
 
 
+def test_tokens_without_a_symbol_are_not_matched(spark):
+    """Flows of an unnamed token stay apart, as rows that no join key can match."""
+    at = datetime(2024, 1, 1)
+
+    def flow(name, wallet, symbol, amount, usd, records):
+        return table(
+            spark, name,
+            [{"block_timestamp": at, wallet: w, symbol: s, amount: a, usd: u, "tx_id": t}
+             for w, s, a, u, t in records],
+        )
+
+    b = flow("borrows", "borrower", "borrows_contract_symbol", "loan_amount", "loan_amount_usd",
+             [("x", None, 1.0, 10.0, "t1"), ("x", "A", 2.0, 20.0, "t2")])
+    d = flow("deposits", "supplier", "supplied_symbol", "supplied_base_asset", "supplied_base_asset_usd",
+             [("x", None, 3.0, 30.0, "t3"), ("x", "A", 4.0, 40.0, "t4"), ("y", "A", 1.0, 1.0, "t5")])
+    r = flow("repayments", "borrower", "repay_contract_symbol", "repayed_amount", "repayed_amount_usd",
+             [("x", "A", 1.0, 5.0, "t6"), ("x", None, 1.0, 5.0, "t7"), ("x", "B", 1.0, 5.0, "t8")])
+    empty = [table(spark, n, []) for n in ("liquidations", "redemptions")]
+    got = rows(
+        plans.whale_interactions(b, d, r, *empty, "2024-01-02", k=1),
+        "underlying_symbol", "borrow_amt_usd", "deposit_amt_usd", "net_borrowing", "num_borrows",
+        "borrow_total_amt_usd", "deposit_amt_token_order",
+    )
+    assert got == [("A", 20.0, 40.0, 15.0, 1, 30.0, 1), (None, 10.0, None, None, 1, 30.0, 1),
+                   (None, None, 30.0, None, None, 30.0, 1)]
+    got = rows(plans.market_leaders(b, d, "2024-01-02", k=1), "underlying_symbol", "borrow_amt_token",
+               "deposit_amt_token", "deposit_amt_usd")
+    assert got == [("A", 2.0, 4.0, 40.0)]
+    got = rows(plans.market_leaders(b, d, "2024-01-02", k=2), "underlying_symbol", "borrow_amt_token",
+               "deposit_amt_token")
+    assert got == [("A", 2.0, 4.0), (None, 1.0, None), (None, None, 3.0)]
+
+
 def test_new_providers_need_a_known_pool_and_live_first_position(spark):
     positions = table(
         spark, "positions",

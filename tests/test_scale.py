@@ -57,6 +57,12 @@ def test_stored_tables_are_read_with_their_schema_and_pushed_filters(spark, tmp_
     assert "comp_speed" not in read
 
 
+@pytest.mark.parametrize("name", sorted(ENTRIES))
+def test_nothing_but_slice_counts_meets_in_one_partition(spark, name):
+    counts = physical(ENTRIES[name].run(spark, SF)).count("SinglePartition")
+    assert counts <= (1 if name in ("reserve_revenue", "rolling_rows_global") else 0)
+
+
 def test_topk_per_group_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in physical(ENTRIES["topk_per_group"].run(spark, SF))
 
