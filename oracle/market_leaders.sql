@@ -1,8 +1,8 @@
 WITH b AS (
-  SELECT borrower AS who, borrows_contract_symbol AS sym, sum(loan_amount) AS amt, sum(loan_amount_usd) AS usd
+  SELECT borrower AS who, borrows_contract_symbol AS sym, sum(loan_amount) AS amt, CAST(sum(CAST(loan_amount_usd AS DECIMAL(38, 8))) AS DOUBLE) AS usd
   FROM borrows WHERE block_timestamp >= DATE '2001-08-01' - 60 AND block_timestamp < DATE '2001-08-02' GROUP BY 1, 2),
 d AS (
-  SELECT supplier AS who, supplied_symbol AS sym, sum(supplied_base_asset) AS amt, sum(supplied_base_asset_usd) AS usd
+  SELECT supplier AS who, supplied_symbol AS sym, sum(supplied_base_asset) AS amt, CAST(sum(CAST(supplied_base_asset_usd AS DECIMAL(38, 8))) AS DOUBLE) AS usd
   FROM deposits WHERE block_timestamp >= DATE '2001-08-01' - 60 AND block_timestamp < DATE '2001-08-02' GROUP BY 1, 2),
 ranked AS (
   SELECT who, sym, b.amt AS ba, b.usd AS bu, d.amt AS da, d.usd AS du,

@@ -1,9 +1,9 @@
 WITH b AS (
-  SELECT borrower AS who, borrows_contract_symbol AS sym, sum(loan_amount) AS amt, sum(loan_amount_usd) AS usd,
+  SELECT borrower AS who, borrows_contract_symbol AS sym, sum(loan_amount) AS amt, sum(CAST(loan_amount_usd AS DECIMAL(38, 8))) AS usd,
          count(DISTINCT tx_id) AS n
   FROM borrows WHERE block_timestamp >= DATE '2001-08-01' - 30 AND block_timestamp < DATE '2001-08-02' GROUP BY 1, 2),
 d AS (
-  SELECT supplier AS who, supplied_symbol AS sym, sum(supplied_base_asset) AS amt, sum(supplied_base_asset_usd) AS usd,
+  SELECT supplier AS who, supplied_symbol AS sym, sum(supplied_base_asset) AS amt, sum(CAST(supplied_base_asset_usd AS DECIMAL(38, 8))) AS usd,
          count(DISTINCT tx_id) AS n
   FROM deposits WHERE block_timestamp >= DATE '2001-08-01' - 30 AND block_timestamp < DATE '2001-08-02' GROUP BY 1, 2),
 p AS (

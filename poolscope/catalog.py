@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions.classify import CLASS_LABELS, in_range_state, pairing_type
+from .functions.exact import exact_sum
 from .functions.stats import coef_var, safe_corr
 from .operators import balances as bal
 from .operators import bands as bnd
@@ -210,10 +211,13 @@ def _topk_per_group(t: TableReader) -> DataFrame:
 
 
 def _topk_any(t: TableReader) -> DataFrame:
-    wallets = (
-        _full_outer_merge(t)
-        .groupBy("address")
-        .agg(F.sum("borrow_usd").alias("borrow_usd"), F.sum("repay_usd").alias("repay_usd"))
+    def total(name: str, value: str, out: str) -> DataFrame:
+        return t(name).groupBy(F.col("borrower").alias("address")).agg(exact_sum(value).alias(out))
+
+    wallets = flows.full_outer_merge(
+        total("borrows", "loan_amount_usd", "borrow_usd"),
+        total("repayments", "repayed_amount_usd", "repay_usd"),
+        ["address"],
     )
     return topk.topk_any(
         wallets, {"borrow_rank": "borrow_usd", "repay_rank": "repay_usd"}, 20, ["address"]

@@ -16,3 +16,8 @@ EXACT = "decimal(38,18)"
 
 def exact(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast(EXACT)
+
+
+def exact_sum(value: Column | str) -> Column:
+    """A double that is the same for every order of addition, for ranks and ties."""
+    return F.sum(exact(value)).cast("double")

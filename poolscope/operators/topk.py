@@ -61,7 +61,8 @@ def _place_slice(place: Column) -> Column:
 def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[str]) -> DataFrame:
     """Rows that are among the top ``k`` by *any* of several measures, with every exact rank.
 
-    ``ranks`` maps a rank column to its measure; ``tiebreak`` must identify a row. Only these
+    ``ranks`` maps a rank column to its measure; ``tiebreak`` must identify a row. A measure that
+    is a sum must be exact, since a row is compared with itself over several passes. Only these
     columns come back, so that the several passes over ``df`` read no others and share their
     exchanges; look further columns up for the few rows of the result.
 

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sum
 from ..functions.stats import coef_var, safe_corr
 from ..operators.flows import flow_totals, full_outer_merge, off_peg
 from ..operators.rolling import diff_prev_nonnull, rolling_rows, rolling_rows_global
@@ -143,8 +144,8 @@ def whale_interactions(
         .union(flows[DEPOSITED])
         .groupBy("address")
         .agg(
-            F.sum(_of(BORROWED, "usd")).alias("borrow_total_amt_usd"),
-            F.sum(_of(DEPOSITED, "usd")).alias("deposit_total_amt_usd"),
+            exact_sum(_of(BORROWED, "usd")).alias("borrow_total_amt_usd"),
+            exact_sum(_of(DEPOSITED, "usd")).alias("deposit_total_amt_usd"),
         )
     )
     whales = topk_any(
@@ -232,7 +233,7 @@ def market_leaders(
     )
 
     def sides(unit: str, column: str) -> list[Column]:
-        return [F.sum(_of(f, column)).alias(f"{f.kind}_amt_{unit}") for f in (BORROWED, DEPOSITED)]
+        return [exact_sum(_of(f, column)).alias(f"{f.kind}_amt_{unit}") for f in (BORROWED, DEPOSITED)]
 
     key = [*pair, "__apart"]
     leaders = topk_any(
