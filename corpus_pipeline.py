@@ -1,11 +1,63 @@
-"""A corpus pipeline over the documents table."""
+"""A corpus pipeline over the documents table, made of the operators in ``poolscope.llm``.
 
-STAGES = []
+Every stage takes what its predecessor kept; the last one turns the mix into packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from poolscope.llm import classifier, line_dedup, mixing, ngram_join, packing
+from poolscope.llm.shared import staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source; ``n_chars`` follows the text."""
+    cleaned = line_dedup.drop_boilerplate(docs, F.col("source"))
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class, the one with the smallest id."""
+    classes = ngram_join.ngram_components(docs)
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("__first")).drop("__first")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated as the weights of their sources want it."""
+    return mixing.mix_sources(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("source mixing", mixture),
+    ("best-fit packing", packed),
+]
+
+# The classifier, the join and the packing have no SQL form; tests compare with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = staged(docs, f"pipeline-{k}")
     return docs
