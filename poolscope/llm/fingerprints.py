@@ -2,9 +2,10 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band. A document's terms in
 the lexicon are sorted; each of ``SUBSETS`` random subsets of the lexicon keeps some of them, and
-their hash is one part of the fingerprint. The subsets keep from a half down to 1/64 of the
-lexicon, so that short and long documents both have parts that outlive an edit. The likeness of
-two fingerprints is the share of equal parts among those that are not empty in both.
+their hash is one part of the fingerprint. There are ``EACH`` subsets on each of ``LEVELS`` levels,
+which keep a half, a quarter and so on of the lexicon, so that short and long documents both have
+parts that outlive an edit; one more part hashes all terms. The likeness of two fingerprints is the
+share of equal parts on the level where it is highest, empty parts not counted.
 
 A term of the band stands in at least a share ``LEAST`` of all documents, so the lexicon has at
 most (mean distinct terms per document) / ``LEAST`` terms, however many documents there are. It is
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import ensure_columns, staged, text_or_empty
 
 LEAST, MOST = 0.001, 0.2
-LEVELS, EACH = 6, 4
+LEVELS, EACH, LEAST_PARTS = 8, 4, 2
 SUBSETS = LEVELS * EACH
 BLOCK_BITS, UPPER_BITS = 10, 21
 
@@ -106,22 +107,39 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return near.select("block", "place", "doc_id", "text", edited.alias("edited")), blocks
 
 
+def _short(value: Column) -> Column:
+    """Eight hex digits of a hash."""
+    return F.lpad(F.lower(F.hex(F.pmod(value, F.lit(2**32)))), 8, "0")
+
+
 def _parts(found: Column, spare: Column) -> Column:
-    """The hashes of a document's terms in each subset, '' where none is kept."""
+    """The hash of all terms and that of each subset's terms, '' where it keeps none."""
+    def hashed(terms: Column) -> Column:
+        return _short(F.xxhash64(F.transform(terms, lambda x: x["term"])))
+
     def part(k: int) -> Column:
         kept = F.filter(found, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0)
-        return F.when(F.size(kept) > 0, F.lower(F.hex(F.xxhash64(F.transform(kept, lambda x: x["term"]))))).otherwise("")
+        return F.when(F.size(kept) > 0, hashed(kept)).otherwise("")
 
-    return F.when(F.size(found) > 0, F.array(*[part(k) for k in range(SUBSETS)])).otherwise(
-        F.array_repeat(F.concat(F.lit("all"), F.lower(F.hex(spare))), SUBSETS)
+    outside = F.concat(F.lit("x"), _short(spare))
+    return F.when(F.size(found) > 0, F.array(hashed(found), *[part(k) for k in range(SUBSETS)])).otherwise(
+        F.array_repeat(outside, 1 + SUBSETS)
     )
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal parts among those that are not empty in both; 0 if all are."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != "")), lambda x: x))
-    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != "") | (y != "")), lambda x: x))
-    return F.when(some > 0, same / some).otherwise(0.0)
+    """From 0 to 1: the share of equal parts on the best level with ``LEAST_PARTS`` parts or more."""
+    def share(level: int) -> Column:
+        pairs = F.arrays_zip(
+            F.slice(a, 2 + level * EACH, EACH).alias("x"), F.slice(b, 2 + level * EACH, EACH).alias("y")
+        )
+        some = F.filter(pairs, lambda p: (p["x"] != "") | (p["y"] != ""))
+        same = F.filter(some, lambda p: p["x"] == p["y"])
+        return F.when(F.size(some) >= LEAST_PARTS, F.size(same) / F.size(some))
+
+    return F.when(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), 1.0).otherwise(
+        F.coalesce(F.greatest(*[share(k) for k in range(LEVELS)]), F.lit(0.0))
+    )
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -137,11 +155,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     each = hashed.select(
         "block", "place", "doc_id", "n_chars", "edited_sha256", F.posexplode("terms").alias("version", "terms")
     )
-    spare = F.xxhash64(F.array_sort("terms"))
-    single = each.select(
-        "block", "place", "version", F.struct("doc_id", "n_chars", "edited_sha256", spare.alias("spare")).alias("kept"),
-        F.posexplode_outer("terms").alias("at", "term"),
-    ).withColumn("kept", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")))
+    carried = F.struct("doc_id", "n_chars", "edited_sha256", "spare").alias("kept")
+    single = (
+        each.withColumn("spare", F.xxhash64(F.array_sort("terms")))
+        .select("block", "place", "version", carried, "terms")
+        .select("block", "place", "version", "kept", F.posexplode_outer("terms").alias("at", "term"))
+        .withColumn("kept", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")))
+    )
     matched = single.join(words, "term", "left").where("mask is not null or kept is not null")
     known = F.when(F.col("mask").isNotNull(), F.struct("term", "mask"))
     grouped = matched.groupBy("block", "place", "version").agg(
