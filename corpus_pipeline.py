@@ -24,11 +24,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest id."""
+    """One document of each class, the one with the smallest id; rows without an id stay."""
     classes = ngram_join.ngram_components(docs)
     first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("__first")).drop("__first")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    unnamed = docs.where("doc_id is null")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unnamed)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
