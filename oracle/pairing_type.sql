@@ -1,5 +1,5 @@
 SELECT block_id,
-       CASE CAST(token0_symbol IN ('USDC', 'USDT', 'DAI', 'FEI', 'EURS') AS INT)
-          + CAST(token1_symbol IN ('USDC', 'USDT', 'DAI', 'FEI', 'EURS') AS INT)
-         WHEN 2 THEN '_stable_stable_' WHEN 1 THEN '_stable_other_' ELSE '_other_other_' END AS pairing_type
+       CASE WHEN token0_symbol IN (SELECT symbol FROM stables) AND token1_symbol IN (SELECT symbol FROM stables) THEN '_stable_stable_'
+            WHEN token0_symbol IN (SELECT symbol FROM stables) OR token1_symbol IN (SELECT symbol FROM stables) THEN '_stable_other_'
+            ELSE '_other_other_' END AS pairing_type
 FROM pool_stats

@@ -36,7 +36,7 @@ MANAGER = 7
 
 # Common table expressions shared by oracles, each using only those before it.
 FRAGMENTS = (
-    "edge_flags", "edge_bands", "day_bands", "covered", "edge_prices", "day_actions", "pool_value", "price_span",
+    "stables", "edge_flags", "edge_bands", "day_bands", "covered", "edge_prices", "day_actions", "pool_value", "price_span",
     "responses", "movements", "class_shares", "net_by_day", "holdings", "hour_state", "hour_value",
     "value_per_unit",
 )
@@ -333,7 +333,7 @@ def _cohort_label(t: TableReader) -> DataFrame:
         on_that_day = daily.filter(F.col("block_day") == F.lit(day).cast("date"))
         return topk.topk(on_that_day, "token_bal_usd", 30, ["liquidity_provider"], rank=None)
 
-    return bal.cohort_label(daily, leaders(COHORT_DAY), leaders(EVENTS_DAY))
+    return bal.cohort_label(daily, F.broadcast(leaders(COHORT_DAY)), F.broadcast(leaders(EVENTS_DAY)))
 
 
 def _fee_tally(t: TableReader) -> DataFrame:

@@ -191,13 +191,12 @@ def cohort_label(
 ) -> DataFrame:
     """Balance and providers per day by membership in two top lists.
 
-    ``balances`` has one row per day and provider. Only providers in both lists are shown
-    by address. The lists are top-k results, so their size is bounded and they are broadcast.
+    ``balances`` has one row per day and provider, a list one row per provider. Only providers in both lists are shown
+    by address. A caller that knows the lists to be small may pass them with a broadcast hint.
     """
 
     def members(cohort: DataFrame, flag: str) -> DataFrame:
-        listed = cohort.select("liquidity_provider").distinct().withColumn(flag, F.lit(True))
-        return F.broadcast(listed)
+        return cohort.select("liquidity_provider", F.lit(True).alias(flag))
 
     in_a = F.coalesce(F.col("__a"), F.lit(False))
     in_b = F.coalesce(F.col("__b"), F.lit(False))

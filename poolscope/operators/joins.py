@@ -12,10 +12,8 @@ _SALT = "__salt"
 
 def _default_salts(df: DataFrame) -> int:
     # A third of all rows under one key, cut into partitions/3 parts, gives parts the size
-    # of an average partition. The ceiling bounds the copies of the summary; adaptive
-    # execution splits parts that are still too large.
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(16, partitions // 3))
+    # of an average partition, however many partitions there are.
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
 
 
 def salted_join(
@@ -37,7 +35,9 @@ def salted_join(
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"copying the summary would change a {how!r} join")
     n = salts or _default_salts(big)
-    salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(n).cast("long")))
+    # never NULL, so that no filter is inferred on it that would make equal plans differ
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.lit(n).cast("long")), F.lit(0).cast("long"))
+    salted = big.withColumn(_SALT, salt)
     copies = summary.withColumn(
         _SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     )

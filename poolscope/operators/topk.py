@@ -68,9 +68,10 @@ def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[st
 
     At most ``k`` rows per measure can qualify, and those come from per-task top-k. Their rank
     in the *other* measures may be anything, and numbering all rows in one task to learn it
-    does not scale. Instead rows are counted per slice of the measure, and within the few
-    slices that hold a qualifying row (the broadcast ones) also how many go ahead of it. Both
-    counts are summed map-side; only one row per slice and qualifying row meets in a task.
+    does not scale. Instead rows are counted per slice of the measure (map-side). The few slices
+    that hold a qualifying row are broadcast, one row each with its sorted marks; a row there is
+    counted in the gap between marks where it sorts. Every row stays one row, however many marks
+    its slice has, and a qualifying row is told from the others by its key, not by its value.
     """
     names = list(ranks)
     keyed = list(dict.fromkeys([*tiebreak, *ranks.values()]))
@@ -91,26 +92,38 @@ def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[st
         ]
         return rows.select(F.inline(F.array(*each)))
 
-    marks = sides(winners, F.struct(*keyed).alias("row")).withColumnsRenamed(
-        {"at": "mark_at", "tie": "mark_tie"}
-    )
-    ahead = (F.col("at") < F.col("mark_at")) | (
-        (F.col("at") == F.col("mark_at")) & (F.col("tie") < F.col("mark_tie"))
+    marks = (
+        sides(winners, F.struct(*keyed).alias("row"))
+        .groupBy("side", "slice")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "tie", "row"))).alias("marks"))
     )
+    here = F.struct("at", "tie")
+
+    def not_after(mark: Column) -> Column:
+        return (mark["tie"] == F.col("tie")) | (F.struct(mark["at"], mark["tie"]) <= here)
+
+    gap = F.coalesce(F.size(F.filter("marks", not_after)), F.lit(0))
     counted = (
         sides(slim)
         .join(F.broadcast(marks), ["side", "slice"], "left")
-        .groupBy("side", "slice", "row")
-        .agg(F.count("*").alias("in_slice"), F.count_if(ahead).alias("ahead"))
+        .groupBy("side", "slice", F.when(F.col("marks").isNull(), 0).otherwise(gap).alias("gap"))
+        .agg(F.count("*").alias("n"))
+    )
+    in_order = Window.partitionBy("side").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (
+        counted.groupBy("side", "slice")
+        .agg(F.sum("n").alias("in_slice"), F.collect_list(F.struct("gap", "n")).alias("gaps"))
+        .withColumn("earlier", F.coalesce(F.sum("in_slice").over(in_order), F.lit(0)))
+    )
+    ahead = F.aggregate(
+        F.filter("gaps", lambda g: g["gap"] <= F.col("number")),
+        F.lit(0).cast("long"),
+        lambda total, g: total + g["n"],
     )
-    # A slice has one row per mark in it, each with the slice's full count: use the first.
-    in_order = Window.partitionBy("side").orderBy("slice")
-    first = F.row_number().over(Window.partitionBy("side", "slice").orderBy("row")) == 1
-    earlier = F.sum("once").over(in_order.rangeBetween(Window.unboundedPreceding, -1))
     placed = (
-        counted.withColumn("once", F.when(first, F.col("in_slice")))
-        .withColumn("rank", F.coalesce(earlier, F.lit(0)) + F.col("ahead") + 1)
-        .filter(F.col("row").isNotNull())
+        marks.select("side", "slice", F.posexplode("marks").alias("number", "mark"))
+        .join(slices, ["side", "slice"])
+        .select("side", F.col("mark.row").alias("row"), (F.col("earlier") + ahead + 1).alias("rank"))
     )
     return placed.groupBy(*[F.col(f"row.{c}").alias(c) for c in keyed]).agg(
         *[F.max(F.when(F.col("side") == i, F.col("rank"))).alias(name) for i, name in enumerate(names)]

@@ -355,7 +355,8 @@ def reserve_revenue(
             # of hexadecimal addresses: at most 4096 slices per day
             slice_by=F.substring("ctoken_address", 1, 5),
         )
-    return rolled.select("date", "underlying_symbol", out).orderBy(F.desc("date"))
+    ordered = rolled.orderBy(F.desc("date"), "underlying_symbol", "ctoken_address")
+    return ordered.select("date", "underlying_symbol", out)
 
 
 def off_peg_hours(

@@ -147,4 +147,5 @@ def cohort_balances(
         best = topk(daily.withColumn("__usd", of_day), "__usd", k, ["liquidity_provider"], rank=None)
         return best.filter(F.col("__usd").isNotNull())
 
-    return cohort_label(daily, leaders(cohort_day), leaders(as_of))
+    # at most k rows each
+    return cohort_label(daily, F.broadcast(leaders(cohort_day)), F.broadcast(leaders(as_of)))

@@ -50,8 +50,10 @@ SELECT event_id AS block_id, ts AS block_timestamp, user_id % 12 AS pool_address
        concat('pool-', CAST(user_id % 12 AS STRING)) AS pool_name,
        concat('t', CAST(user_id % 12 AS STRING)) AS token0_address,
        concat('t', CAST((user_id + 5) % 12 AS STRING)) AS token1_address,
-       CASE WHEN user_id % 12 < 4 THEN 'USDC' WHEN user_id % 12 < 8 THEN 'WETH' ELSE 'UNI' END AS token0_symbol,
-       CASE WHEN user_id % 12 IN (0, 1, 4, 5) THEN 'DAI' ELSE 'WBTC' END AS token1_symbol,
+       CASE WHEN user_id % 12 < 4 THEN 'USDC' WHEN user_id % 12 < 8 THEN 'WETH'
+            WHEN user_id % 12 = 11 THEN NULL ELSE 'UNI' END AS token0_symbol,
+       CASE WHEN user_id % 12 IN (0, 1, 4, 5) THEN 'DAI' WHEN user_id % 12 IN (2, 10) THEN NULL
+            ELSE 'WBTC' END AS token1_symbol,
        1 + value AS price_1_0, value * 3 AS token0_balance_adjusted, value * 2 AS token1_balance_adjusted,
        CASE WHEN event_id % 97 = 0 THEN NULL ELSE value * 100 END AS token0_balance_usd,
        value * 50 AS token1_balance_usd, value * 7 AS virtual_liquidity_adjusted,
