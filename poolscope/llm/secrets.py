@@ -21,6 +21,8 @@ kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +109,13 @@ def randomness(value: Column, kind: Column) -> Column:
     def battery(x: Column, n: Column) -> Column:
         middle = (size - 1) / 2.0
         spread = (size * size - 1) / 12.0
-        cells = [F.size(F.filter(x, lambda v, c=c: F.floor(v * CELLS / size) == c)) for c in range(CELLS)]
         expected = n / CELLS
-        chi = sum(((c - expected) * (c - expected) / expected for c in cells[1:]), (cells[0] - expected) * (cells[0] - expected) / expected)
+
+        def excess(cell: int) -> Column:
+            found = F.size(F.filter(x, lambda v: F.floor(v * CELLS / size) == cell))
+            return F.pow(found - expected, F.lit(2)) / expected
+
+        chi = reduce(lambda a, b: a + b, [excess(cell) for cell in range(CELLS)])
         df = CELLS - 1
         wilson = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
         pairs = F.arrays_zip(F.slice(x, F.lit(1), F.size(x) - 1).alias("a"), F.slice(x, F.lit(2), F.size(x) - 1).alias("b"))
