@@ -1,9 +1,12 @@
-"""Sums that must not depend on the order of addition.
+"""Sums whose last bits do not depend on the order of addition, for values of any size.
 
 A sum of doubles changes in its last bits with the order in which tasks deliver their parts.
 That is harmless in a reported figure, but not where the sum is compared with zero or with
-another sum, or where large parts cancel. There the values are added as decimals: exact to 18
-places, with an overflow error beyond 10^20.
+another sum, or where large parts cancel. There a value has two parts that are summed each: a
+decimal of 12 places, exact in any order, and a double with what the decimal leaves. The decimal
+takes values below 10^15, so that 10^11 of them cannot overflow, and leaves zero of a value with up
+to 12 places; the double takes larger values whole, and infinity and NaN. Nothing is dropped or
+refused, however large or small.
 """
 
 from __future__ import annotations
@@ -11,13 +14,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT = "decimal(38,18)"
+EXACT = "decimal(38,12)"
+LARGEST = 1e15
+
+
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def _small(x: Column) -> Column:
+    return F.coalesce((F.abs(x) < LARGEST) & ~F.isnan(x), F.lit(False))
 
 
 def exact(value: Column | str) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast(EXACT)
+    """The decimal part of a value; NULL for NULL."""
+    x = _column(value).cast("double")
+    return F.when(_small(x), x.try_cast(EXACT)).when(x.isNotNull(), F.lit(0).cast(EXACT))
+
+
+def loose(value: Column | str) -> Column:
+    """What the decimal part leaves of a value, as a double."""
+    x = _column(value).cast("double")
+    return F.when(_small(x), x - x.try_cast(EXACT).cast("double")).otherwise(x)
 
 
 def exact_sum(value: Column | str) -> Column:
-    """A double that is the same for every order of addition, for ranks and ties."""
-    return F.sum(exact(value)).cast("double")
+    """The sum as a double; NULL if there is no value."""
+    return F.sum(exact(value)).cast("double") + F.sum(loose(value))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import price_status
-from ..functions.exact import exact
+from ..functions.exact import exact, loose
 from .joins import salted_join
 from .rolling import running_positive
 from .snapshot import last_in_bucket
@@ -27,18 +27,17 @@ def net_liquidity_by_day(lp_actions: DataFrame) -> DataFrame:
         return F.sum(F.when(side, value))
 
     # exact, so that taking everything out again leaves zero and not a last bit
-    liquidity = exact("liquidity_adjusted")
-    nothing = exact(F.lit(0))
+    def net(part: Column) -> Column:
+        return F.sum(F.when(added, part).otherwise(-part))
+
     return (
         lp_actions.filter(added | removed)
         .groupBy(*HOLDING, F.to_date("block_timestamp").alias("day"))
         .agg(
             total(added, usd).alias("total_deposits_usd"),
             (-total(removed, usd)).alias("total_withdrawals_usd"),
-            (
-                F.coalesce(total(added, liquidity), nothing)
-                - F.coalesce(total(removed, liquidity), nothing)
-            ).alias("net_liquidity"),
+            F.coalesce(net(exact("liquidity_adjusted")), exact(F.lit(0))).alias("net_liquidity"),
+            F.coalesce(net(loose("liquidity_adjusted")), F.lit(0.0)).alias("net_liquidity_loose"),
         )
         .filter(F.col("total_deposits_usd").isNotNull() | F.col("total_withdrawals_usd").isNotNull())
     )
@@ -57,8 +56,9 @@ def held_intervals(net: DataFrame, start: date | str, as_of: date | str) -> Data
         & F.col("pool_address").isNotNull()
         & F.col("pool_name").isNotNull()
     )
-    held = running_positive(known, "net_liquidity", HOLDING, "day", "liquidity_adj", until="until")
-    return held.select(*HOLDING, "day", "until", F.col("liquidity_adj").cast("double").alias("liquidity_adj"))
+    parts = ("net_liquidity", "net_liquidity_loose")
+    held = running_positive(known, parts, HOLDING, "day", "liquidity_adj", until="until")
+    return held.select(*HOLDING, "day", "until", "liquidity_adj")
 
 
 def daily_holdings(intervals: DataFrame, lo: date | str, hi: date | str) -> DataFrame:

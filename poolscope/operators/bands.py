@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import exact
+from ..functions.exact import exact, loose
 
 
 def price_slice(price: str, per_octave: int = 64) -> Column:
@@ -45,58 +45,71 @@ def liquidity_at_bounds(
     keys = list(keys)
     amount = F.when(F.col(lower) <= F.col(upper), F.col(liquidity)).otherwise(0.0)
     # a small band next to a huge one must not vanish when sums are subtracted
-    amount, zero = exact(F.coalesce(amount, F.lit(0.0))), exact(F.lit(0))
+    amount = F.coalesce(amount, F.lit(0.0))
+    parts = {"exact": exact(amount), "loose": loose(amount)}
+    zero = {"exact": exact(F.lit(0)), "loose": F.lit(0.0)}
+
+    def edge(at: str, up: bool) -> Column:
+        columns = [F.col(at).alias("at")]
+        for name, part in parts.items():
+            nothing = zero[name]
+            columns += [
+                (part if up else nothing).alias(f"up_{name}"),
+                (nothing if up else part).alias(f"down_{name}"),
+            ]
+        return F.struct(*columns)
+
+    sums = [F.sum(f"__e.{side}_{name}").alias(f"__{side}_{name}") for name in parts for side in ("up", "down")]
     edges = (
-        bands.select(
-            *keys,
-            F.explode(
-                F.array(
-                    F.struct(F.col(lower).alias("at"), amount.alias("up"), zero.alias("down")),
-                    F.struct(F.col(upper).alias("at"), zero.alias("up"), amount.alias("down")),
-                )
-            ).alias("__e"),
-        )
+        bands.select(*keys, F.explode(F.array(edge(lower, True), edge(upper, False))).alias("__e"))
         .groupBy(*keys, F.col("__e.at").alias(bound))
-        .agg(F.sum("__e.up").alias("__up"), F.sum("__e.down").alias("__down"))
+        .agg(*sums)
         .filter(F.col(bound).isNotNull())
         .withColumn("__slice", price_slice(bound))
     )
 
+    def whole(prefix: str) -> Column:
+        """The two parts of a sum put together."""
+        return F.col(f"{prefix}_exact").cast("double") + F.col(f"{prefix}_loose")
+
     in_slice = Window.partitionBy(*keys, "__slice").orderBy(bound)
-    swept = edges.withColumn(
-        "__local",
-        F.sum("__up").over(in_slice) - (F.sum("__down").over(in_slice) - F.col("__down")),
+    swept = edges.withColumns(
+        {
+            f"__local_{name}": F.sum(f"__up_{name}").over(in_slice)
+            - (F.sum(f"__down_{name}").over(in_slice) - F.col(f"__down_{name}"))
+            for name in parts
+        }
     )
 
     of_key = Window.partitionBy(*keys)
     earlier = of_key.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.sum(f"__{side}_{name}").alias(f"__{side}_{name}") for name in parts for side in ("up", "down")]
+    carried = {
+        f"__carried_{name}": F.coalesce(
+            F.sum(f"__up_{name}").over(earlier) - F.sum(f"__down_{name}").over(earlier),
+            zero[name],
+        )
+        for name in parts
+    }
     slices = (
         swept.groupBy(*keys, "__slice")
-        .agg(
-            F.sum("__up").alias("__up"),
-            F.sum("__down").alias("__down"),
-            F.sum(F.col("__local").cast("double")).alias("__local"),
-            F.count("*").alias("__n"),
-        )
-        .withColumn(
-            "__carried",
-            F.coalesce(F.sum("__up").over(earlier) - F.sum("__down").over(earlier), zero),
-        )
+        .agg(*totals, F.sum(whole("__local")).alias("__local"), F.count("*").alias("__n"))
+        .withColumns(carried)
         # every edge of the slice also lies in the bands carried into it
-        .withColumn("__sum", F.col("__local") + F.col("__n") * F.col("__carried").cast("double"))
+        .withColumn("__sum", F.col("__local") + F.col("__n") * whole("__carried"))
         .select(
             *keys,
             "__slice",
-            "__carried",
+            *carried,
             F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("__before"),
             F.sum("__sum").over(of_key).alias("total_liquidity"),
         )
     )
 
-    here = (F.col("__carried") + F.col("__local")).cast("double")
+    here = [F.col(f"__carried_{name}") + F.col(f"__local_{name}") for name in parts]
     return (
         swept.join(slices, [*keys, "__slice"])
-        .withColumn("bound_liquidity", here)
+        .withColumn("bound_liquidity", here[0].cast("double") + here[1])
         .withColumn("liquidity_below", F.col("__before") + F.sum("bound_liquidity").over(in_slice))
         .select(*keys, bound, "bound_liquidity", "liquidity_below", "total_liquidity")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import exact
+from ..functions.exact import exact_sum
 
 
 def flow_totals(
@@ -68,8 +68,7 @@ def fee_tally(
     ``dedupe=False`` switch them off.
     """
     def side(token: str, amount: str) -> Column:
-        # exact, because equal totals are merged
-        earned = exact(F.coalesce(F.col(amount), F.lit(0.0))).alias("amount")
+        earned = F.coalesce(F.col(amount), F.lit(0.0)).alias("amount")
         return F.struct(F.lit(token).alias("side"), F.col(token).alias("token"), earned)
 
     both = F.array(side("token0_symbol", "amount0_usd"), side("token1_symbol", token1_amount))
@@ -77,8 +76,8 @@ def fee_tally(
         fees.filter(F.col("block_timestamp") > since)
         .select("liquidity_provider", F.inline(both))
         .groupBy("liquidity_provider", "token", "side")
-        .agg(F.sum("amount").alias("token_amount_earned"))
+        # exact, because equal totals are merged
+        .agg(exact_sum("amount").alias("token_amount_earned"))
         .drop("side")
     )
-    kept = totals.distinct() if dedupe else totals
-    return kept.withColumn("token_amount_earned", F.col("token_amount_earned").cast("double"))
+    return totals.distinct() if dedupe else totals

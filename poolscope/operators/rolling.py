@@ -8,6 +8,8 @@ into slices and the slices' totals are carried over.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,15 +94,25 @@ def diff_prev_nonnull(
 
 
 def running_positive(
-    df: DataFrame, value: str, keys: Sequence[str], order: str, out: str, until: str | None = None
+    df: DataFrame,
+    value: str | Sequence[str],
+    keys: Sequence[str],
+    order: str,
+    out: str,
+    until: str | None = None,
 ) -> DataFrame:
     """Running total per key, keeping the rows where it is positive.
 
+    Several value columns are the parts of one value; each is summed in its own type.
+
     With ``until``, each row also gets the next row's ``order`` value, so a kept row
     reads as a balance that holds over ``[order, until)``.
     """
     series = Window.partitionBy(*keys).orderBy(order)
-    totals = df.withColumn(out, F.sum(value).over(series))
+    parts = [value] if isinstance(value, str) else value
+    sums = [F.sum(part).over(series) for part in parts]
+    total = sums[0] if len(sums) == 1 else reduce(add, [part.cast("double") for part in sums])
+    totals = df.withColumn(out, total)
     if until is not None:
         totals = totals.withColumn(until, F.lead(order).over(series))
     return totals.filter(F.col(out) > 0)

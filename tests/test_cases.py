@@ -346,6 +346,51 @@ def test_small_band_survives_next_to_a_huge_one(spark):
     assert got == {1.0: 1e19, 2.0: 1e19, 3.0: 0.25, 3.5: 0.25, 4.0: 0.25, 8.0: 0.0, 9.0: 0.0}
 
 
+BIG, TINY = 1e21, 1e-19
+
+
+def test_sums_take_values_of_any_size(spark):
+    from poolscope.functions.exact import exact_sum
+
+    df = spark.createDataFrame(
+        [("big", BIG), ("big", BIG), ("tiny", TINY), ("tiny", TINY), ("odd", float("nan")), ("odd", 1.0), ("none", None),
+         ("mixed", 0.1), ("mixed", None), ("mixed", 0.2), ("inf", float("inf")), ("gone", BIG), ("gone", -BIG), ("gone", 0.3),
+         ("gone", -0.1), ("gone", -0.2)],
+        "k string, x double",
+    )
+    got = dict(rows(df.groupBy("k").agg(exact_sum("x").alias("s")), "k", "s"))
+    assert str(got.pop("odd")) == "nan"
+    assert got == {"big": 2e21, "tiny": 2e-19, "none": None, "mixed": 0.3, "inf": float("inf"), "gone": 0.0}
+
+
+@pytest.mark.parametrize("size", [BIG, TINY, 0.1])
+def test_balances_of_any_size_end_with_withdrawal(spark, size):
+    actions = table(
+        spark, "lp_actions",
+        [{"block_timestamp": datetime(2024, 1, d), "action": f"{kind}_LIQUIDITY", "liquidity_provider": "a",
+          "liquidity_adjusted": liq, "pool_address": "p", "pool_name": "n", "amount0_usd": 1.0, "amount1_usd": 1.0}
+         for d, kind, liq in [(1, "INCREASE", size), (3, "DECREASE", size)]],
+    )
+    held = balances.held_intervals(balances.net_liquidity_by_day(actions), "2024-01-01", "2024-01-09")
+    assert rows(held, "day", "until", "liquidity_adj") == [(day(1), day(3), size)]
+
+
+def test_bands_and_fees_of_any_size(spark):
+    df = spark.createDataFrame(
+        [("p", 1.0, 2.0, BIG), ("p", 3.0, 4.0, TINY), ("p", 3.0, 5.0, 1 / 3)],
+        "pool string, price_lower_1_0 double, price_upper_1_0 double, avg_liquidity double",
+    )
+    got = dict(rows(bands.liquidity_at_bounds(df, ["pool"]), "price_bound_1_0", "bound_liquidity"))
+    assert got[1.0] == got[2.0] == BIG and got[5.0] == pytest.approx(1 / 3, rel=1e-9)
+    fees = table(
+        spark, "position_collected_fees",
+        [{"block_timestamp": D1, "liquidity_provider": "1", "token0_symbol": t, "token1_symbol": "Y", "amount0_usd": a}
+         for t, a in [("X", BIG), ("Z", TINY), ("N", float("nan"))]],
+    )
+    earned = {r.token: r.fees_collected_usd for r in plans.fees_by_provider(fees, "2023-01-01 00:00:00").collect()}
+    assert earned["X"] == BIG and earned["Z"] == TINY and str(earned["N"]) == "nan"
+
+
 def test_slices_never_decrease(spark):
     df = spark.createDataFrame([(float(x),) for x in (-1, 0, 1e-300, 0.5, 1, 1.001, 2, 1e300, "inf", "nan")], "x double")
     got = [r[0] for r in df.orderBy("x").select(bands.price_slice("x")).collect()]

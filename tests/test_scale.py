@@ -173,3 +173,33 @@ def test_class_share_counts_a_provider_once_per_pool(spark):
         for r in pool.class_share(movement).collect()
     }
     assert got == {"Other": (1.0, 0.625, 0.75), "Still_out_of_range": (0.5, 0.375, 0.25)}
+
+
+@pytest.mark.parametrize("values", ["CASE WHEN id % 5 = 0 THEN id ELSE NULL END", "1"])
+def test_topk_any_counts_rows_without_multiplying_them(spark, values):
+    """Most rows NULL, or all tied: the join gives one row per row and measure, and exact ranks."""
+    df = spark.range(20000).selectExpr("id AS k", f"CAST({values} AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b")
+    found = topk.topk_any(df, {"ra": "a", "rb": "b"}, 50, ["k"])
+    by = {c: Window.orderBy(F.col(c).desc_nulls_last(), "k") for c in "ab"}
+    literal = df.withColumn("ra", F.row_number().over(by["a"])).withColumn("rb", F.row_number().over(by["b"]))
+    wanted = literal.filter("ra <= 50 OR rb <= 50")
+    assert sorted(map(tuple, found.select("k", "ra", "rb").collect())) == sorted(
+        map(tuple, wanted.select("k", "ra", "rb").collect())
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") >= 1 and "count(1)" in plan
+
+
+def test_salts_follow_the_partitions(spark, no_broadcast):
+    """A key with all rows is cut into parts of about equal size, whatever their number."""
+    spark.conf.set("spark.sql.shuffle.partitions", "240")
+    try:
+        assert joins._default_salts(spark.range(1)) == 80
+        big = spark.range(80000).selectExpr("1 AS key", "id AS row")
+        salt = F.pmod(F.xxhash64("row"), F.lit(joins._default_salts(big)))
+        sizes = [r["count"] for r in big.groupBy(salt.alias("s")).count().collect()]
+        assert len(sizes) == 80 and max(sizes) <= 2 * 80000 / 80
+        summary = spark.createDataFrame([(1, "one")], "key int, name string")
+        assert joins.salted_join(big, summary, ("key",), ("row",)).count() == 80000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
