@@ -54,12 +54,15 @@ def _rounded(column: str, digits: int) -> Column:
     return F.floor(F.col(column).cast("double") * scale + _HALF_UP) / scale
 
 
-def _inputs_of(text: str) -> str:
-    """The shared expressions and derived tables an oracle mentions, as a WITH list."""
+def _inputs_of(text: str, swapped: dict[str, str]) -> str:
+    """The shared expressions and derived tables an oracle mentions, as a WITH list.
+
+    ``swapped`` names another body for a shared expression.
+    """
     used: list[str] = []
     for name in reversed(FRAGMENTS):
         if re.search(rf"\b{name}\b", text):
-            body = (ORACLES / "shared" / f"{name}.sql").read_text().strip()
+            body = (ORACLES / "shared" / f"{swapped.get(name, name)}.sql").read_text().strip()
             used.insert(0, f"{name} AS (\n{body}\n)")
             text += body
     tables = [f"{t} AS ({sql})" for t, sql in ADAPTERS.items() if re.search(rf"\b{t}\b", text)]
@@ -70,6 +73,8 @@ def _inputs_of(text: str) -> str:
 class Entry:
     build: Callable[[TableReader], DataFrame]
     digits: dict[str, int] = field(default_factory=dict)
+    oracle_of: str = ""
+    swapped: dict[str, str] = field(default_factory=dict)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         @cache
@@ -80,8 +85,8 @@ class Entry:
         return df.withColumns({c: _rounded(c, n) for c, n in self.digits.items()})
 
     def oracle(self, name: str) -> str:
-        text = (ORACLES / f"{name}.sql").read_text().strip()
-        parts = _inputs_of(text)
+        text = (ORACLES / f"{self.oracle_of or name}.sql").read_text().strip()
+        parts = _inputs_of(text, self.swapped)
         text = f"WITH {parts},\n{text[5:]}" if text.startswith("WITH ") else f"WITH {parts}\n{text}"
         if not self.digits:
             return text
@@ -193,6 +198,16 @@ def _holdings(t: TableReader, hi: str = EVENTS_DAY) -> DataFrame:
     return bal.daily_holdings(bal.held_intervals(net, EVENTS_START, EVENTS_DAY), EVENTS_START, hi)
 
 
+def _expand_days(t: TableReader) -> DataFrame:
+    """Every day from a provider's first action to the last one."""
+    spans = t("lp_actions").groupBy("liquidity_provider").agg(
+        F.to_date(F.min("block_timestamp")).alias("first"),
+        F.date_add(F.to_date(F.max("block_timestamp")), 1).alias("until"),
+    )
+    days = time.expand_days(spans, "first", "until", EVENTS_START, EVENTS_DAY, out="block_day")
+    return days.select("liquidity_provider", "block_day")
+
+
 def _topk(t: TableReader) -> DataFrame:
     spent = t("borrows").groupBy("borrower").agg(F.sum("loan_amount_usd").alias("borrowed"))
     return topk.topk(spent, "borrowed", 25, ["borrower"])
@@ -353,6 +368,7 @@ OPERATORS: dict[str, Entry] = {
     "rolling_rows_global": Entry(_rolling_rows_global, _digits("rolling_sum")),
     "diff_prev_nonnull": Entry(_diff_prev_nonnull, _digits("reserves reserve_diff")),
     "running_positive": Entry(_holdings, _digits("liquidity_adj")),
+    "expand_days": Entry(_expand_days),
     "topk": Entry(_topk, _digits("borrowed")),
     "topk_per_group": Entry(_topk_per_group, _digits("supplied_base_asset supplied_base_asset_usd")),
     "topk_any": Entry(_topk_any, _digits("borrow_usd repay_usd")),
@@ -536,4 +552,21 @@ REPORTS: dict[str, Entry] = {
     ),
 }
 
-ENTRIES: dict[str, Entry] = {**REPORTS, **OPERATORS}
+# The reports with the corrections that their keyword arguments offer.
+_SINGLE = {"edge_prices": "edge_prices_single"}
+CORRECTED: dict[str, Entry] = {
+    "range_response_shares_single_price": Entry(
+        lambda t: plans.range_response_shares(*_pool_inputs(t), EVENTS_DAY, single_price_row=True),
+        REPORTS["range_response_shares"].digits, "range_response_shares", _SINGLE,
+    ),
+    "central_band_by_pool_single_price": Entry(
+        lambda t: plans.central_band_by_pool(t("positions"), t("pool_stats"), EVENTS_DAY, single_price_row=True),
+        REPORTS["central_band_by_pool"].digits, "central_band_by_pool", _SINGLE,
+    ),
+    "largest_providers_true_weighted": Entry(
+        lambda t: plans.largest_providers(*_pool_inputs(t), EVENTS_DAY, true_weighted=True),
+        REPORTS["largest_providers"].digits,
+    ),
+}
+
+ENTRIES: dict[str, Entry] = {**REPORTS, **CORRECTED, **OPERATORS}

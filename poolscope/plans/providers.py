@@ -140,12 +140,9 @@ def cohort_balances(
     daily = provider_balances(holdings, known)
 
     def leaders(day: date) -> DataFrame:
-        # Ranked by the balance of that day with all other days last, and cut to the day only
-        # after the limit: a filter before it would be pushed down and make this a different
-        # plan, while an equal one reuses the shuffled balances.
-        of_day = F.when(F.col("block_day") == F.lit(day), F.col("token_bal_usd"))
-        best = topk(daily.withColumn("__usd", of_day), "__usd", k, ["liquidity_provider"], rank=None)
-        return best.filter(F.col("__usd").isNotNull())
+        # only that day's holdings are expanded and valued
+        of_day = provider_balances(daily_holdings(intervals, max(day, first), day), known)
+        return topk(of_day, "token_bal_usd", k, ["liquidity_provider"], rank=None)
 
     # at most k rows each
     return cohort_label(daily, F.broadcast(leaders(cohort_day)), F.broadcast(leaders(as_of)))
