@@ -32,7 +32,7 @@ ORDERS_DAY = "2001-08-01"
 EVENTS_START = "2023-12-25"
 COHORT_DAY = "2024-01-10"
 CUTOFF = "2024-01-05 12:00:00"
-MANAGER = 7
+MANAGER = "7"
 
 # Common table expressions shared by oracles, each using only those before it.
 FRAGMENTS = (

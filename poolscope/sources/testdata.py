@@ -16,23 +16,23 @@ _LINES = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 ADAPTERS: dict[str, str] = {
     "borrows": """
-SELECT o_orderdate AS block_timestamp, o_custkey AS borrower, o_orderpriority AS borrows_contract_symbol,
+SELECT o_orderdate AS block_timestamp, CAST(o_custkey AS STRING) AS borrower, o_orderpriority AS borrows_contract_symbol,
        o_totalprice / 100 AS loan_amount, o_totalprice AS loan_amount_usd, o_orderkey AS tx_id
 FROM orders""",
     "deposits": f"""
-SELECT l_shipdate AS block_timestamp, o_custkey AS supplier, o_orderpriority AS supplied_symbol,
+SELECT l_shipdate AS block_timestamp, CAST(o_custkey AS STRING) AS supplier, o_orderpriority AS supplied_symbol,
        l_quantity AS supplied_base_asset, l_extendedprice AS supplied_base_asset_usd, l_orderkey AS tx_id
 {_LINES}""",
     "repayments": f"""
-SELECT l_shipdate AS block_timestamp, o_custkey AS borrower, o_orderpriority AS repay_contract_symbol,
+SELECT l_shipdate AS block_timestamp, CAST(o_custkey AS STRING) AS borrower, o_orderpriority AS repay_contract_symbol,
        l_quantity AS repayed_amount, l_extendedprice AS repayed_amount_usd, l_orderkey AS tx_id
 {_LINES} WHERE l_returnflag = 'R'""",
     "liquidations": f"""
-SELECT l_shipdate AS block_timestamp, o_custkey AS borrower, o_orderpriority AS liquidation_contract_symbol,
+SELECT l_shipdate AS block_timestamp, CAST(o_custkey AS STRING) AS borrower, o_orderpriority AS liquidation_contract_symbol,
        l_quantity AS liquidation_amount, l_extendedprice AS liquidation_amount_usd, l_orderkey AS tx_id
 {_LINES} WHERE l_returnflag = 'A'""",
     "redemptions": f"""
-SELECT l_shipdate AS block_timestamp, o_custkey AS supplier, o_orderpriority AS recieved_contract_symbol,
+SELECT l_shipdate AS block_timestamp, CAST(o_custkey AS STRING) AS supplier, o_orderpriority AS recieved_contract_symbol,
        l_quantity AS recieved_amount, l_extendedprice AS recieved_amount_usd, l_orderkey AS tx_id
 {_LINES} WHERE l_returnflag = 'N'""",
     "market_stats": """
@@ -46,7 +46,7 @@ SELECT date_trunc('hour', ts) AS block_hour, event_type AS underlying_symbol, ev
        value / 100 AS comp_speed, value / 4 AS comp_speed_usd
 FROM events""",
     "pool_stats": """
-SELECT event_id AS block_id, ts AS block_timestamp, user_id % 12 AS pool_address,
+SELECT event_id AS block_id, ts AS block_timestamp, CAST(user_id % 12 AS STRING) AS pool_address,
        concat('pool-', CAST(user_id % 12 AS STRING)) AS pool_name,
        concat('t', CAST(user_id % 12 AS STRING)) AS token0_address,
        concat('t', CAST((user_id + 5) % 12 AS STRING)) AS token1_address,
@@ -61,25 +61,25 @@ SELECT event_id AS block_id, ts AS block_timestamp, user_id % 12 AS pool_address
        CAST(5 + user_id % 7 AS DOUBLE) AS virtual_reserves_token1_adjusted
 FROM events""",
     "positions": """
-SELECT event_id AS block_id, ts AS block_timestamp, user_id % 12 AS pool_address,
-       concat('pool-', CAST(user_id % 12 AS STRING)) AS pool_name, user_id AS liquidity_provider,
+SELECT event_id AS block_id, ts AS block_timestamp, CAST(user_id % 12 AS STRING) AS pool_address,
+       concat('pool-', CAST(user_id % 12 AS STRING)) AS pool_name, CAST(user_id AS STRING) AS liquidity_provider,
        user_id * 2 + event_id % 2 AS nf_token_id,
        CASE WHEN event_type = 'error' THEN 0e0 ELSE value END AS liquidity_adjusted,
        (1 + value) / 4 AS price_lower_1_0, (1 + value) * 2 AS price_upper_1_0,
        event_type <> 'signup' AS is_active
 FROM events""",
     "lp_actions": """
-SELECT event_id AS tx_id, ts AS block_timestamp, user_id % 12 AS pool_address,
-       concat('pool-', CAST(user_id % 12 AS STRING)) AS pool_name, user_id AS liquidity_provider,
+SELECT event_id AS tx_id, ts AS block_timestamp, CAST(user_id % 12 AS STRING) AS pool_address,
+       concat('pool-', CAST(user_id % 12 AS STRING)) AS pool_name, CAST(user_id AS STRING) AS liquidity_provider,
        user_id * 2 + event_id % 2 AS nf_token_id,
        CASE WHEN event_type IN ('purchase', 'view') THEN 'INCREASE_LIQUIDITY'
             ELSE 'DECREASE_LIQUIDITY' END AS action,
        value AS liquidity_adjusted, value * 2 AS amount0_usd, value * 3 AS amount1_usd
 FROM events WHERE event_type IN ('purchase', 'view', 'error')""",
     "pools": """
-SELECT DISTINCT user_id % 12 AS pool_address FROM events WHERE user_id % 12 < 10""",
+SELECT DISTINCT CAST(user_id % 12 AS STRING) AS pool_address FROM events WHERE user_id % 12 < 10""",
     "position_collected_fees": """
-SELECT ts AS block_timestamp, user_id AS liquidity_provider,
+SELECT ts AS block_timestamp, CAST(user_id AS STRING) AS liquidity_provider,
        concat('T', CAST(user_id % 4 AS STRING)) AS token0_symbol,
        concat('T', CAST(event_id % 4 AS STRING)) AS token1_symbol,
        CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS amount0_usd,
