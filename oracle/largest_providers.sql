@@ -1,19 +1,7 @@
 WITH worth AS (
-  SELECT b.pool_name, b.liquidity_provider, b.price_lower_1_0, b.price_upper_1_0, f.pairing_type,
-       if(coalesce(p.close_price BETWEEN b.price_lower_1_0 AND b.price_upper_1_0, false), '_in_range_', '_out_of_range_') AS close_state,
-       if(coalesce(p.open_price BETWEEN b.price_lower_1_0 AND b.price_upper_1_0, false), '_in_range_', '_out_of_range_') AS open_state,
-       avg(abs(b.price_upper_1_0 - b.price_lower_1_0) / nullif(g.price_diff, 0)) AS width,
-       sum(b.open_liquidity / nullif(s.all_open, 0) * f.tvl) AS usd
-  FROM edge_bands b
-JOIN pool_value f ON b.pool_address = f.pool_address
-LEFT JOIN (SELECT pool_address, blk_date, sum(open_liquidity) AS all_open, sum(close_liquidity) AS all_close
-           FROM edge_bands GROUP BY ALL) s ON s.pool_address = b.pool_address AND s.blk_date = f.blk_date
-LEFT JOIN edge_prices p ON p.pool_address = b.pool_address AND p.blk_date = b.blk_date
-LEFT JOIN day_actions a ON a.pool_address = b.pool_address AND a.blk_date = b.blk_date
-      AND a.liquidity_provider = b.liquidity_provider AND a.nf_token_id = b.nf_token_id
-LEFT JOIN (SELECT * FROM price_span WHERE price_diff > 0) g ON g.pool_address = b.pool_address
-  WHERE b.blk_date = DATE '2024-01-30'
-  GROUP BY 1, 2, 3, 4, 5, 6, 7)
+  SELECT pool_name, liquidity_provider, price_lower_1_0, price_upper_1_0, pairing_type, close_state, open_state,
+         avg(width) AS width, sum(open_usd) AS usd
+  FROM valued_bands WHERE blk_date = DATE '2024-01-30' GROUP BY 1, 2, 3, 4, 5, 6, 7)
 SELECT liquidity_provider, avg(width) AS avg_price_rng, avg(width * usd) / nullif(sum(usd), 0) AS tvl_weighted_avg_price_rng,
        sum(usd) AS curr_tvl_usd, row_number() OVER (ORDER BY sum(usd) DESC, liquidity_provider) AS rank
 FROM worth WHERE usd > 0 GROUP BY 1 QUALIFY rank <= 3

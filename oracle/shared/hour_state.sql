@@ -1,11 +1,9 @@
-SELECT DISTINCT date_trunc('hour', s.block_timestamp) AS block_hour, s.pool_address, s.pool_name,
-       last_value(s.virtual_reserves_token0_adjusted) OVER h AS v0,
-       last_value(s.virtual_reserves_token1_adjusted) OVER h AS v1,
-       last_value(a.price) OVER h AS p0, last_value(b.price) OVER h AS p1,
-       last_value(s.token0_balance_adjusted) OVER h AS g0, last_value(s.token1_balance_adjusted) OVER h AS g1,
-       last_value(s.token0_balance_usd) OVER h AS usd0, last_value(s.token1_balance_usd) OVER h AS usd1
-FROM pool_stats s
-LEFT JOIN token_prices_hourly a ON a.hour = date_trunc('hour', s.block_timestamp) AND a.token_address = s.token0_address
-LEFT JOIN token_prices_hourly b ON b.hour = date_trunc('hour', s.block_timestamp) AND b.token_address = s.token1_address
-WINDOW h AS (PARTITION BY date_trunc('hour', s.block_timestamp), s.pool_address, s.pool_name
-             ORDER BY s.block_timestamp, s.block_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+SELECT s.block_hour, s.pool_address, s.pool_name,
+       s.virtual_reserves_token0_adjusted AS v0, s.virtual_reserves_token1_adjusted AS v1, a.price AS p0, b.price AS p1,
+       s.token0_balance_adjusted AS g0, s.token1_balance_adjusted AS g1,
+       s.token0_balance_usd AS usd0, s.token1_balance_usd AS usd1
+FROM (SELECT *, date_trunc('hour', block_timestamp) AS block_hour FROM pool_stats
+      QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', block_timestamp), pool_address, pool_name
+                                 ORDER BY block_timestamp DESC, block_id DESC) = 1) s
+LEFT JOIN token_prices_hourly a ON a.hour = s.block_hour AND a.token_address = s.token0_address
+LEFT JOIN token_prices_hourly b ON b.hour = s.block_hour AND b.token_address = s.token1_address

@@ -1,19 +1,8 @@
-SELECT f.pairing_type, b.pool_name, b.blk_date, b.liquidity_provider, b.price_lower_1_0, b.price_upper_1_0,
-       if(coalesce(p.close_price BETWEEN b.price_lower_1_0 AND b.price_upper_1_0, false), '_in_range_', '_out_of_range_') AS close_state,
-       if(coalesce(p.open_price BETWEEN b.price_lower_1_0 AND b.price_upper_1_0, false), '_in_range_', '_out_of_range_') AS open_state,
-       avg(abs(b.price_upper_1_0 - b.price_lower_1_0) / nullif(g.price_diff, 0)) AS avg_price_rng,
-       avg(p.close_price) AS close_price, avg(p.open_price) AS open_price,
-       sum(b.close_liquidity) AS close_liquidity, sum(b.open_liquidity) AS open_liquidity,
-       CAST(sum(coalesce(a.token_increases, 0)) AS BIGINT) AS token_increases,
-       CAST(sum(coalesce(a.token_decreases, 0)) AS BIGINT) AS token_decreases,
-       sum(b.close_liquidity / nullif(s.all_close, 0) * f.tvl) AS close_tvl_usd,
-       sum(b.open_liquidity / nullif(s.all_open, 0) * f.tvl) AS open_tvl_usd
-FROM edge_bands b
-JOIN pool_value f ON b.pool_address = f.pool_address
-LEFT JOIN (SELECT pool_address, blk_date, sum(open_liquidity) AS all_open, sum(close_liquidity) AS all_close
-           FROM edge_bands GROUP BY ALL) s ON s.pool_address = b.pool_address AND s.blk_date = f.blk_date
-LEFT JOIN edge_prices p ON p.pool_address = b.pool_address AND p.blk_date = b.blk_date
-LEFT JOIN day_actions a ON a.pool_address = b.pool_address AND a.blk_date = b.blk_date
-      AND a.liquidity_provider = b.liquidity_provider AND a.nf_token_id = b.nf_token_id
-LEFT JOIN (SELECT * FROM price_span WHERE price_diff > 0) g ON g.pool_address = b.pool_address
+SELECT pairing_type, pool_name, blk_date, liquidity_provider, price_lower_1_0, price_upper_1_0, close_state, open_state,
+       avg(width) AS avg_price_rng, avg(close_price) AS close_price, avg(open_price) AS open_price,
+       sum(close_liquidity) AS close_liquidity, sum(open_liquidity) AS open_liquidity,
+       CAST(sum(coalesce(token_increases, 0)) AS BIGINT) AS token_increases,
+       CAST(sum(coalesce(token_decreases, 0)) AS BIGINT) AS token_decreases,
+       sum(close_usd) AS close_tvl_usd, sum(open_usd) AS open_tvl_usd
+FROM valued_bands
 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8

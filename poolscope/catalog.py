@@ -38,7 +38,7 @@ MANAGER = "7"
 FRAGMENTS = (
     "stables", "edge_flags", "edge_bands", "day_bands", "covered", "edge_prices", "day_actions", "pool_value", "price_span",
     "responses", "movements", "class_shares", "net_by_day", "holdings", "hour_state", "hour_value",
-    "value_per_unit",
+    "value_per_unit", "valued_bands",
 )
 
 TableReader = Callable[[str], DataFrame]
