@@ -11,28 +11,35 @@ from .shared import staged
 def components(edges: DataFrame) -> DataFrame:
     """Rows ``id, component`` (its smallest id) for every id in ``edges`` (columns ``a, b``).
 
-    Each round every id takes the smallest label among itself and its neighbours, then the label
-    of that label, until nothing changes. All steps are aggregations that combine before the
-    shuffle, and every round's labels are a table in the shared folder.
+    Each round every node of the graph points to the smallest among itself and its neighbours, and
+    then to where that one points. The nodes are merged accordingly: links inside a merged node
+    vanish and equal ones fall together, so the graph at least halves, until no link is left. The
+    smallest id of a component always points to itself and so names it. Aggregations combine
+    before the shuffle, and every round's tables are in the shared folder.
     """
-    both = staged(
-        edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select(F.col("e.a").alias("id"), F.col("e.b").alias("other")),
-        "graph-edges",
-    )
-    labels = staged(both.groupBy("id").agg(F.min(F.least("id", "other")).alias("component")), "graph-labels")
-    while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("other"), "component"), "other")
-            .groupBy("id").agg(F.min("component").alias("near"))
+    edges = staged(edges.select("a", "b"), "graph-edges")
+    ends = F.explode(F.array("a", "b"))
+    labels = staged(edges.select(ends.alias("id")).distinct().withColumn("component", F.col("id")), "graph-labels")
+    links = staged(_between(edges), "graph-links")
+    while not links.isEmpty():
+        smallest = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("near"))
+        others = links.groupBy(F.col("a").alias("id")).agg(F.min("a").alias("near"))
+        near = staged(
+            smallest.unionByName(others).groupBy("id").agg(F.min("near").alias("near")), "graph-near"
         )
-        closer = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("near"))
-        jump = labels.select(F.col("id").alias("near"), F.col("component").alias("jumped"))
-        moved = staged(
-            closer.join(jump, "near").select("id", "component", F.least("near", "jumped").alias("next")),
+        onward = near.select(F.col("id").alias("near"), F.col("near").alias("root"))
+        root = staged(near.join(onward, "near").select("id", "root"), "graph-roots")
+        labels = staged(
+            labels.join(root.withColumnRenamed("id", "component"), "component", "left")
+            .select("id", F.coalesce("root", "component").alias("component")),
             "graph-labels",
         )
-        changed = not moved.where(F.col("next") != F.col("component")).isEmpty()
-        labels = moved.select("id", F.col("next").alias("component"))
-        if not changed:
-            return labels
+        of_a, of_b = (root.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        merged = links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        links = staged(_between(merged), "graph-links")
+    return labels
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Distinct links between different nodes, the smaller one in ``a``."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -283,14 +283,21 @@ _EDGE = ["a", "b"]
 
 
 def _combined(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest id, and the edges that tie the other ids to it."""
+    """Distinct keys with their smallest id, and a spanning forest of the ids that share keys."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
     least = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
     loose = least != ids
-    edges = np.unique(np.stack([least[loose], ids[loose]]), axis=1) if loose.any() else np.empty((2, 0), np.int64)
-    return keys[first], ids[first], edges[0], edges[1]
+    pairs = np.unique(np.stack([least[loose], ids[loose]], axis=1), axis=0) if loose.any() else np.empty((0, 2), np.int64)
+    nodes, places = np.unique(pairs, return_inverse=True)
+    tree, kept = _Sets(len(nodes)), []
+    for k, (a, b) in enumerate(places.reshape(-1, 2).tolist()):
+        if tree.find(a) != tree.find(b):
+            tree.join(a, b)
+            kept.append(k)
+    forest = pairs[kept]
+    return keys[first], ids[first], forest[:, 0], forest[:, 1]
 
 
 def _candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
