@@ -9,7 +9,8 @@ share of equal parts on the level where it is highest, empty parts not counted.
 
 A term of the band stands in at least a share ``LEAST`` of all documents, so the lexicon has at
 most (mean distinct terms per document) / ``LEAST`` terms, however many documents there are. It is
-written as a table, and the join broadcasts it only if its true size allows.
+written as a table and counted: up to ``BROADCAST`` terms of 16 bytes it is broadcast, beyond that
+the planner chooses the join.
 
 Documents are ordered by id in blocks of ids; only the first row of each block crosses to the
 block before. So texts are shuffled once, and no task holds more than a block.
@@ -31,6 +32,7 @@ LEAST, MOST = 0.001, 0.2
 LEVELS, EACH, LEAST_PARTS = 8, 4, 2
 SUBSETS = LEVELS * EACH
 BLOCK_BITS, UPPER_BITS = 10, 21
+BROADCAST = 1_000_000
 
 
 def terms_of(text: Column) -> Column:
@@ -145,6 +147,8 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Per row: the fingerprints of its text and its edited text and their likeness."""
     words = staged(lexicon(docs), "fingerprint-lexicon")
+    if words.count() <= BROADCAST:
+        words = F.broadcast(words)
     texts, blocks = edited_texts(docs)
     hashed = texts.select(
         "block", "place", "doc_id",
