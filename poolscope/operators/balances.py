@@ -48,7 +48,8 @@ def held_intervals(net: DataFrame, start: date | str, as_of: date | str) -> Data
 
     A running total only changes on days with an action, so it is taken over those days
     alone; filling the days in between first and windowing over the dense rows gives the
-    same balances. Actions outside ``[start, as_of]`` do not count.
+    same balances. Actions outside ``[start, as_of]`` do not count. A net amount may have its
+    part beyond decimals in ``net_liquidity_loose``.
     """
     known = net.filter(
         F.col("day").between(F.lit(as_date(start)), F.lit(as_date(as_of)))
@@ -56,7 +57,7 @@ def held_intervals(net: DataFrame, start: date | str, as_of: date | str) -> Data
         & F.col("pool_address").isNotNull()
         & F.col("pool_name").isNotNull()
     )
-    parts = ("net_liquidity", "net_liquidity_loose")
+    parts = [c for c in ("net_liquidity", "net_liquidity_loose") if c in net.columns]
     held = running_positive(known, parts, HOLDING, "day", "liquidity_adj", until="until")
     return held.select(*HOLDING, "day", "until", "liquidity_adj")
 
