@@ -17,8 +17,9 @@ Jaccard similarity reaches the threshold; a class is what links connect.
    already belong to the probing set's class. What comes out is a spanning forest of the links.
 4. A block above ``BLOCK`` sets is split into parts by hash. Every part also takes about
    ``PIVOTS`` pivots of the block, which tie the classes of its parts together. Where parts still
-   hold several classes, sets outside the block's largest class meet all other sets, part by part. So a group of copies
-   of any size is joined in bounded parts, and no link between different sets is lost.
+   hold several classes, the sets outside the block's largest class are dealt into as few parts as
+   they fill, and each of these meets each part of the block. So a group of copies of any size is
+   joined in bounded parts, and no link between different sets is lost.
 
 Hashes are 64 bits wide; a collision matters only between the shingles of two sets that meet.
 
@@ -349,7 +350,7 @@ def _candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     emitted = texts.where("doc_id is not null").mapInArrow(emit, "is_signature boolean, a long, b long")
     dealt = emitted.repartition("a").sortWithinPartitions("a", "b")
-    return dealt.mapInArrow(tie, "a long, b long").distinct()
+    return dealt.mapInArrow(tie, "a long, b long")
 
 
 def _joined(members: DataFrame, keys: list[str], width: int, percent: int) -> DataFrame:
@@ -417,10 +418,17 @@ def _links(sets: DataFrame, blocks: DataFrame, width: int, percent: int, block:
         .groupBy("block").agg(F.max(F.struct("n", "known")).alias("top"))
     )
     marked = known.join(largest, "block").withColumn("outside", F.col("known") != F.col("top.known"))
-    outside = marked.where("outside").select("block", F.col("part").alias("i")).distinct()
-    theirs = marked.join(outside, "block").select("id", "block", "known", "i", F.col("part").alias("j"))
-    own = marked.where("outside").select("id", "block", "known", F.col("part").alias("i"), F.explode(others).alias("j"))
-    pairs = theirs.unionByName(own).where("i != j")
+    # those sets are dealt anew, into as few parts as they fill
+    groups = marked.where("outside").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("groups"))
+    meeting = marked.join(groups, "block")
+    spread = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i")
+    theirs = meeting.select("id", "block", "known", spread, F.col("part").alias("j"))
+    dealt = F.pmod(F.xxhash64("id", F.lit(11)), F.col("groups")).cast("int").alias("i")
+    own = (
+        meeting.where("outside").select("id", "block", "known", dealt, "part", F.explode(others).alias("j"))
+        .where("part != j").drop("part")
+    )
+    pairs = theirs.unionByName(own)
     return found.unionByName(_joined(pairs.join(sets, "id"), ["block", "i", "j"], width, percent))
 
 

@@ -121,6 +121,29 @@ def test_components_of_a_long_chain(spark):
     }
 
 
+def test_components_of_random_links(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    plain = ngram_join._Sets(300)
+    for a, b in edges:
+        plain.join(a, b)
+    split = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r["id"]: r["component"] for r in graph.components(split).collect()}
+    assert got == {i: plain.find(i) for i in {x for e in edges for x in e}}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_stars_connect_what_links_connect(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 30, (2, 25))
+    plain = ngram_join._Sets(30)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        plain.join(x, y)
+    nodes = sorted({*a.tolist(), *b.tolist()})
+    got = sorted(zip(*(c.tolist() for c in graph.stars(a, b)), strict=True))
+    assert got == sorted((plain.find(i), i) for i in nodes if plain.find(i) != i)
+
+
 def repeated_words(words):
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
     count = Counter(windows)
