@@ -3,9 +3,10 @@
 Known forms are an assignment to a secret's name, an access key and a long run of hex digits; their
 spans are leftmost and do not overlap within a kind.
 
-Further candidates are long runs of encoding characters outside those spans. The encoding is
-inferred from the characters (hex, base32 or base64, the last two only with letters and digits);
-runs of letters alone are words. A candidate's characters become numbers, and three tests ask
+Further candidates are long runs of encoding characters outside those spans; ``=`` belongs to a run
+only as padding at its end, so a name and the value after it are two runs. The encoding is inferred
+from the characters (hex, base32, base36 in one case, or base64, all with letters and digits); runs
+of letters alone are words. A candidate's characters become numbers, and three tests ask
 whether they could be uniform: chi-squared over equal cells of the alphabet, runs above and below
 its middle, and serial correlation. Their smallest p-value is multiplied by three. Over all
 candidates of one encoding and length band, the Benjamini-Hochberg rule finds the p-values too
@@ -35,10 +36,11 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/=_-]))?"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 CELLS, BANDS, STEPS, RATE = 4, 16, 1000, 0.05
@@ -91,6 +93,7 @@ def encoding(value: Column) -> Column:
         F.when(~letters | ~digits, None)
         .when(body.rlike(r"^[0-9a-f]+$") | body.rlike(r"^[0-9A-F]+$"), "hex")
         .when(body.rlike(r"^[A-Z2-7]+$"), "base32")
+        .when(body.rlike(r"^[0-9a-z]+$") | body.rlike(r"^[0-9A-Z]+$"), "base36")
         .when(body.rlike("[a-z]") & body.rlike("[A-Z]") & body.rlike(r"^[A-Za-z0-9+/_-]+$"), "base64")
     )
 
@@ -98,7 +101,7 @@ def encoding(value: Column) -> Column:
 def randomness(value: Column, kind: Column) -> Column:
     """The p-value of the battery for ``value`` as a uniform string of encoding ``kind``."""
     body = F.translate(F.regexp_replace(value, r"=+$", ""), "-_", "+/")
-    body = F.when(kind == "hex", F.lower(body)).otherwise(body)
+    body = F.when(kind.isin("hex", "base36"), F.lower(body)).otherwise(body)
     alphabet, size = F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, letters in ALPHABETS.items():
         alphabet = F.when(kind == name, letters).otherwise(alphabet)

@@ -253,6 +253,21 @@ def test_secrets(spark, texts):
     assert "random" not in rows[-4]["spans"]
 
 
+def test_secrets_after_a_name(spark):
+    from poolscope.llm import secrets
+
+    values = {
+        "aws_secret_access_key=": "9boTgYWll5r72/qK395ktN1kSE2/FzaJSx3CnCtV", "SIG=": "LXEWQrcmsEQBYnyp+6wy9chTD7GQPMTb",
+        "https://a.org/x?sig=": "TGzK3vYp8LQe0fRn5WbX2cUj==", "low ": "q7x2mz9k4tvw8p3hj6r1nc5b0dyg",
+        "UP=": "Q7X2MZ9K4TVW8P3HJ6R1NC5B0DYG", "b32=": "MZXW6YTBOI3GQ5DPNFZ2K4LVEB======",
+    }
+    rows = [(name, f"{name}{value} and words") for name, value in values.items()]
+    got = secrets.secret_report(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {r["doc_id"]: r["spans"] for r in got.collect()} == {
+        name: f"random:{len(name)}:{len(name) + len(value)}" for name, value in values.items()
+    }
+
+
 def test_license_places(spark, texts):
     rows = {r["doc_id"]: r for r in catalog.op3_license_scan(spark, SF).collect()}
     for i, text in texts.items():
