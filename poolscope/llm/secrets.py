@@ -11,7 +11,9 @@ whether they could be uniform: chi-squared over equal cells of the alphabet, run
 its middle, and serial correlation. Their smallest p-value is multiplied by three. Over all
 candidates of one encoding and length band, the Benjamini-Hochberg rule finds the p-values too
 small for random strings at a false-discovery rate ``RATE``; the other candidates are secrets. The
-p-values meet that rule as counts per (encoding, band, step), a table of bounded size.
+p-values meet that rule as counts per (encoding, band, step), a table of bounded size: ``STEPS`` steps
+for each power of ten down to ``LEAST_P``, where a p-value counts as its step's upper edge, at most
+1.2% above it.
 
 All of it is built-in expressions over one text; positions come from the lengths of the matches and
 of the pieces between them.
@@ -43,7 +45,8 @@ ALPHABETS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-CELLS, BANDS, STEPS, RATE = 4, 16, 1000, 0.05
+CELLS, BANDS, STEPS, RATE = 4, 16, 200, 0.05
+LEAST_P = 1e-16  # what doubles tell from 0 in 1 - p
 
 
 def _located(text: Column, pattern: str, value_group: int = 0) -> Column:
@@ -139,6 +142,11 @@ def _key(kind: Column, length: Column) -> Column:
     return F.concat_ws(":", kind, band)
 
 
+def _step(p: Column) -> Column:
+    """The step of a p-value; larger for smaller ones."""
+    return F.floor(-F.log10(F.greatest(p, F.lit(LEAST_P))) * STEPS).cast("int")
+
+
 def scan_texts(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, ``known`` spans with their kind, and ``candidates`` with their p-value."""
     ensure_columns(docs, "doc_id", "text")
@@ -178,14 +186,14 @@ def scan_texts(docs: DataFrame) -> DataFrame:
         lambda m: F.struct(
             m["start"].alias("start"), m["end"].alias("end"), m["encoding"].alias("encoding"),
             _key(m["encoding"], F.length(m["value"])).alias("group"),
-            F.floor(randomness(m["value"], m["encoding"]) * STEPS).cast("int").alias("step"),
+            _step(randomness(m["value"], m["encoding"])).alias("step"),
         ),
     )
     return spanned.withColumn("typed", typed).select("doc_id", "known", judged.alias("candidates"))
 
 
 def cutoffs(scanned: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """Per group of candidates, the largest step of p that the false-discovery rule rejects; -1 for none."""
+    """Per group of candidates, the step of the largest p that the false-discovery rule rejects, if any."""
     counts = (
         scanned.select(F.explode("candidates").alias("c"))
         .groupBy("c.group", "c.step").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -195,12 +203,11 @@ def cutoffs(scanned: DataFrame, rate: float = RATE) -> dict[str, int]:
         groups.setdefault(row["group"], []).append((row["step"], row["n"]))
     found = {}
     for group, steps in groups.items():
-        total, below, cut = sum(n for _, n in steps), 0, -1
-        for step, n in sorted(steps):
+        total, below = sum(n for _, n in steps), 0
+        for step, n in sorted(steps, reverse=True):
             below += n
-            if (step + 1) / STEPS <= rate * below / total:
-                cut = step
-        found[group] = cut
+            if 10 ** (-step / STEPS) <= rate * below / total:
+                found[group] = step
     return found
 
 
@@ -210,7 +217,8 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     cuts = cutoffs(scanned, rate)
     rejected = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else None
     passed = F.filter(
-        F.col("candidates"), lambda c: c["step"] > (F.lit(-1) if rejected is None else rejected[c["group"]])
+        F.col("candidates"),
+        lambda c: F.lit(True) if rejected is None else rejected[c["group"]].isNull() | (c["step"] < rejected[c["group"]]),
     )
     random = F.transform(
         passed,

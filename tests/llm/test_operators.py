@@ -268,6 +268,31 @@ def test_secrets_after_a_name(spark):
     }
 
 
+def test_words_among_many_keys_are_no_secrets(spark):
+    """The same identifiers, alone and in a group that is almost all random."""
+    from poolscope.llm import secrets
+
+    rng = random.Random(8)
+    words = [f"{'xy' * 12}{c * 6}A1" for c in "klmno"]
+    keys = ["".join(rng.choices(secrets.ALPHABETS["base64"], k=30)) + "aZ" for _ in range(1000)]
+    frame = spark.createDataFrame(list(enumerate(words + keys)), "doc_id long, text string").repartition(8)
+    found = {r["doc_id"] for r in secrets.secret_report(frame).collect() if "random" in r["spans"]}
+    assert not found & set(range(len(words)))
+    # the exact rule over the p-values of each group
+    value = F.col("text")
+    kind = secrets.encoding(value)
+    rows = frame.select("doc_id", secrets._key(kind, F.length(value)).alias("g"), secrets.randomness(value, kind).alias("p"))
+    groups = defaultdict(list)
+    for r in rows.where(kind.isNotNull()).collect():
+        groups[r["g"]].append((r["p"], r["doc_id"]))
+    expected = set()
+    for group in groups.values():
+        group.sort()
+        last = max((k for k, (p, _) in enumerate(group, 1) if p <= 0.05 * k / len(group)), default=0)
+        expected |= {i for _, i in group[last:]}
+    assert {i for i in found if i in {i for g in groups.values() for _, i in g}} == expected
+
+
 def test_license_places(spark, texts):
     rows = {r["doc_id"]: r for r in catalog.op3_license_scan(spark, SF).collect()}
     for i, text in texts.items():
