@@ -137,3 +137,19 @@ def test_near_duplicate_stage_keeps_one_of_each_class(spark, docs):
     ids = [r["doc_id"] for r in out.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 9, 10]
     assert ids.count(None) == 2
+
+
+def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
+    other = "something else that is like no text before it"
+    rows = [
+        (7, PROSE, "a"), (7, other, "b"), (7, other, "a"), (7, other, "b"), (8, other, "c"),
+        (None, PROSE, "d"), (None, LONG, "f"), (None, LONG, "e"), (None, LONG + " and", "e"), (None, "", "g"), (None, "", "g"),
+    ]
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 5):
+        got = [tuple(r) for r in stage(spark, docs.repartition(parts), "").collect()]
+        assert sorted(r for r in got if r[0] is not None) == sorted([(7, PROSE, "a"), (7, other, "a")])
+        unnamed = [r for r in got if r[0] is None]
+        assert len(unnamed) == 3 and unnamed.count((None, "", "g")) == 2
+        assert {r[1] for r in unnamed} <= {"", LONG, LONG + " and"}
