@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, secrets
+from . import (
+    chat, classifier, fingerprints, lexical, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, secrets,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_fingerprints": op2_fingerprints,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -131,5 +138,38 @@ SELECT doc_id, coalesce(len(worded), 0)::BIGINT AS n_lines,
        coalesce(len(worded) - len(list_filter(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0)::BIGINT AS n_dropped,
        CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text
 FROM judged
+""",
+    "op11_lexical_search": r"""
+WITH counted AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), sized AS (
+    SELECT doc_id, terms, len(terms) AS n FROM counted WHERE len(terms) > 0
+), totals AS (
+    SELECT count(*) AS documents, sum(n) AS length FROM sized
+), normed AS (
+    SELECT doc_id, 100 - 25 + ((25 * n * documents) // length) AS m FROM sized, totals
+), postings AS (
+    SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM sized) GROUP BY doc_id, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM postings, totals GROUP BY term, documents
+), asked AS (
+    SELECT item_id, term, count(*) AS q FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    ) GROUP BY item_id, term
+), scored AS (
+    SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN normed USING (doc_id)
+    GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
 """,
 }
