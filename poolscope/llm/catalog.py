@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, classifier, fingerprints, lexical, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, secrets,
+    chat, classifier, fingerprints, lexical, licenses, line_dedup, mixing, ngram_join, packing, prefix_trie,
+    quality_rules, secrets,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_fingerprints": op2_fingerprints,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -171,5 +177,44 @@ WITH counted AS (
     FROM scored WHERE score > 0
 )
 SELECT * FROM ranked WHERE rank <= 20
+""",
+    "op13_prefix_trie": r"""
+WITH ordered AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns FROM ordered GROUP BY conv_id
+), drawn AS (
+    SELECT conv_id, conv_id::VARCHAR AS name FROM own
+), headed AS (
+    SELECT conv_id, xor(list_reduce(
+        list_transform(range(8 * length(name)), lambda j: CASE WHEN j % 8 = 0 THEN ascii(name[j // 8 + 1])::BIGINT ELSE 0::BIGINT END),
+        lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384), 4294967295::BIGINT), 4294967295) % 6 AS h
+    FROM drawn
+), rebuilt AS (
+    SELECT conv_id, list_concat(coalesce(base.turns[1:h], []), own.turns[h + 1:]) AS turns
+    FROM own JOIN headed USING (conv_id) LEFT JOIN own AS base ON base.conv_id = own.conv_id - own.conv_id % 100
+), prefixes AS (
+    SELECT conv_id, depth, turns[1:depth] AS prefix, depth = len(turns) AS ends
+    FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY prefix, depth
+), children AS (
+    SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), valued AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+           CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[depth].text) END AS saved
+    FROM nodes LEFT JOIN children USING (prefix)
+), subtrees AS (
+    SELECT prefix[1:above] AS prefix, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+    FROM (SELECT prefix, saved, n_children, unnest(range(depth + 1)) AS above FROM valued) GROUP BY 1
+)
+SELECT valued.conv_id, valued.depth, parents.conv_id AS parent_conv_id, valued.n_convs, valued.n_children, n_leaves,
+       saved_tokens, valued.ends_sha256
+FROM valued JOIN subtrees USING (prefix)
+LEFT JOIN nodes AS parents ON valued.depth > 0 AND parents.prefix = valued.prefix[1:valued.depth - 1]
 """,
 }
