@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat, classifier, fingerprints, lexical, licenses, line_dedup, mixing, ngram_join, packing, prefix_trie,
-    quality_rules, secrets,
+    quality_rules, secrets, suffix_dedup,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
