@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions.classify import CLASS_LABELS, in_range_state, pairing_type
-from .functions.exact import exact_sum
+from .functions.exact import exact_totals
 from .functions.stats import coef_var, safe_corr
 from .operators import balances as bal
 from .operators import bands as bnd
@@ -227,7 +227,7 @@ def _topk_per_group(t: TableReader) -> DataFrame:
 
 def _topk_any(t: TableReader) -> DataFrame:
     def total(name: str, value: str, out: str) -> DataFrame:
-        return t(name).groupBy(F.col("borrower").alias("address")).agg(exact_sum(value).alias(out))
+        return exact_totals(t(name).withColumnRenamed("borrower", "address"), ["address"], {out: value})
 
     wallets = flows.full_outer_merge(
         total("borrows", "loan_amount_usd", "borrow_usd"),

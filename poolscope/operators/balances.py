@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import price_status
-from ..functions.exact import exact, loose
+from ..functions.exact import exact_groups
 from .joins import salted_join
 from .rolling import running_positive
 from .snapshot import last_in_bucket
@@ -18,29 +18,22 @@ HOLDING = ("liquidity_provider", "pool_address", "pool_name")
 
 
 def net_liquidity_by_day(lp_actions: DataFrame) -> DataFrame:
-    """Liquidity added minus removed per provider, pool and day, where either has a usd value."""
+    """Liquidity added minus removed per provider, pool and day, where either has a usd value.
+
+    ``net_liquidity`` is an exact sum, so that taking everything out again leaves zero and not a last bit.
+    """
     added = F.col("action") == "INCREASE_LIQUIDITY"
     removed = F.col("action") == "DECREASE_LIQUIDITY"
     usd = F.col("amount0_usd") + F.col("amount1_usd")
 
-    def total(side: Column, value: Column) -> Column:
-        return F.sum(F.when(side, value))
-
-    # exact, so that taking everything out again leaves zero and not a last bit
-    def net(part: Column) -> Column:
-        return F.sum(F.when(added, part).otherwise(-part))
-
-    return (
-        lp_actions.filter(added | removed)
-        .groupBy(*HOLDING, F.to_date("block_timestamp").alias("day"))
-        .agg(
-            total(added, usd).alias("total_deposits_usd"),
-            (-total(removed, usd)).alias("total_withdrawals_usd"),
-            F.coalesce(net(exact("liquidity_adjusted")), exact(F.lit(0))).alias("net_liquidity"),
-            F.coalesce(net(loose("liquidity_adjusted")), F.lit(0.0)).alias("net_liquidity_loose"),
-        )
-        .filter(F.col("total_deposits_usd").isNotNull() | F.col("total_withdrawals_usd").isNotNull())
+    amount = F.col("liquidity_adjusted")
+    daily = exact_groups(
+        lp_actions.filter(added | removed).withColumn("day", F.to_date("block_timestamp")),
+        [*HOLDING, "day"],
+        {"net_liquidity": F.when(added, amount).otherwise(-amount)},
+        {"total_deposits_usd": F.when(added, usd), "total_withdrawals_usd": F.when(removed, -usd)},
     )
+    return daily.filter(F.col("total_deposits_usd").isNotNull() | F.col("total_withdrawals_usd").isNotNull())
 
 
 def held_intervals(net: DataFrame, start: date | str, as_of: date | str) -> DataFrame:
@@ -48,8 +41,8 @@ def held_intervals(net: DataFrame, start: date | str, as_of: date | str) -> Data
 
     A running total only changes on days with an action, so it is taken over those days
     alone; filling the days in between first and windowing over the dense rows gives the
-    same balances. Actions outside ``[start, as_of]`` do not count. A net amount may have its
-    part beyond decimals in ``net_liquidity_loose``.
+    same balances. Actions outside ``[start, as_of]`` do not count. ``net_liquidity`` is a number or
+    an exact sum.
     """
     known = net.filter(
         F.col("day").between(F.lit(as_date(start)), F.lit(as_date(as_of)))
@@ -57,8 +50,7 @@ def held_intervals(net: DataFrame, start: date | str, as_of: date | str) -> Data
         & F.col("pool_address").isNotNull()
         & F.col("pool_name").isNotNull()
     )
-    parts = [c for c in ("net_liquidity", "net_liquidity_loose") if c in net.columns]
-    held = running_positive(known, parts, HOLDING, "day", "liquidity_adj", until="until")
+    held = running_positive(known, "net_liquidity", HOLDING, "day", "liquidity_adj", until="until")
     return held.select(*HOLDING, "day", "until", "liquidity_adj")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import exact_sum
+from ..functions.exact import exact_totals
 
 
 def flow_totals(
@@ -72,12 +72,9 @@ def fee_tally(
         return F.struct(F.lit(token).alias("side"), F.col(token).alias("token"), earned)
 
     both = F.array(side("token0_symbol", "amount0_usd"), side("token1_symbol", token1_amount))
-    totals = (
-        fees.filter(F.col("block_timestamp") > since)
-        .select("liquidity_provider", F.inline(both))
-        .groupBy("liquidity_provider", "token", "side")
-        # exact, because equal totals are merged
-        .agg(exact_sum("amount").alias("token_amount_earned"))
-        .drop("side")
-    )
+    collected = fees.filter(F.col("block_timestamp") > since).select("liquidity_provider", F.inline(both))
+    # exact, because equal totals are merged
+    totals = exact_totals(
+        collected, ["liquidity_provider", "token", "side"], {"token_amount_earned": "amount"}
+    ).drop("side")
     return totals.distinct() if dedupe else totals

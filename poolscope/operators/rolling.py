@@ -8,11 +8,12 @@ into slices and the slices' totals are carried over.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.exact import EXACT, LIMBS, add_double
 
 
 def rolling_rows(
@@ -95,7 +96,7 @@ def diff_prev_nonnull(
 
 def running_positive(
     df: DataFrame,
-    value: str | Sequence[str],
+    value: str,
     keys: Sequence[str],
     order: str,
     out: str,
@@ -103,16 +104,39 @@ def running_positive(
 ) -> DataFrame:
     """Running total per key, keeping the rows where it is positive.
 
-    Several value columns are the parts of one value; each is summed in its own type.
-
+    ``value`` is a number or an exact sum (``functions.exact``); the total of exact sums is exact.
     With ``until``, each row also gets the next row's ``order`` value, so a kept row
     reads as a balance that holds over ``[order, until)``.
     """
     series = Window.partitionBy(*keys).orderBy(order)
-    parts = [value] if isinstance(value, str) else value
-    sums = [F.sum(part).over(series) for part in parts]
-    total = sums[0] if len(sums) == 1 else reduce(add, [part.cast("double") for part in sums])
-    totals = df.withColumn(out, total)
     if until is not None:
-        totals = totals.withColumn(until, F.lead(order).over(series))
+        df = df.withColumn(until, F.lead(order).over(series))
+    if isinstance(df.schema[value].dataType, StructType):
+        totals = _running_exact(df, value, keys, order, out)
+    else:
+        totals = df.withColumn(out, F.sum(value).over(series))
     return totals.filter(F.col(out) > 0)
+
+
+def _running_exact(df: DataFrame, value: str, keys: Sequence[str], order: str, out: str) -> DataFrame:
+    """Running exact totals: every exponent band of a key runs over all its rows, then they are put together.
+
+    Amounts written in decimals have no band, so their rows stay one each.
+    """
+    none = F.lit(0)
+    of_row = F.array_sort(F.filter(F.transform(f"{value}.parts", lambda p: p["j"]), lambda j: j != 0))
+    of_key = F.array_sort(F.array_distinct(F.flatten(F.collect_set(of_row).over(Window.partitionBy(*keys)))))
+    spread = df.withColumn("__bands", F.when(F.size(of_key) > 0, of_key).otherwise(F.array(none))).withColumn(
+        "__j", F.explode("__bands")
+    )
+    own = F.get(F.filter(F.coalesce(f"{value}.parts", F.array()), lambda p: p["j"] == F.col("__j")), none)
+    to_here = Window.partitionBy(*keys, "__j").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    spread = spread.withColumn("__own", own)
+    limbs = [F.sum(F.coalesce(f"__own.{a}", none.cast("long"))).over(to_here).alias(a) for a in LIMBS]
+    ran = spread.withColumn("__part", F.struct(F.col("__j").alias("j"), *limbs)).withColumn(
+        "__d", F.sum(F.coalesce(f"{value}.d", none.cast(EXACT))).over(to_here).cast(EXACT)
+    )
+    at_once = Window.partitionBy(*keys, order)
+    whole = ran.withColumn("__total", F.struct(F.col("__d").alias("d"), F.collect_list("__part").over(at_once).alias("parts")))
+    first = whole.filter(F.col("__j") == F.get("__bands", none))
+    return add_double(first, "__total", out).drop("__bands", "__j", "__own", "__part", "__d", "__total")

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import exact_sum
+from ..functions.exact import exact_totals
 from ..functions.stats import coef_var, safe_corr
 from ..operators.flows import flow_totals, full_outer_merge, off_peg
 from ..operators.rolling import diff_prev_nonnull, rolling_rows, rolling_rows_global
@@ -139,14 +139,10 @@ def whale_interactions(
     }
     flows = {flow: flow.events(df, as_of, lookback_days) for flow, df in tables.items()}
 
-    per_wallet = (
-        flows[BORROWED]
-        .union(flows[DEPOSITED])
-        .groupBy("address")
-        .agg(
-            exact_sum(_of(BORROWED, "usd")).alias("borrow_total_amt_usd"),
-            exact_sum(_of(DEPOSITED, "usd")).alias("deposit_total_amt_usd"),
-        )
+    per_wallet = exact_totals(
+        flows[BORROWED].union(flows[DEPOSITED]),
+        ["address"],
+        {"borrow_total_amt_usd": _of(BORROWED, "usd"), "deposit_total_amt_usd": _of(DEPOSITED, "usd")},
     )
     whales = topk_any(
         per_wallet,
@@ -232,12 +228,12 @@ def market_leaders(
         .withColumn("__apart", F.when(unnamed, F.col("kind")).otherwise(""))
     )
 
-    def sides(unit: str, column: str) -> list[Column]:
-        return [exact_sum(_of(f, column)).alias(f"{f.kind}_amt_{unit}") for f in (BORROWED, DEPOSITED)]
+    def sides(unit: str, column: str) -> dict[str, Column]:
+        return {f"{f.kind}_amt_{unit}": _of(f, column) for f in (BORROWED, DEPOSITED)}
 
     key = [*pair, "__apart"]
     leaders = topk_any(
-        events.groupBy(*key).agg(*sides("usd", "usd")),
+        exact_totals(events, key, sides("usd", "usd")),
         {f"{f.kind}_amt_token_order": f"{f.kind}_amt_usd" for f in (BORROWED, DEPOSITED)},
         k,
         key,
@@ -247,7 +243,7 @@ def market_leaders(
     found = (
         events.join(F.broadcast(listed), same)
         .groupBy(*key, *[c for c in leaders.columns if c not in key])
-        .agg(*sides("token", "amount"))
+        .agg(*[F.sum(amount).alias(name) for name, amount in sides("token", "amount").items()])
     )
     shown = {
         f"{f.kind}_amt_{unit}": F.when(F.col(f"{f.kind}_amt_token_order") <= k, F.col(f"{f.kind}_amt_{unit}"))
