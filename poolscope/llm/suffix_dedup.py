@@ -5,6 +5,7 @@ further ahead in the same one. Ranking every position by prefix doubling would s
 corpus once a round, dozens of times its size. So positions are sampled in a way that equal strings
 agree on, and what the sample leaves open is decided on the strings themselves:
 
+0. A text that an earlier document has whole goes whole, and takes no part in the rest.
 1. Anchors. Of every ``REACH`` neighbouring positions the one whose ``ANCHOR`` bytes hash lowest is an
    anchor (the leftmost of equal ones), about one position in 25. A string of ``LENGTH`` bytes
    has exactly one window of ``REACH`` such positions, so equal strings have their anchor at the same place
@@ -271,6 +272,78 @@ def ranked(rows: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> Data
     return whole.select(*passed, F.coalesce("origin", "rank").alias("rank"), later.alias("later"))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole groups, with the number of each row's group."""
+    held: list[pa.Table] = []
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        table = pa.concat_tables(held)
+        fresh = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            column = table[k].to_numpy()
+            fresh[1:] |= column[1:] != column[:-1]
+        return table, np.cumsum(fresh)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        other = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            column = table[k].to_numpy()
+            other |= column != column[-1]
+        begins = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # of the group that may go on
+        if held and any(held[-1][k][-1].as_py() != table[k][0].as_py() for k in keys):
+            yield whole()
+            held = []
+        if begins:
+            held.append(table.slice(0, begins))
+            yield whole()
+            held = []
+        held.append(table.slice(begins))
+    if held:
+        yield whole()
+
+
+_IN_BLOCK = ["doc", "tie", "block"]
+_STRIDE = 4 * BLOCK
+
+
+def _pairs(runs: DataFrame) -> DataFrame:
+    """Rows ``doc, tie, at, end, nxt, k1, k2, k3``: every short run with the one that follows it, if that is in ``runs``."""
+    names = [*_PLACE, "end", "nxt", "k1", "k2", "k3"]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _grouped(batches, _IN_BLOCK):
+            doc, tie, at, end, nxt, rank, block = (
+                table[c].to_numpy() for c in (*_PLACE, "end", "nxt", "rank", "block")
+            )
+            shift = group * _STRIDE - block * BLOCK
+            # a run past the last string of the next anchor is long enough
+            left = np.flatnonzero((nxt >= 0) & (end < at + LENGTH + REACH))
+            places = at + shift
+            right = np.minimum(np.searchsorted(places, nxt[left] + shift[left]), len(at) - 1)
+            met = places[right] == nxt[left] + shift[left]
+            left, right = left[met], right[met]
+            yield _record(
+                (doc[left], tie[left], at[left], end[right], nxt[right], rank[left], rank[right], at[right] - at[left]), names
+            )
+
+    dealt = runs.withColumn("block", F.floor(F.col("at") / BLOCK)).repartition(*_IN_BLOCK)
+    ordered = dealt.sortWithinPartitions(*_IN_BLOCK, "at").select(*_PLACE, "end", "nxt", "rank", "block")
+    return ordered.mapInArrow(pair, _longs(names))
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """Rows ``doc, tie, lo, hi`` of the texts that an earlier document has whole: they go whole."""
+    digest = F.md5(F.col("text").cast("binary"))
+    halves = [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(k) for k, at in (("k1", 1), ("k2", 17))]
+    zero = F.lit(0).cast("long")
+    long_enough = texts.select(*halves, "doc", "tie", zero.alias("at"), F.octet_length("text").cast("long").alias("hi"))
+    same = ranked(long_enough.where(F.col("hi") >= LENGTH), ["k1", "k2"], ["hi"]).where("later")
+    return staged(same.select("doc", "tie", zero.alias("lo"), "hi"), "suffix-copies")
+
+
 def _runs(cells: DataFrame) -> list[DataFrame]:
     """Rows ``doc, tie, at, end, nxt, rank, later`` of runs of 2, 4, 8.. anchors that are not alone."""
     runs = cells.select(
@@ -279,14 +352,7 @@ def _runs(cells: DataFrame) -> list[DataFrame]:
     )
     out = []
     for _ in range(ROUNDS):
-        # a run past the last string of the next anchor is long enough
-        short = runs.where(F.col("nxt") >= 0).where(F.col("end") < F.col("at") + LENGTH + REACH)
-        left = short.select("doc", "tie", F.col("at").alias("start"), F.col("nxt").alias("at"), F.col("rank").alias("k1"))
-        right = runs.select(*_PLACE, "end", "nxt", F.col("rank").alias("k2"))
-        pairs = left.join(right, _PLACE).select(
-            "doc", "tie", F.col("start").alias("at"), "end", "nxt", "k1", "k2", (F.col("at") - F.col("start")).alias("k3")
-        )
-        runs = ranked(pairs, ["k1", "k2", "k3"], ["end", "nxt"])
+        runs = ranked(_pairs(runs), ["k1", "k2", "k3"], ["end", "nxt"])
         out.append(runs)
     return out
 
@@ -304,13 +370,10 @@ def _open_cells(cells: DataFrame, runs: list[DataFrame]) -> DataFrame:
     strings = cells.select(*_PLACE, "rank", "lo", "hi")
     both = reduce(DataFrame.unionByName, marks, strings).withColumn("block", F.floor(F.col("lo") / BLOCK))
     names = [*_PLACE, "rank", "lo", "hi"]
-    stride = 4 * BLOCK
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
+    def solve(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         doc, tie, block, lo, hi, at, rank = (table[c].to_numpy() for c in ("doc", "tie", "block", "lo", "hi", "at", "rank"))
-        fresh = np.ones(len(doc), dtype=bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (block[1:] != block[:-1])
-        shift = (np.cumsum(fresh) * stride) - block * BLOCK
+        shift = group * _STRIDE - block * BLOCK
         a, b = lo + shift, hi + shift
         is_mark = rank < 0
         marked = np.flatnonzero(is_mark)
@@ -340,22 +403,10 @@ def _open_cells(cells: DataFrame, runs: list[DataFrame]) -> DataFrame:
         )
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            key = [table[c].to_numpy() for c in ("doc", "tie", "block")]
-            last = np.flatnonzero(reduce(np.logical_or, [k != k[-1] for k in key]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut or (held and any(held[-1][c][-1].as_py() != k[0] for c, k in zip(("doc", "tie", "block"), key, strict=True))):
-                yield solve(pa.concat_tables([*held, table.slice(0, cut)]))
-                held = []
-            held.append(table.slice(cut))
-        if held:
-            yield solve(pa.concat_tables(held))
-
-    dealt = both.repartition("doc", "tie", "block").sortWithinPartitions("doc", "tie", "block", "lo")
+        for table, group in _grouped(batches, _IN_BLOCK):
+            yield solve(table, group)
+
+    dealt = both.repartition(*_IN_BLOCK).sortWithinPartitions(*_IN_BLOCK, "lo")
     return dealt.select("block", *names).mapInArrow(sweep, _longs(names))
 
 
@@ -442,7 +493,9 @@ def _with_copies(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (null unless ``with_bytes``)."""
     ensure_columns(docs, "doc_id", "text")
-    texts = _documents(docs)
+    everything = _documents(docs)
+    copies = _copies(everything)
+    texts = everything.join(copies.select("doc", "tie"), ["doc", "tie"], "left_anti")
     shape = F.col("shape")
 
     def unpacked(by: int, name: str):
@@ -456,7 +509,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     open_cells = swept.where("rank is not null").select(*_PLACE, F.col("rank").alias("k1"), "lo", "hi")
     strings = _strings(texts, ranked(open_cells, ["k1"], ["lo", "hi"]))
     again = ranked(strings, ["k1", "k2"], []).where("later")
-    spans = swept.where("rank is null").select("doc", "tie", "lo", "hi").unionByName(
+    spans = copies.unionByName(swept.where("rank is null").select("doc", "tie", "lo", "hi")).unionByName(
         again.select("doc", "tie", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     )
-    return _with_copies(_cut(texts, spans, with_bytes))
+    return _with_copies(_cut(everything, spans, with_bytes))
