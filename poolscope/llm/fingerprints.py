@@ -1,8 +1,9 @@
 """Document fingerprints by I-Match over several randomised lexicons.
 
 The lexicon holds the terms whose inverse document frequency lies in a band. A document's terms in
-the lexicon are sorted; each of ``SUBSETS`` random subsets of the lexicon keeps some of them, and
-their hash is one part of the fingerprint. There are ``EACH`` subsets on each of ``LEVELS`` levels,
+the lexicon are combined in a way that does not depend on their order, which gives what sorting them
+first would give, in one aggregation; each of ``SUBSETS`` random subsets of the lexicon keeps some of
+them, and their hash is one part of the fingerprint. There are ``EACH`` subsets on each of ``LEVELS`` levels,
 which keep a half, a quarter and so on of the lexicon, so that short and long documents both have
 parts that outlive an edit; one more part hashes all terms. The likeness of two fingerprints is the
 share of equal parts on the level where it is highest, empty parts not counted.
@@ -17,7 +18,7 @@ block before. So texts are shuffled once, and no task holds more than a block.
 
 Defined cases: a null text is empty; a document without a term of the lexicon is hashed by all its
 terms, so empty texts share a fingerprint; rows of one id follow each other by their text; rows
-without an id form a block of their own, ahead of all others; the only row of a table follows
+without an id come ahead of all others, by a hash of their text; the only row of a table follows
 itself; an empty table gives no rows.
 """
 
@@ -31,7 +32,7 @@ from .shared import ensure_columns, staged, text_or_empty
 LEAST, MOST = 0.001, 0.2
 LEVELS, EACH, LEAST_PARTS = 8, 4, 2
 SUBSETS = LEVELS * EACH
-BLOCK_BITS, UPPER_BITS = 10, 21
+BLOCK_BITS = 10
 BROADCAST = 1_000_000
 
 
@@ -56,25 +57,21 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFr
     )
 
 
-def successors(ids: DataFrame, bits: int = UPPER_BITS) -> DataFrame:
+def successors(ids: DataFrame) -> DataFrame:
     """Rows ``id, next``: every id with the next larger one, the largest with the smallest.
 
-    ``ids`` has distinct longs in ``id``. A window holds at most ``2 ** bits`` of them; the last of
-    a window takes the first of the next, found in the same way among the windows.
+    ``ids`` has distinct longs in ``id``. They are dealt by range, so the last of a task takes the
+    first of the next task, and only one row per task meets in one place.
     """
-    upper = F.shiftright(F.col("id"), bits)
-    if bits > 42:
-        raise ValueError("windows would be too large")
-    inside = Window.partitionBy("upper").orderBy("id")
-    led = ids.withColumn("upper", upper).withColumn("next", F.lead("id").over(inside))
-    firsts = ids.groupBy(upper.alias("upper")).agg(F.min("id").alias("first"))
-    around = Window.orderBy("upper")
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "fingerprint-order")
+    led = dealt.withColumn("next", F.lead("id").over(Window.partitionBy("part").orderBy("id")))
+    firsts = dealt.groupBy("part").agg(F.min("id").alias("first"))
+    around = Window.orderBy("part")
     following = firsts.withColumn(
         "follow", F.coalesce(F.lead("first").over(around), F.min("first").over(Window.partitionBy()))
     )
-    return led.join(following.select("upper", "follow"), "upper").select(
-        "id", F.coalesce("next", "follow").alias("next")
-    )
+    return led.join(following.select("part", "follow"), "part").select("id", F.coalesce("next", "follow").alias("next"))
 
 
 def _neighbours(rows: DataFrame, value: str, blocks: DataFrame) -> DataFrame:
@@ -96,10 +93,11 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     start of the next document.
     """
     ensure_columns(docs, "doc_id", "text")
-    block = F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(-(2**54)))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), block.alias("block")
-    )
+    text = text_or_empty("text")
+    # ahead of all ids, and dealt by the text
+    unnamed = F.lit(-(2**60)) + F.shiftright(F.xxhash64(text), 48)
+    block = F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), unnamed)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), block.alias("block"))
     blocks = staged(successors(rows.select(F.col("block").alias("id")).distinct()), "fingerprint-blocks")
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "text")))
     near = _neighbours(placed, "text", blocks)
@@ -114,18 +112,29 @@ def _short(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.pmod(value, F.lit(2**32)))), 8, "0")
 
 
-def _parts(found: Column, spare: Column) -> Column:
+def _combined(version: str, chosen: Column) -> list[Column]:
+    """Aggregates: all terms combined, all of the lexicon, and those of each subset; null where there is none.
+
+    Distinct terms in any order combine to the value that they give when sorted.
+    """
+    def over(condition: Column, name: str) -> Column:
+        return F.bit_xor(F.when(chosen & condition, F.col("term"))).alias(f"{version}_{name}")
+
+    known = F.col("mask").isNotNull()
+    subsets = [over(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, str(k)) for k in range(SUBSETS)]
+    return [over(F.lit(True), "spare"), over(known, "all"), *subsets]
+
+
+def _parts(version: str) -> Column:
     """The hash of all terms and that of each subset's terms, '' where it keeps none."""
-    def hashed(terms: Column) -> Column:
-        return _short(F.xxhash64(F.transform(terms, lambda x: x["term"])))
+    def hashed(name: str) -> Column:
+        return _short(F.xxhash64(F.col(f"{version}_{name}")))
 
     def part(k: int) -> Column:
-        kept = F.filter(found, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0)
-        return F.when(F.size(kept) > 0, hashed(kept)).otherwise("")
+        return F.when(F.col(f"{version}_{k}").isNotNull(), hashed(str(k))).otherwise("")
 
-    outside = F.concat(F.lit("x"), _short(spare))
-    return F.when(F.size(found) > 0, F.array(hashed(found), *[part(k) for k in range(SUBSETS)])).otherwise(
-        F.array_repeat(outside, 1 + SUBSETS)
+    return F.when(F.col(f"{version}_all").isNotNull(), F.array(hashed("all"), *[part(k) for k in range(SUBSETS)])).otherwise(
+        F.array_repeat(F.concat(F.lit("x"), hashed("spare")), 1 + SUBSETS)
     )
 
 
@@ -150,37 +159,33 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     if words.count() <= BROADCAST:
         words = F.broadcast(words)
     texts, blocks = edited_texts(docs)
-    hashed = texts.select(
-        "block", "place", "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array(terms_of(F.col("text")), terms_of(F.col("edited"))).alias("terms"),
-    )
-    each = hashed.select(
-        "block", "place", "doc_id", "n_chars", "edited_sha256", F.posexplode("terms").alias("version", "terms")
-    )
-    carried = F.struct("doc_id", "n_chars", "edited_sha256", "spare").alias("kept")
-    single = (
-        each.withColumn("spare", F.xxhash64(F.array_sort("terms")))
-        .select("block", "place", "version", carried, "terms")
-        .select("block", "place", "version", "kept", F.posexplode_outer("terms").alias("at", "term"))
-        .withColumn("kept", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")))
-    )
-    matched = single.join(words, "term", "left").where("mask is not null or kept is not null")
-    known = F.when(F.col("mask").isNotNull(), F.struct("term", "mask"))
-    grouped = matched.groupBy("block", "place", "version").agg(
-        F.array_sort(F.collect_list(known)).alias("found"), F.max("kept").alias("kept")
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    quarters = [F.conv(F.substring(digest, 1 + 16 * k, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
+    own, changed = terms_of(F.col("text")), terms_of(F.col("edited"))
+    carried = ["doc_id", "n_chars", *[f"sha{k}" for k in range(4)]]
+    listed = texts.select(
+        "block", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), *quarters,
+        own.alias("own"), changed.alias("changed"),
     )
-    parts = grouped.select(
-        "block", "place", "kept", F.struct("version", _parts(F.col("found"), F.col("kept.spare")).alias("parts")).alias("made")
+    # a term goes on once, with the versions that have it: both, the text, the edited text
+    listed = listed.withColumn(
+        "terms",
+        F.array(F.array_intersect("own", "changed"), F.array_except("own", "changed"), F.array_except("changed", "own")),
     )
-    both = parts.groupBy("block", "place").agg(
-        F.array_sort(F.collect_list("made")).alias("made"), F.max("kept").alias("kept")
+    each = listed.select("block", "place", *carried, F.posexplode("terms").alias("version", "terms"))
+    single = each.select("block", "place", "version", *carried, F.posexplode_outer("terms").alias("at", "term"))
+    # the document's own values on its first row alone
+    first = (F.col("version") == 0) & (F.coalesce("at", F.lit(0)) == 0)
+    single = single.select("block", "place", "version", "term", *[F.when(first, F.col(c)).alias(c) for c in carried])
+    combined = single.join(words, "term", "left").groupBy("block", "place").agg(
+        *[F.max(c).alias(c) for c in carried],
+        *_combined("own", F.col("version") != 2), *_combined("changed", F.col("version") != 1),
     )
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"sha{k}")), 16, "0") for k in range(4)])
     prints = staged(
-        both.select(
-            "block", "place", "kept.doc_id", "kept.n_chars", "kept.edited_sha256",
-            F.col("made")[0]["parts"].alias("own"), F.col("made")[1]["parts"].alias("changed"),
+        combined.select(
+            "block", "place", "doc_id", "n_chars", sha.alias("edited_sha256"),
+            _parts("own").alias("own"), _parts("changed").alias("changed"),
         ),
         "fingerprints",
     )
