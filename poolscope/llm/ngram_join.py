@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import ensure_columns, staged
+from .shared import WORD, ensure_columns, staged
 
 WIDTH = 3
 PERCENT = 90
@@ -453,3 +453,51 @@ def ngram_components(
     return classes.join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` that come first in their class, with their own columns, whatever their names.
+
+    First is the smallest id, a row without an id only if none of its class has one. Rows with neither id nor words
+    are in no class and stay; of rows equal in id and text one stays, the least by its other columns.
+
+    A row is known by a hash of its id and text, drawn anew until no two different ones share it. Texts
+    meet the short list of rows to go, not the long one of rows that stay, so they cross no shuffle
+    as long as that list is small enough to be sent to every task.
+    """
+    ensure_columns(docs, "doc_id", "text")
+    key = "__key"
+    while key in docs.columns:
+        key += "_"
+    doc_id = F.col("doc_id").cast("long")
+    keys = None
+    for seed in range(8):
+        hashed = F.xxhash64(F.lit(seed), doc_id, F.col("text"))
+        rows = docs.where(doc_id.isNotNull() | F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(
+            hashed.alias("key"), doc_id.alias("doc_id"), F.xxhash64(F.col("text"), doc_id, F.lit(-1 - seed)).alias("other")
+        )
+        each = rows.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("named"), F.min("other").alias("least"), F.max("other").alias("most")
+        )
+        keys = staged(each, "ngram-keys")
+        if keys.where("least <> most").isEmpty():
+            break
+    else:
+        raise RuntimeError("different rows shared a hash with every seed")
+    keyed = docs.withColumn(key, hashed)
+    classes = ngram_components(keyed.select(F.col(f"`{key}`").alias("doc_id"), "text"), width, percent)
+    listed = classes.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"))
+    # ids that are missing come after all others
+    ranked = listed.join(keys.select("key", "named", "n"), "key").select(
+        "key", "n", "component", F.struct(F.col("named").isNull().alias("unnamed"), "named", "key").alias("place")
+    )
+    ranked = staged(ranked, "ngram-listed")
+    first = ranked.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.key").alias("key"))
+    gone = staged(ranked.join(first, "key", "left_anti").select(F.col("key").alias(key)), "ngram-gone")
+    repeated = staged(ranked.where("n > 1").join(first, "key", "left_semi").select(F.col("key").alias(key)), "ngram-repeated")
+    kept = keyed.join(gone.unionByName(repeated), key, "left_anti").drop(key)
+    if repeated.isEmpty():
+        return kept
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*columns)).alias("row"))
+    return kept.unionByName(one.select(*[F.col(f"row.`{c}`") for c in docs.columns]))

@@ -29,13 +29,13 @@ def texts(spark):
     return {r["doc_id"]: r["text"] for r in rows}
 
 
-def shingles(text):
+def shingles(text, width=3):
     words = WORD.findall(lower(text))
-    return {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def classes(sets):
-    """Smallest id reachable by links of similarity 0.9, by counting shared shingles of all pairs."""
+def classes(sets, percent=90):
+    """Smallest id reachable by links of that similarity, by counting shared shingles of all pairs."""
     parent = {i: i for i in sets}
 
     def find(x):
@@ -50,7 +50,7 @@ def classes(sets):
     for i, found in sets.items():
         shared = Counter(j for x in found for j in holders[x] if j > i)
         for j, n in shared.items():
-            if 100 * n >= 90 * (len(found) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(found) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in sets}
@@ -368,7 +368,7 @@ def test_pipeline_stages(spark, tmp_path):
     lines = corpus_pipeline.staged(stages["line dedup"](spark, kept, SF), "test")
     assert lines.count() == kept.count()
     near = corpus_pipeline.staged(stages["n-gram Jaccard join"](spark, lines, SF), "test")
-    expected = classes({r["doc_id"]: shingles(r["text"]) for r in lines.collect()})
+    expected = classes({r["doc_id"]: shingles(r["text"], 5) for r in lines.collect()}, 80)
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(set(expected.values()))
     mixed = corpus_pipeline.staged(stages["source mixing"](spark, near, SF), "test")
     assert mixed.columns == docs.columns
