@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscope.llm import classifier, line_dedup, mixing, ngram_join, packing
-from poolscope.llm.shared import WORD, staged, text_or_empty
+from poolscope.llm.shared import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,21 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest id; one without an id only if none has any.
-
-    Rows meet in the join by a 64-bit hash of id and text, so an id with several texts is several
-    documents. Rows of one id and text are one. Rows with neither id nor words stay.
-    """
-    loose = F.col("doc_id").isNull() & ~text_or_empty("text").rlike(WORD)
-    keyed = docs.where(~loose).withColumn("__key", F.xxhash64("doc_id", "text"))
-    classes = ngram_join.ngram_components(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    classes = classes.select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    named = classes.join(keyed.select("__key", "doc_id").distinct(), "__key")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key")).alias("least")
-    first = named.groupBy("component_id").agg(least).select(F.col("least.__key").alias("__first"))
-    kept = keyed.join(first, F.col("__key") == F.col("__first"))
-    rows = kept.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return rows.select("__row.*").unionByName(docs.where(loose))
+    """One document of each class of texts that share 80 of 100 distinct five-word shingles, the one with the smallest id."""
+    return ngram_join.keep_first(docs, width=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
