@@ -21,7 +21,7 @@ from .functions.exact import exact_totals
 from .functions.stats import coef_var, safe_corr
 from .operators import balances as bal
 from .operators import bands as bnd
-from .operators import flows, pool, rolling, shares, snapshot, time, topk
+from .operators import flows, joins, pool, rolling, shares, snapshot, time, topk
 from .sources.testdata import ADAPTERS, derived_table
 
 ORACLES = Path(__file__).resolve().parent.parent / "oracle"
@@ -31,6 +31,7 @@ EVENTS_DAY = "2024-01-30"
 ORDERS_DAY = "2001-08-01"
 EVENTS_START = "2023-12-25"
 COHORT_DAY = "2024-01-10"
+SPINE_END = "2024-01-20"
 CUTOFF = "2024-01-05 12:00:00"
 MANAGER = "7"
 
@@ -193,9 +194,12 @@ def _diff_prev_nonnull(t: TableReader) -> DataFrame:
     return rolling.diff_prev_nonnull(hourly, "reserves", ["ctoken_address"], "block_hour", "reserve_diff")
 
 
+def _intervals(t: TableReader) -> DataFrame:
+    return bal.held_intervals(bal.net_liquidity_by_day(t("lp_actions")), EVENTS_START, EVENTS_DAY)
+
+
 def _holdings(t: TableReader, hi: str = EVENTS_DAY) -> DataFrame:
-    net = bal.net_liquidity_by_day(t("lp_actions"))
-    return bal.daily_holdings(bal.held_intervals(net, EVENTS_START, EVENTS_DAY), EVENTS_START, hi)
+    return bal.daily_holdings(_intervals(t), EVENTS_START, hi)
 
 
 def _expand_days(t: TableReader) -> DataFrame:
@@ -251,16 +255,36 @@ def _price_boundaries(t: TableReader) -> DataFrame:
     return pool.price_boundaries(t("pool_stats"))
 
 
-def _last_in_bucket(t: TableReader) -> DataFrame:
+def _outer_day_spine(t: TableReader) -> DataFrame:
+    """Days and the providers that had acted by then, with days before any action and providers that came later."""
+    actions = t("lp_actions")
+    day = F.to_date("block_timestamp")
+    firsts = actions.groupBy("liquidity_provider", "pool_address", "pool_name").agg(F.min(day).alias("min_date"))
+    start = actions.agg(F.least(F.min(day), F.lit(EVENTS_START).cast("date")).alias("first"))
+    days = time.date_spine(start, "first", EVENTS_START, SPINE_END).drop("first")
+    held = firsts.withColumn("until", F.lit(None).cast("date"))
+    return joins.outer_range_join(days, held, "day", "min_date", "until", width=7).drop("until")
+
+
+def _last_in_bucket(t: TableReader, running: Column | None = None) -> DataFrame:
     hourly = t("pool_stats").withColumn("block_hour", time.hour_of("block_timestamp"))
     return snapshot.last_in_bucket(
         hourly,
         ["block_hour", "pool_address", "pool_name"],
         ["block_timestamp", "block_id"],
         ["price_1_0", "token0_balance_usd"],
+        running,
     )
 
 
+def _running_last(t: TableReader) -> DataFrame:
+    rows = t("pool_stats").select("block_id", "block_timestamp", "pool_address", "token0_balance_usd")
+    read = snapshot.running_last(
+        rows, ["pool_address"], ["block_timestamp", "block_id"], ["token0_balance_usd"], F.to_date("block_timestamp"), True
+    )
+    return read.drop("block_timestamp")
+
+
 def _first_seen(t: TableReader) -> DataFrame:
     return snapshot.first_seen(t("positions"), "liquidity_provider", "block_timestamp").select(
         "liquidity_provider", "block_id", "pool_name", "liquidity_adjusted"
@@ -330,7 +354,8 @@ def _hourly_tvl(t: TableReader) -> DataFrame:
 
 
 def _value_per_liquidity(t: TableReader) -> DataFrame:
-    return bal.value_per_liquidity(_holdings(t), bal.daily_close_value(_hourly_tvl(t)))
+    held = bal.held_totals(_intervals(t), EVENTS_START, EVENTS_DAY)
+    return bal.value_per_liquidity(held, bal.daily_close_value(_hourly_tvl(t)))
 
 
 def _daily_provider_value(t: TableReader) -> DataFrame:
@@ -382,6 +407,12 @@ OPERATORS: dict[str, Entry] = {
     ),
     "price_boundaries": Entry(_price_boundaries, _digits("", "open_price close_price")),
     "last_in_bucket": Entry(_last_in_bucket, _digits("price_1_0 token0_balance_usd")),
+    "last_in_bucket_running": Entry(
+        lambda t: _last_in_bucket(t, F.minute("block_timestamp")), _digits("price_1_0 token0_balance_usd")
+    ),
+    "running_last": Entry(_running_last, _digits("token0_balance_usd")),
+    "outer_day_spine": Entry(_outer_day_spine),
+    "fee_growth": Entry(lambda t: pool.fee_growth(t("pool_stats")), _digits("", "fee_growth")),
     "first_seen": Entry(_first_seen, _digits("liquidity_adjusted")),
     "coef_var": Entry(lambda t: _stats(t, vari_coef=coef_var("token_price")), _digits("", "vari_coef")),
     "safe_corr": Entry(

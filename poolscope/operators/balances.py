@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import price_status
 from ..functions.exact import exact_groups
 from .joins import salted_join
-from .rolling import running_positive
+from .rolling import running_exact, running_positive
 from .snapshot import last_in_bucket
 from .time import as_date, expand_days, hour_of
 
 HOLDING = ("liquidity_provider", "pool_address", "pool_name")
+_POOL = ("pool_address", "pool_name")
 
 
 def net_liquidity_by_day(lp_actions: DataFrame) -> DataFrame:
@@ -135,11 +136,30 @@ def daily_close_value(hourly_tvl: DataFrame) -> DataFrame:
     )
 
 
-def value_per_liquidity(holdings: DataFrame, daily_value: DataFrame) -> DataFrame:
-    """Pool value per unit of held liquidity, per day and pool."""
-    held = holdings.groupBy("block_day", "pool_address", "pool_name").agg(
-        F.sum("liquidity_adj").alias("total_liquidity_adj")
+def held_totals(intervals: DataFrame, lo: date | str, hi: date | str) -> DataFrame:
+    """All liquidity held per pool and day between ``lo`` and ``hi``, without a row per holding and day.
+
+    An interval adds its balance on its first day and takes it out on the day it ends. These changes
+    are summed per pool and day, exactly, so that what ended leaves nothing behind, and run up over the
+    days with a change; only then is a pool's total repeated on the days in between.
+    """
+    first, last = F.lit(as_date(lo)), F.lit(as_date(hi))
+    balance = F.col("liquidity_adj")
+    begins = F.struct(F.greatest("day", first).alias("block_day"), balance.alias("change"), F.lit(1.0).alias("held"))
+    ends = F.struct(F.greatest("until", first).alias("block_day"), (-balance).alias("change"), F.lit(-1.0).alias("held"))
+    both = F.filter(F.array(begins, F.when(F.col("until").isNotNull(), ends)), lambda e: e["block_day"] <= last)
+    changes = exact_groups(
+        intervals.select(*_POOL, F.inline(both)), [*_POOL, "block_day"], {"change": "change"}, {"held": "held"}
     )
+    days = Window.partitionBy(*_POOL).orderBy("block_day")
+    series = changes.withColumns({"holders": F.sum("held").over(days), "next_day": F.lead("block_day").over(days)})
+    totals = running_exact(series, "change", _POOL, "block_day", "total_liquidity_adj").filter(F.col("holders") > 0)
+    spans = totals.select(*_POOL, F.col("block_day").alias("since_day"), "next_day", "total_liquidity_adj")
+    return expand_days(spans, "since_day", "next_day", lo, hi, out="block_day")
+
+
+def value_per_liquidity(held: DataFrame, daily_value: DataFrame) -> DataFrame:
+    """Pool value per unit of held liquidity, per day and pool; ``held`` as ``held_totals`` gives it."""
     total = F.col("total_liquidity_adj")
     return held.join(daily_value, ["block_day", "pool_address"], "left").select(
         "block_day",

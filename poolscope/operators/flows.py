@@ -21,19 +21,35 @@ def flow_totals(
 ) -> DataFrame:
     """Token and usd sums per key, with optional distinct transaction and user counts.
 
-    ``keys`` maps output names to source columns. Distinct counts are exact: Spark
-    first groups by (key, counted value), so one hot key still spreads over the
-    cluster before its final count.
+    ``keys`` maps output names to source columns. Distinct counts are exact. Both kinds of counted
+    value go through one shuffle, tagged by kind: rows are folded per (key, kind, value) before it, and a
+    kind's remaining rows are its distinct values, so one hot key spreads over the cluster before its
+    final count. The sums ride on the rows of the first kind, so no row is multiplied for them.
     """
-    aggs = [F.sum(amount).alias("token_amount"), F.sum(usd).alias("amount_usd")]
-    if user is not None:
-        aggs.append(F.count_distinct(user).alias("num_users"))
-    if tx is not None:
-        aggs.append(F.count_distinct(tx).alias("dist_num_txs"))
-        if count_rows:
-            aggs.append(F.count(tx).alias("num_txs"))
     groups = [(F.col(src) if isinstance(src, str) else src).alias(out) for out, src in keys.items()]
-    return df.groupBy(*groups).agg(*aggs)
+    counted = {"dist_num_txs": tx, "num_users": user}
+    kinds = [(name, src) for name, src in counted.items() if src is not None]
+    sums = {"token_amount": F.col(amount), "amount_usd": F.col(usd)}
+    if tx is not None and count_rows:
+        sums["num_txs"] = F.col(tx).isNotNull().cast("long")
+    if not kinds:
+        return df.select(*groups, *[c.alias(n) for n, c in sums.items()]).groupBy(*keys).agg(
+            *[F.sum(n).alias(n) for n in sums]
+        )
+
+    def tagged(k: int) -> Column:
+        # a transaction and a user may be of different types; text tells their values apart as well
+        value = F.col(kinds[k][1]).cast("string").alias("__value")
+        riding = [(c if k == 0 else F.lit(None).cast(df.select(c).schema[0].dataType)).alias(n) for n, c in sums.items()]
+        return F.struct(F.lit(k).alias("__kind"), value, *riding)
+
+    each = df.select(*groups, F.inline(F.array(*[tagged(k) for k in range(len(kinds))])))
+    folded = each.groupBy(*keys, "__kind", "__value").agg(*[F.sum(n).alias(n) for n in sums])
+    known = F.col("__value").isNotNull()
+    order = ["token_amount", "amount_usd", "num_users", "dist_num_txs", "num_txs"]
+    counts = {name: F.count_if((F.col("__kind") == k) & known) for k, (name, _) in enumerate(kinds)}
+    totals = {n: F.coalesce(F.sum(n), F.lit(0)) if n == "num_txs" else F.sum(n) for n in sums} | counts
+    return folded.groupBy(*keys).agg(*[totals[n].alias(n) for n in order if n in totals])
 
 
 def full_outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

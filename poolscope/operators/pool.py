@@ -16,8 +16,9 @@ from ..functions.classify import (
     movement_label,
     pairing_type,
 )
+from ..functions.fixed import difference, limbs_of, to_double
 from .joins import salted_join
-from .snapshot import boundary_rows, flag_boundaries
+from .snapshot import boundary_rows, flag_boundaries, last_in_bucket
 from .time import on_day
 
 POSITION_KEYS = ("pool_address", "liquidity_provider", "nf_token_id", "blk_date")
@@ -298,3 +299,18 @@ def tvl_share(
         worth("open_liquidity", "total_open_liquidity", "open_tvl_usd"),
         *extra,
     )
+
+
+def fee_growth(pool_stats: DataFrame, counter: str = "fee_growth_global0_x128") -> DataFrame:
+    """Growth of a pool's 256-bit fee counter per day: from the last state before the day to its own last state.
+
+    A day's state is its last row, found by an aggregation; only these, one per pool and day, are set side by
+    side. The first day of a pool has no growth. The counter may wrap around.
+    """
+    daily = last_in_bucket(
+        pool_stats.withColumn("block_day", F.to_date("block_timestamp")),
+        ["pool_address", "block_day"], ["block_timestamp", "block_id"], [counter],
+    ).withColumn("__limbs", limbs_of(counter))
+    before = F.lag("__limbs").over(Window.partitionBy("pool_address").orderBy("block_day"))
+    grown = daily.withColumn("__grown", difference(F.col("__limbs"), before))
+    return grown.select("pool_address", "block_day", to_double(F.col("__grown")).alias("fee_growth"))

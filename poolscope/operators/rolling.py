@@ -112,13 +112,13 @@ def running_positive(
     if until is not None:
         df = df.withColumn(until, F.lead(order).over(series))
     if isinstance(df.schema[value].dataType, StructType):
-        totals = _running_exact(df, value, keys, order, out)
+        totals = running_exact(df, value, keys, order, out)
     else:
         totals = df.withColumn(out, F.sum(value).over(series))
     return totals.filter(F.col(out) > 0)
 
 
-def _running_exact(df: DataFrame, value: str, keys: Sequence[str], order: str, out: str) -> DataFrame:
+def running_exact(df: DataFrame, value: str, keys: Sequence[str], order: str, out: str) -> DataFrame:
     """Running exact totals: every exponent band of a key runs over all its rows, then they are put together.
 
     Amounts written in decimals have no band, so their rows stay one each.

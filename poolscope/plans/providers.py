@@ -14,6 +14,7 @@ from ..operators.balances import (
     daily_close_value,
     daily_holdings,
     held_intervals,
+    held_totals,
     hourly_state,
     net_liquidity_by_day,
     provider_balances,
@@ -134,7 +135,7 @@ def cohort_balances(
     holdings = daily_holdings(intervals, first, as_of)
     recent = pool_stats.filter(F.col("block_timestamp") >= timestamp(since))
     hourly = tvl_with_price_fallback(hourly_state(recent, token_prices))
-    per_unit = value_per_liquidity(holdings, daily_close_value(hourly))
+    per_unit = value_per_liquidity(held_totals(intervals, first, as_of), daily_close_value(hourly))
     # unknown pools are dropped here, one row per pool and day, instead of from the holdings
     known = per_unit.join(pools.select("pool_address"), "pool_address", "left_semi")
     daily = provider_balances(holdings, known)

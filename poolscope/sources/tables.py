@@ -52,7 +52,7 @@ SCHEMAS: dict[str, T.StructType] = {
         "block_id:l block_timestamp:ts pool_address:s pool_name:s token0_address:s token1_address:s "
         "token0_symbol:s token1_symbol:s price_1_0:d token0_balance_adjusted:d token1_balance_adjusted:d "
         "token0_balance_usd:d token1_balance_usd:d virtual_liquidity_adjusted:d "
-        "virtual_reserves_token0_adjusted:d virtual_reserves_token1_adjusted:d"
+        "virtual_reserves_token0_adjusted:d virtual_reserves_token1_adjusted:d fee_growth_global0_x128:s"
     ),
     "lp_actions": _schema(
         "tx_id:s block_timestamp:ts action:s liquidity_provider:s liquidity_adjusted:d pool_address:s "

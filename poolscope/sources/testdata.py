@@ -58,7 +58,11 @@ SELECT event_id AS block_id, ts AS block_timestamp, CAST(user_id % 12 AS STRING)
        CASE WHEN event_id % 97 = 0 THEN NULL ELSE value * 100 END AS token0_balance_usd,
        value * 50 AS token1_balance_usd, value * 7 AS virtual_liquidity_adjusted,
        10 + value AS virtual_reserves_token0_adjusted,
-       CAST(5 + user_id % 7 AS DOUBLE) AS virtual_reserves_token1_adjusted
+       CAST(5 + user_id % 7 AS DOUBLE) AS virtual_reserves_token1_adjusted,
+       concat(CASE WHEN dayofyear(ts) < 15 THEN repeat('f', 24) ELSE repeat('0', 24) END,
+              lpad(lower(hex(CAST((dayofyear(ts) - 15) * 24 + hour(ts) + CASE WHEN dayofyear(ts) < 15 THEN 4294967296 ELSE 0 END AS BIGINT))), 8, '0'),
+              lpad(lower(hex(CAST(minute(ts) * 60 + second(ts) AS BIGINT) * 1193046)), 8, '0'),
+              lpad(lower(hex(event_id * 40503 % 4294967296)), 8, '0'), repeat('a', 16)) AS fee_growth_global0_x128
 FROM events""",
     "positions": """
 SELECT event_id AS block_id, ts AS block_timestamp, CAST(user_id % 12 AS STRING) AS pool_address,
