@@ -17,9 +17,11 @@ agree on, and what the sample leaves open is decided on the strings themselves:
    the next anchor are not extended. A run that is not the first of its class marks all strings inside it. This settles
    the inside of long repeats with one row per anchor.
 3. The rest. Cells with strings still unmarked are sorted by rank; one that is alone in its rank is
-   dropped. The strings of the others, a few in a hundred positions, are cut from the texts,
-   hashed, sorted and ranked in the same way. The first occurrence of any string is never inside a run
-   that came second, so it is always there to mark the others.
+   dropped. The strings of the others are cut from the texts in blocks of up to ``SIDE`` neighbours.
+   Blocks are ranked in the same way, by the bytes that all their strings share and then as a whole, and
+   only blocks that are neither alone nor an earlier one over again are taken apart into strings, which are
+   ranked at last. The first occurrence of a string is never in a run or block that came second, so it is always there
+   to mark the others.
 4. Marked strings become spans of bytes per document, and each text is cut in one pass.
 
 Sorting by position as well deals a string that fills a third of the corpus over many tasks; the
@@ -35,6 +37,7 @@ rows equal in id and text one counts as first; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import cache, reduce
 
@@ -51,6 +54,8 @@ ANCHOR = 52
 REACH = LENGTH - ANCHOR + 1  # not more than ANCHOR, so that neighbouring anchors leave no byte between them
 ROUNDS = 3
 BLOCK = 1 << 20
+SIDE = 16  # strings that are compared as one before they are compared one by one
+SAMPLED = 100  # anchors per task that balance the first sort
 PIECE = 1 << 20  # positions that are hashed at a time
 
 _rng = np.random.Generator(np.random.PCG64(1215))
@@ -170,9 +175,13 @@ def _documents(docs: DataFrame) -> DataFrame:
 _PLACE = ["doc", "tie", "at"]
 
 
-def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """Rows ``k1, k2, doc, tie, at, shape``: an anchor, its hash, and its cell and next anchor packed by distance."""
-    names = ["k1", "k2", *_PLACE, "shape"]
+def _anchor_rows(texts: DataFrame, bounds: list[tuple[int, ...]]) -> DataFrame:
+    """Rows ``k1, k2, doc, tie, at, shape, task``: an anchor, its hash, its cell and next anchor packed by distance.
+
+    ``task`` counts the ``bounds`` up to the row's hash and position.
+    """
+    names = ["k1", "k2", *_PLACE, "shape", "task"]
+    first = np.array([b[0] for b in bounds], dtype=np.int64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,19 +196,38 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
             shape = (place - lo) | (place - hi) << 8 | gap << 16
             k1, k2 = _string_hash(raw, place, ANCHOR)
             doc, tie = (batch.column(k).to_numpy()[row] for k in (0, 1))
-            yield _record((k1, k2, doc, tie, at, shape), names)
+            task = np.searchsorted(first, k1, side="right")
+            for i in np.flatnonzero(np.isin(k1, first)).tolist():  # the whole place decides
+                task[i] = bisect_right(bounds, tuple(int(c[i]) for c in (k1, k2, doc, tie, at)))
+            yield _record((k1, k2, doc, tie, at, shape, task.astype(np.int32)), names)
+
+    return texts.select("doc", "tie", "text").mapInArrow(emit, f"{_longs(names[:-1])}, task int")
+
+
+def _bounds(texts: DataFrame, parts: int) -> list[tuple[int, ...]]:
+    """Where to cut the anchors into ``parts`` tasks, from a sample of about a hundred for each.
 
-    return texts.select("doc", "tie", "text").mapInArrow(emit, _longs(names))
+    Only the sizes of tasks depend on it. Spark's own sample would hash all texts once more.
+    """
+    share = max(1, texts.count() // (SAMPLED * parts))
+    some = texts.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(share)) == 0)
+    rows = _anchor_rows(some, []).where(F.pmod(F.xxhash64("doc", "tie", "at"), F.lit(SAMPLED)) == 0)
+    found = sorted(tuple(r) for r in rows.select("k1", "k2", *_PLACE).limit(4 * SAMPLED * parts).collect())
+    return [found[len(found) * k // parts] for k in range(1, parts)] if len(found) > parts else []
 
 
-def ranked(rows: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """Rows whose ``keys`` are not alone: ``doc, tie, at, carried.., rank, later``; all columns are longs.
+def ranked(
+    rows: DataFrame, keys: Sequence[str], carried: Sequence[str], keep_alone: bool = False, dealt_by: str | None = None
+) -> DataFrame:
+    """Rows whose ``keys`` are not alone, or all: ``doc, tie, at, carried.., rank, later``; keys and places are longs.
 
     Spark sorts by key and position over all tasks. A rank is the number of the task and the row where
     a class begins, so it grows with the key; ``later`` is false for the first position of a class only.
     A task knows no neighbour, so it keeps its first and last row whatever they are, and these
-    alone with their keys; classes that go on over a border are put together from them.
+    alone with their keys; classes that go on over a border are put together from them. ``dealt_by`` names the
+    task of a row where the caller has dealt rows by key and position already.
     """
+    types = dict(rows.dtypes)
     order = [*keys, *_PLACE]
     passed = [*_PLACE, *carried]
     names = [*passed, "rank", "part", *keys, "later", "alone"]
@@ -224,13 +252,13 @@ def ranked(rows: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> Data
             start = np.maximum.accumulate(np.where(opens, place, began))
             at_border = place == 0
             at_border[-1] |= last
-            keep = ~alone | at_border
+            keep = ~alone | at_border | keep_alone
             before, number, began = key[:, count - 1], number + count, int(start[-1])
             kept = table.slice(0, count).filter(pa.array(keep))
             inner = ~at_border[keep]
             return _record(
                 [
-                    *[kept[c].to_numpy() for c in passed],
+                    *[kept[c].combine_chunks() for c in passed],
                     (np.int64(part) << np.int64(38)) + start[keep],
                     np.full(len(inner), part, dtype=np.int64),
                     *[pa.array(kept[k].to_numpy(), mask=inner) for k in keys],
@@ -251,9 +279,12 @@ def ranked(rows: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> Data
             yield solve(held, 1, True)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*keys, *passed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = f"{_longs([*passed, 'rank', 'part', *keys])}, later boolean, alone boolean"
-    found = staged(dealt.mapInArrow(rank, schema), "suffix-ranks")
+    if dealt_by is None:
+        dealt = rows.select(*keys, *passed).repartitionByRange(parts, *order)
+    else:
+        dealt = rows.repartitionById(parts, dealt_by).select(*keys, *passed)
+    schema = f"{', '.join(f'{c} {types[c]}' for c in passed)}, {_longs(['rank', 'part', *keys])}, later boolean, alone boolean"
+    found = staged(dealt.sortWithinPartitions(*order).mapInArrow(rank, schema), "suffix-ranks")
     borders = found.where(F.col(keys[0]).isNotNull()).select("part", "rank", *keys).orderBy("part", "rank").collect()
     joined: list[tuple[int, int]] = []
     for i, (one, two) in enumerate(zip(borders, borders[1:], strict=False)):
@@ -264,10 +295,12 @@ def ranked(rows: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> Data
                 joined.append((origin, origin))
             joined.append((two["rank"], origin))
     if not joined:
-        return found.where("not alone").select(*passed, "rank", "later")
+        return (found if keep_alone else found.where("not alone")).select(*passed, "rank", "later")
     # at most two rows per task
     moved = rows.sparkSession.createDataFrame(joined, "rank long, origin long").distinct()
-    whole = found.join(F.broadcast(moved), "rank", "left").where("origin is not null or not alone")
+    whole = found.join(F.broadcast(moved), "rank", "left")
+    if not keep_alone:
+        whole = whole.where("origin is not null or not alone")
     later = F.col("later") | F.coalesce(F.col("origin") != F.col("rank"), F.lit(False))
     return whole.select(*passed, F.coalesce("origin", "rank").alias("rank"), later.alias("later"))
 
@@ -410,32 +443,84 @@ def _open_cells(cells: DataFrame, runs: list[DataFrame]) -> DataFrame:
     return dealt.select("block", *names).mapInArrow(sweep, _longs(names))
 
 
-def _strings(texts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows ``k1, k2, doc, tie, at``: the strings of cells with their hashes."""
-    names = ["k1", "k2", *_PLACE]
+def _blocks(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows ``k1, k2, doc, tie, at, body``: up to ``SIDE`` strings of a cell that start side by side from ``at``.
+
+    ``body`` holds their bytes, ``k1, k2`` hash those that all strings so far from the anchor share. So
+    equal strings are in blocks of equal hashes.
+    """
+    names = ["k1", "k2", *_PLACE, "body"]
+    core = (LENGTH - SIDE + 1) // 4 * 4
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = _joined_texts(batch.column(2))
-            spans = batch.column(3)
-            row = np.repeat(np.arange(len(batch)), np.diff(spans.offsets.to_numpy()))
-            lo, hi = (spans.flatten().field(c).to_numpy() for c in ("lo", "hi"))
+            cell = batch.column(3)
+            row = np.repeat(np.arange(len(batch)), np.diff(cell.offsets.to_numpy()))
+            anchor, lo, hi = (cell.flatten().field(c).to_numpy() for c in ("at", "lo", "hi"))
             doc, tie = (batch.column(k).to_numpy() for k in (0, 1))
-            sizes = hi - lo + 1
-            done = 0
-            upto = np.cumsum(sizes)
-            while done < len(sizes):
-                stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PIECE)))
-                part = slice(done, stop)
-                each = np.repeat(np.arange(done, stop), sizes[part])
-                at = np.arange(len(each)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part]) + lo[each]
-                k1, k2 = _string_hash(raw, at + offsets[row[each]], LENGTH)
-                yield _record((k1, k2, doc[row[each]], tie[row[each]], at), names)
-                done = stop
-
-    listed = cells.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+            near, far = (anchor - hi) // SIDE, (anchor - lo) // SIDE
+            counts = far - near + 1
+            each = np.repeat(np.arange(len(row)), counts)
+            line = near[each] + np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = np.maximum(lo[each], anchor[each] - line * SIDE - SIDE + 1)
+            end = np.minimum(hi[each], anchor[each] - line * SIDE) + LENGTH
+            shift = offsets[row[each]]
+            for start in range(0, len(each), PIECE // 8):
+                part = slice(start, start + PIECE // 8)
+                k1, k2 = _string_hash(raw, (anchor[each] - line * SIDE + shift)[part], core)
+                sizes = (end - begin)[part]
+                stops = np.cumsum(sizes)
+                at = np.arange(stops[-1]) + np.repeat((begin + shift)[part] - stops + sizes, sizes)
+                body = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, stops).astype(np.int64)), pa.py_buffer(raw[at])]
+                ).cast(pa.binary())
+                own = row[each[part]]
+                yield _record((k1, k2, doc[own], tie[own], begin[part], body), names)
+
+    listed = cells.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("cells"))
     joined = texts.select("doc", "tie", "text").join(listed, ["doc", "tie"])
-    return joined.select("doc", "tie", "text", "spans").mapInArrow(emit, _longs(names))
+    return joined.select("doc", "tie", "text", "cells").mapInArrow(emit, f"{_longs(names[:-1])}, body binary")
+
+
+def _strings(blocks: DataFrame) -> DataFrame:
+    """Rows ``k1, k2, doc, tie, at``: the strings of blocks with their hashes."""
+    names = ["k1", "k2", *_PLACE]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(3).cast(pa.large_binary())
+            offsets = np.frombuffer(bodies.buffers()[1], dtype=np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+            if not len(bodies):
+                continue
+            raw = np.frombuffer(bodies.buffers()[2], dtype=np.uint8)
+            counts = np.diff(offsets) - LENGTH + 1
+            row = np.repeat(np.arange(len(bodies)), counts)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            k1, k2 = _string_hash(raw, offsets[:-1][row] + step, LENGTH)
+            doc, tie, at = (batch.column(k).to_numpy()[row] for k in range(3))
+            yield _record((k1, k2, doc, tie, at + step), names)
+
+    return blocks.select(*_PLACE, "body").mapInArrow(emit, _longs(names))
+
+
+def _late_strings(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows ``doc, tie, lo, hi``: bytes of strings in ``cells`` that also start earlier."""
+    shared = ranked(_blocks(texts, cells), ["k1", "k2"], ["body"])
+    whole = shared.select(
+        F.col("rank").alias("k1"), F.xxhash64("body").alias("k2"), F.xxhash64(F.lit(1), "body").alias("k3"),
+        *_PLACE, "body", F.col("rank").alias("core"),
+    )
+    # a block that is an earlier one over again goes at once; the first of its kind is taken apart only
+    # if others share its core
+    judged = ranked(whole, ["k1", "k2", "k3"], ["body", "core"], keep_alone=True)
+    firsts = judged.where("not later").select(F.col("core").alias("k1"), *_PLACE, "body")
+    mixed = ranked(firsts, ["k1"], ["body"])
+    late = ranked(_strings(mixed), ["k1", "k2"], []).where("later")
+    size = F.octet_length("body").cast("long")
+    return judged.where("later").select("doc", "tie", F.col("at").alias("lo"), (F.col("at") + size).alias("hi")).unionByName(
+        late.select("doc", "tie", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
+    )
 
 
 def _cut(texts: DataFrame, spans: DataFrame, with_bytes: bool) -> DataFrame:
@@ -501,15 +586,14 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     def unpacked(by: int, name: str):
         return F.shiftright(shape, by).bitwiseAND(F.lit(255)).alias(name)
 
-    cells = ranked(_anchor_rows(texts), ["k1", "k2"], ["shape"]).select(
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _anchor_rows(texts, _bounds(texts, parts))
+    cells = ranked(placed, ["k1", "k2"], ["shape"], dealt_by="task").select(
         *_PLACE, "rank", (F.col("at") - unpacked(0, "lo")).alias("lo"), (F.col("at") - unpacked(8, "hi")).alias("hi"),
         unpacked(16, "gap"),
     )
     swept = staged(_open_cells(cells, _runs(cells)), "suffix-swept")
     open_cells = swept.where("rank is not null").select(*_PLACE, F.col("rank").alias("k1"), "lo", "hi")
-    strings = _strings(texts, ranked(open_cells, ["k1"], ["lo", "hi"]))
-    again = ranked(strings, ["k1", "k2"], []).where("later")
-    spans = copies.unionByName(swept.where("rank is null").select("doc", "tie", "lo", "hi")).unionByName(
-        again.select("doc", "tie", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    )
+    late = _late_strings(texts, ranked(open_cells, ["k1"], ["lo", "hi"]))
+    spans = reduce(DataFrame.unionByName, [swept.where("rank is null").select("doc", "tie", "lo", "hi"), late], copies)
     return _with_copies(_cut(everything, spans, with_bytes))
