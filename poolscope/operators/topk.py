@@ -63,8 +63,8 @@ def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[st
 
     ``ranks`` maps a rank column to its measure; ``tiebreak`` must identify a row. A measure that
     is a sum must be exact, since a row is compared with itself over several passes. Only these
-    columns come back, so that the several passes over ``df`` read no others and share their
-    exchanges; look further columns up for the few rows of the result.
+    columns come back; look further columns up for the few rows of the result. They are dealt out once by
+    ``tiebreak``, and the passes below share that exchange, so ``df`` itself is evaluated once.
 
     At most ``k`` rows per measure can qualify, and those come from per-task top-k. Their rank
     in the *other* measures may be anything, and numbering all rows in one task to learn it
@@ -75,7 +75,7 @@ def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[st
     """
     names = list(ranks)
     keyed = list(dict.fromkeys([*tiebreak, *ranks.values()]))
-    slim = df.select(*keyed)
+    slim = df.select(*keyed).repartition(*tiebreak)
     places = [_descending(ranks[name]) for name in names]
     tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)]).alias("tie")
     winners = reduce(
