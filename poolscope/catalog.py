@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plans
-from .functions.classify import CLASS_LABELS, in_range_state, pairing_type
+from .functions.classify import CLASS_LABELS, in_range_state, pairing_type, recency_bucket
 from .functions.exact import exact_totals
 from .functions.stats import coef_var, safe_corr
 from .operators import balances as bal
@@ -330,6 +330,13 @@ def _response(t: TableReader) -> DataFrame:
     )
 
 
+def _recency(t: TableReader) -> DataFrame:
+    dated = t("borrows").withColumn("num_days_since", recency_bucket("block_timestamp", ORDERS_DAY))
+    return dated.groupBy("num_days_since", "borrows_contract_symbol").agg(
+        F.sum("loan_amount_usd").alias("loan_amount_usd"), F.count("tx_id").alias("num_txs")
+    )
+
+
 def _tvl_share(t: TableReader) -> DataFrame:
     bands = pool.position_boundaries(t("positions"))
     return pool.tvl_share(
@@ -442,6 +449,14 @@ OPERATORS: dict[str, Entry] = {
             "avg_price_lower_1_0 avg_price_upper_1_0 open_price close_price",
         ),
     ),
+    "range_shares": Entry(
+        lambda t: pool.range_shares(_response(t)),
+        _digits(
+            "liquidity_in_range liquidity_out_of_range",
+            "pct_liquidity_in_range pct_liquidity_out_of_range pct_lps_in_range pct_lps_out_of_range",
+        ),
+    ),
+    "recency_bucket": Entry(_recency, _digits("loan_amount_usd")),
     "movement_class": Entry(
         lambda t: pool.movement_class(_response(t)),
         _digits("open_liquidity close_liquidity", "open_price close_price"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,3 +69,17 @@ def price_status(price0: str, price1: str) -> Column:
     return (
         F.when(has0 & has1, "both prices").when(has1, "price1").when(has0, "price0").otherwise("no prices")
     )
+
+
+# The ages in days at which a row leaves a bucket, and the buckets' names.
+RECENCY = ((30, "last_30"), (60, "31_60"), (90, "61_90"), (180, "91_180"), (360, "181_360"))
+OLDER, UNDATED = "over_360", "_none_"
+
+
+def recency_bucket(ts: str, as_of: date | str) -> Column:
+    """How long before the start of ``as_of`` a row is, in steps of days; later rows count as the latest."""
+    day = F.lit(str(as_of)).cast("date")
+    label = F.when(F.col(ts).isNull(), UNDATED)
+    for days, name in RECENCY:
+        label = label.when(F.col(ts) >= F.date_sub(day, days).cast("timestamp_ntz"), name)
+    return label.otherwise(OLDER)

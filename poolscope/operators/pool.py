@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import (
     CLASS_LABELS,
+    IN_RANGE,
     OUT_OF_RANGE,
     STABLE_SYMBOLS,
     in_range_state,
@@ -233,6 +234,37 @@ def class_share(movement: DataFrame) -> DataFrame:
     )
 
 
+def range_shares(response: DataFrame) -> DataFrame:
+    """Share of closing liquidity and of providers per pool and day that closed in and out of range.
+
+    A provider with bands of both kinds counts on both sides, but once in the total.
+    """
+    inside = F.col("close_state") == IN_RANGE
+    amount, who = F.col("close_liquidity"), F.col("liquidity_provider")
+    per_provider = response.groupBy("blk_date", "pool_name", who).agg(
+        F.sum(F.when(inside, amount).otherwise(0.0)).alias("liquidity_in_range"),
+        F.sum(F.when(inside, 0.0).otherwise(amount)).alias("liquidity_out_of_range"),
+        F.bool_or(inside).alias("in"), F.bool_or(~inside).alias("out"),
+    )
+    named = F.col("liquidity_provider").isNotNull()
+    totals = per_provider.groupBy("blk_date", "pool_name").agg(
+        F.sum("liquidity_in_range").alias("liquidity_in_range"),
+        F.sum("liquidity_out_of_range").alias("liquidity_out_of_range"),
+        F.count_if(named & F.col("in")).alias("num_lps_in_range"),
+        F.count_if(named & F.col("out")).alias("num_lps_out_of_range"),
+        F.count("liquidity_provider").alias("num_lps"),
+    )
+    whole = F.col("liquidity_in_range") + F.col("liquidity_out_of_range")
+    return totals.withColumns(
+        {
+            "pct_liquidity_in_range": F.try_divide("liquidity_in_range", whole),
+            "pct_liquidity_out_of_range": F.try_divide("liquidity_out_of_range", whole),
+            "pct_lps_in_range": F.try_divide("num_lps_in_range", "num_lps"),
+            "pct_lps_out_of_range": F.try_divide("num_lps_out_of_range", "num_lps"),
+        }
+    )
+
+
 def pool_totals(bands: DataFrame) -> DataFrame:
     """Opening and closing liquidity of each pool and day."""
     return bands.groupBy("blk_date", "pool_address").agg(
