@@ -29,32 +29,82 @@ from .shared import ensure_columns
 # Phrases whose places are counted, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Usual wordings of license notices, by label.
+# Usual wordings of license notices and bodies, by label.
 TEMPLATES = {
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+        'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License '
+        "for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+        "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare "
+        "Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such "
+        "Derivative Works in Source or Object form.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
     ),
     "cc-by": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights "
+        "to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation",
     ),
     "mit": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
         'documentation files (the "Software"), to deal in the Software without restriction',
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ),
+    "mpl": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at",
     ),
     "proprietary": ("All rights reserved.",),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
 }
 LEAST, COVER = 3, 0.75
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -151,19 +201,22 @@ def _compiled(templates: tuple[tuple[str, str], ...]) -> tuple[Automaton, list[s
     return automaton, labels, sizes, frozenset(known)
 
 
-def _chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def _chains(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
     """Best chains of one template's matches ``(text place, template place, words)``.
 
-    A chain goes forward in the text and in the template, with gaps in the text no longer than the
-    template. Returned as ``(first word, words of text, words covered)``, best first, none overlapping.
+    A chain goes forward in the text and in the template, with gaps in the text of at most ``gap`` words, which is
+    the template's length. Returned as ``(first word, words of text, words covered)``, best first, none overlapping.
     """
     matches.sort()
+    longest = max((size for *_, size in matches), default=0)
     best: list[tuple[int, int]] = []  # words covered, match before
     for j, (at, place, size) in enumerate(matches):
         top = (size, -1)
-        for i in range(max(0, j - 50), j):
+        for i in range(j - 1, -1, -1):
             a, p, n = matches[i]
-            if a + n <= at and p + n <= place and at - (a + n) <= 20 and best[i][0] + size > top[0]:
+            if at - a > gap + longest:
+                break
+            if a + n <= at and p + n <= place and at - (a + n) <= gap and best[i][0] + size > top[0]:
                 top = (best[i][0] + size, i)
         best.append(top)
     used: set[int] = set()
@@ -198,7 +251,7 @@ def _scan(words: list[bytes], compiled, least: int, cover: float):
                     matches.setdefault(number, []).append((a + k + 1 - size, end + 1 - size, size))
     spans, best = [], 0.0
     for number, found in matches.items():
-        for first, length, covered in _chains(found):
+        for first, length, covered in _chains(found, sizes[number]):
             share = min(1.0, covered / sizes[number])
             best = max(best, share)
             if share >= cover:

@@ -326,6 +326,24 @@ def test_matching_statistics(templates, text):
             }
 
 
+def test_a_chain_goes_on_over_gaps_up_to_the_template(spark):
+    """A body with a word put in after every seventh, and with a long insertion, still covers its template."""
+    words = licenses.TEMPLATES["bsd"][2].split()
+    spread = " ".join(w + " INSERTED" * (k % 7 == 6) for k, w in enumerate(words))
+    far = " ".join(words[:30] + ["unrelated"] * 40 + words[30:])
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, spread), (2, far)], "doc_id long, text string")).collect()
+    for row in rows:
+        assert "bsd" in row["labels"].split(",")
+        assert any(s["label"] == "bsd" and s["first"] == 0 and s["cover"] > 0.9 for s in row["spans"])
+
+
+def test_a_chain_looks_back_by_words_not_by_matches():
+    """More than fifty short matches lie between two halves of a template."""
+    matches = [(0, 0, 40)] + [(40 + 3 * k, 10, 3) for k in range(60)] + [(240, 45, 40)]
+    best = licenses._chains(matches, 210)[0]
+    assert best == (0, 280, 80)
+
+
 def test_a_license_text_with_edits_is_found(spark):
     text = "some words. " + licenses.TEMPLATES["bsd"][0].replace("source and binary", "source or binary") + " and more"
     row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
