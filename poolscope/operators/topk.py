@@ -75,7 +75,7 @@ def topk_any(df: DataFrame, ranks: dict[str, str], k: int, tiebreak: Sequence[st
     """
     names = list(ranks)
     keyed = list(dict.fromkeys([*tiebreak, *ranks.values()]))
-    slim = df.select(*keyed).repartition(*tiebreak)
+    slim = df.select(*keyed).repartition(F.xxhash64(*tiebreak))
     places = [_descending(ranks[name]) for name in names]
     tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak)]).alias("tie")
     winners = reduce(
