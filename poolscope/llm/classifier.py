@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .shared import ensure_columns, staged
 
@@ -244,31 +243,19 @@ def _scored(measured: DataFrame, model: Model | None, threshold: float) -> DataF
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their own columns.
 
-    Every row is measured once where it stands and written with its measures; the labels meet the
-    measures, and the texts cross no shuffle.
+    Every row is measured where it stands, once for the labels to meet the measures and once more to be
+    judged; the texts cross no shuffle and are not written in between.
     """
     ensure_columns(docs, "doc_id", "text")
-    extra = "__measures"
-    while extra in docs.columns:
-        extra += "_"
-    at = docs.columns.index("text")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics((t.as_py() or "").encode()) for t in batch.column(at)]
-            column = pa.array(rows, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, extra])
-
-    schema = StructType([*docs.schema.fields, StructField(extra, ArrayType(DoubleType()))])
-    measured = staged(docs.mapInArrow(measure, schema), "classifier-measured")
-    model = fit(measured.select(F.col("doc_id").cast("long"), F.col(extra).alias("x")), labels)
+    model = fit(staged(text_statistics(docs), "classifier-statistics"), labels)
     if model is None:
         return docs if threshold <= PRIOR else docs.limit(0)
+    at = docs.columns.index("text")
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                good = batch.filter(pa.array(model.score(_matrix(batch.column(len(batch.columns) - 1))) >= threshold))
-                yield pa.RecordBatch.from_arrays(good.columns[:-1], good.schema.names[:-1])
+            rows = [statistics((t.as_py() or "").encode()) for t in batch.column(at)]
+            if rows:
+                yield batch.filter(pa.array(model.score(np.array(rows)) >= threshold))
 
-    return measured.mapInArrow(accept, docs.schema)
+    return docs.mapInArrow(accept, docs.schema)

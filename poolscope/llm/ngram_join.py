@@ -10,6 +10,8 @@ Jaccard similarity reaches the threshold; a class is what links connect.
    range, for its own class of sizes and the next larger one; sets that share a signature get connected through the smallest id of the signature,
    which is linear in the rows. Signatures are combined within each task before the shuffle, so a
    signature that a third of all documents share arrives as one row per task.
+   A block above ``BLOCK`` sets is cut by prefix filtering: with shingles ordered by rarity in the block, linking
+   sets share one of their first few, so sets meet only through these.
 3. Trie join. The sets connected in this way meet in one block. Their shingles are ordered by
    frequency in the block, then by hash; the sets go into a prefix tree in that order. Each set
    traverses the tree and shares the overlap of a path with all sets below it. A subtree is left
@@ -333,6 +335,15 @@ def _candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
         if held:
             yield from combined()
 
+    return _tied(texts.where("doc_id is not null").mapInArrow(emit, "is_signature boolean, a long, b long"))
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    """Edges ``a, b``: from the smallest id of every key to its others, and the edges among ``rows`` as they are.
+
+    ``rows`` has ``is_signature, a, b``: a key and an id, or an edge.
+    """
+
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = least = None
         for batch in batches:  # in order of signature and id
@@ -348,11 +359,59 @@ def _candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 passed = (np.concatenate((passed[0], a)), np.concatenate((passed[1], b)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in passed], _EDGE)
 
-    emitted = texts.where("doc_id is not null").mapInArrow(emit, "is_signature boolean, a long, b long")
-    dealt = emitted.repartition("a").sortWithinPartitions("a", "b")
+    dealt = rows.repartition("a").sortWithinPartitions("a", "b")
     return dealt.mapInArrow(tie, "a long, b long")
 
 
+def _refined(texts: DataFrame, classes: DataFrame, blocks: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """``blocks`` (``id, block``) with those above ``block`` sets cut into the parts that can hold links.
+
+    Within a block shingles are ordered by how many sets hold them, rare ones first. If two of n and m shingles
+    link, they share at least one among the first n - (least overlap) + 1 of the one and the like of the other. So a set whose first ones
+    are its own alone has no link and leaves, and the others meet only through a shingle among these. Pages of
+    one template, each with words of its own, come apart in this way without ever being compared.
+
+    A block with an id that has several texts stays as it is.
+    """
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    inside = staged(blocks.join(sizes.select("block"), "block"), "ngram-large")
+    if inside.isEmpty():
+        return blocks
+    rows = texts.select(F.col("doc_id").alias("id"), "text").join(inside, "id")
+    several = rows.groupBy("id", "block").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y"))
+    whole = several.where("x <> y").select("block").distinct()
+    large = staged(inside.join(whole, "block", "left_anti"), "ngram-refined")
+    if large.isEmpty():
+        return blocks
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for doc_id, of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                shingles = shingle_set(text.as_py(), width)
+                found.append(_mix(shingles + _mix(np.array([of]).view(np.uint64))))
+                ids.append(np.full(len(shingles), doc_id, dtype=np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], ["token", "id"]
+                )
+
+    held = texts.select(F.col("doc_id").alias("id"), "text").join(large, "id").select("id", "block", "text")
+    tokens = held.mapInArrow(emit, "token long, id long")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = tokens.join(common, "token").groupBy("id").agg(
+        F.array_sort(F.collect_set(F.struct("n", "token"))).alias("seen")
+    )
+    n = F.col("n_shingles")
+    first = n - F.floor((n * percent + 99) / 100) + 1
+    sized = known.join(classes.select(F.col("doc_id").alias("id"), "n_shingles").distinct(), "id")
+    own = F.greatest(first - (n - F.size("seen")), F.lit(0)).cast("int")
+    prefix = sized.select("id", F.explode(F.slice("seen", F.lit(1), own)).alias("x"))
+    edges = _tied(prefix.select(F.lit(True).alias("is_signature"), F.col("x.token").alias("a"), F.col("id").alias("b")))
+    cut = components(edges).select("id", F.col("component").alias("block"))
+    return staged(blocks.join(large.select("id"), "id", "left_anti").unionByName(cut), "ngram-cut")
+
+
 def _joined(members: DataFrame, keys: list[str], width: int, percent: int) -> DataFrame:
     """Links inside every group of ``keys``, from rows with ``id, text, known``."""
 
@@ -444,10 +503,11 @@ def ngram_components(
     near = staged(components(_candidates(texts, width, percent)), "ngram-near")
     head_ids = heads.select("id").distinct()
     blocks = staged(near.join(head_ids, "id").select("id", F.col("component").alias("block")), "ngram-near-heads")
-    sets = staged(
-        texts.withColumnRenamed("doc_id", "id").join(blocks.select("id"), "id").dropDuplicates(["id", "text"]),
-        "ngram-sets",
-    )
+    blocks = _refined(texts, classes, blocks, width, percent, block)
+    rows = texts.withColumnRenamed("doc_id", "id").join(blocks.select("id"), "id")
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "text"])
+    sets = staged(rows, "ngram-sets")
     label = staged(components(_links(sets, blocks, width, percent, block, pivots)), "ngram-components")
     named = heads.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return classes.join(named, "digest", "left").select(

@@ -393,3 +393,41 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     packed = stages["best-fit packing"](spark, mixed, SF)
     assert packed.where("piece = 0").count() == mixed.count()
+
+
+def template_pages(n, seed=8):
+    """Pages of one template with two words of their own, and every fiftieth one once more with a word changed."""
+    rng = random.Random(seed)
+    template = [f"t{k}" for k in range(40)]
+    pages = []
+    for i in range(n):
+        words = list(template)
+        for k in rng.sample(range(40), 2):
+            words[k] = f"own{i}x{k}"
+        pages.append((2 * i, " ".join(words)))
+        if i % 50 == 0:
+            pages.append((2 * i + 1, " ".join([*words[:-1], words[-1] + "y"])))
+    return pages
+
+
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_large_blocks_come_apart_and_lose_no_link(spark, width, percent):
+    rows = template_pages(300) + [(10_000 + i, t) for i, t in near_copies(120).items()] + [(30_000, "t0 t1 t2"), (30_000, "t5 t6 t7 t8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, width, percent, block=20).collect()}
+    expected = classes({i: shingles(t, width) for i, t in rows if i != 30_000}, percent)
+    assert {i: c for i, c in got.items() if i != 30_000} == expected
+
+
+def test_pages_of_a_template_are_not_compared(spark):
+    """What the trie join gets from pages that do not link: none of them."""
+    rows = template_pages(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes_ = ngram_join._set_classes(docs, 3)
+    blocks = docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("block"))
+    left = ngram_join._refined(docs, classes_, blocks, 3, 90, 100)
+    linked = classes({i: shingles(t) for i, t in rows})
+    several = {i for i, c in linked.items() if list(linked.values()).count(c) > 1}
+    kept = {r["id"] for r in left.collect()}
+    assert several <= kept
+    assert len(kept) <= 3 * len(several)
