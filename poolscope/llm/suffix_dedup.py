@@ -12,9 +12,9 @@ agree on, and what the sample leaves open is decided on the strings themselves:
    in them. The strings with one anchor start side by side: a cell.
 2. Prefix doubling. Spark sorts the anchors by the hash of their ``ANCHOR`` bytes and then by
    position; an anchor's rank is where its class begins. Anchors that are alone go: no string with
-   them repeats. Then pairs of ranks are sorted, of an anchor and of the one 1, 2 and 4 anchors on, which ranks
-   runs of 2, 4 and 8 anchors; runs that are alone go, and runs that reach past a string of
-   the next anchor are not extended. A run that is not the first of its class marks all strings inside it. This settles
+   them repeats. Then ranks at growing offsets are sorted together, of an anchor and of those 1, 2 and 3 anchors on (two
+   doublings in one sort), then of a run and the one 4 anchors on, which ranks runs of 4 and of 8 anchors; runs that are
+   alone go, and runs that reach past a string of the next anchor are not extended. A run that is not the first of its class marks all strings inside it. This settles
    the inside of long repeats with one row per anchor.
 3. The rest. Cells with strings still unmarked are sorted by rank; one that is alone in its rank is
    dropped. The strings of the others are cut from the texts in blocks of up to ``SIDE`` neighbours.
@@ -52,7 +52,7 @@ from .shared import ensure_columns, staged, text_or_empty
 LENGTH = 100
 ANCHOR = 52
 REACH = LENGTH - ANCHOR + 1  # not more than ANCHOR, so that neighbouring anchors leave no byte between them
-ROUNDS = 3
+DOUBLINGS = (4, 2)  # by how much runs grow from sort to sort
 BLOCK = 1 << 20
 SIDE = 16  # strings that are compared as one before they are compared one by one
 SAMPLED = 100  # anchors per task that balance the first sort
@@ -342,29 +342,35 @@ _IN_BLOCK = ["doc", "tie", "block"]
 _STRIDE = 4 * BLOCK
 
 
-def _pairs(runs: DataFrame) -> DataFrame:
-    """Rows ``doc, tie, at, end, nxt, k1, k2, k3``: every short run with the one that follows it, if that is in ``runs``."""
-    names = [*_PLACE, "end", "nxt", "k1", "k2", "k3"]
+def _chains(runs: DataFrame, many: int) -> DataFrame:
+    """Rows ``doc, tie, at, end, nxt, k1.., gaps``: every short run with the ``many - 1`` that follow, if all are in ``runs``."""
+    keys = [f"k{k + 1}" for k in range(many)]
+    names = [*_PLACE, "end", "nxt", *keys, "gaps"]
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _grouped(batches, _IN_BLOCK):
             doc, tie, at, end, nxt, rank, block = (
                 table[c].to_numpy() for c in (*_PLACE, "end", "nxt", "rank", "block")
             )
             shift = group * _STRIDE - block * BLOCK
-            # a run past the last string of the next anchor is long enough
-            left = np.flatnonzero((nxt >= 0) & (end < at + LENGTH + REACH))
             places = at + shift
-            right = np.minimum(np.searchsorted(places, nxt[left] + shift[left]), len(at) - 1)
-            met = places[right] == nxt[left] + shift[left]
-            left, right = left[met], right[met]
-            yield _record(
-                (doc[left], tie[left], at[left], end[right], nxt[right], rank[left], rank[right], at[right] - at[left]), names
-            )
+            follows = np.minimum(np.searchsorted(places, nxt + shift), len(at) - 1)
+            met = (nxt >= 0) & (places[follows] == nxt + shift)
+            # a run past the last string of the next anchor is long enough
+            first = np.flatnonzero(end < at + LENGTH + REACH)
+            last, ranks, gaps = first, [rank[first]], np.zeros(len(first), dtype=np.int64)
+            for _ in range(many - 1):
+                on = met[last]
+                first, last, gaps, ranks = first[on], last[on], gaps[on], [r[on] for r in ranks]
+                onward = follows[last]
+                gaps = gaps << np.int64(64 // many) | (at[onward] - at[last])
+                last = onward
+                ranks.append(rank[last])
+            yield _record((doc[first], tie[first], at[first], end[last], nxt[last], *ranks, gaps), names)
 
     dealt = runs.withColumn("block", F.floor(F.col("at") / BLOCK)).repartition(*_IN_BLOCK)
     ordered = dealt.sortWithinPartitions(*_IN_BLOCK, "at").select(*_PLACE, "end", "nxt", "rank", "block")
-    return ordered.mapInArrow(pair, _longs(names))
+    return ordered.mapInArrow(chain, _longs(names))
 
 
 def _copies(texts: DataFrame) -> DataFrame:
@@ -378,14 +384,15 @@ def _copies(texts: DataFrame) -> DataFrame:
 
 
 def _runs(cells: DataFrame) -> list[DataFrame]:
-    """Rows ``doc, tie, at, end, nxt, rank, later`` of runs of 2, 4, 8.. anchors that are not alone."""
+    """Rows ``doc, tie, at, end, nxt, rank, later`` of runs of 4 and of 8 anchors that are not alone."""
     runs = cells.select(
         *_PLACE, (F.col("at") + ANCHOR).alias("end"),
         F.when(F.col("gap") > 0, F.col("at") + F.col("gap")).otherwise(-1).cast("long").alias("nxt"), "rank",
     )
     out = []
-    for _ in range(ROUNDS):
-        runs = ranked(_pairs(runs), ["k1", "k2", "k3"], ["end", "nxt"])
+    for many in DOUBLINGS:
+        keys = [*(f"k{k + 1}" for k in range(many)), "gaps"]
+        runs = ranked(_chains(runs, many), keys, ["end", "nxt"])
         out.append(runs)
     return out
 
