@@ -260,7 +260,7 @@ def _outer_day_spine(t: TableReader) -> DataFrame:
     actions = t("lp_actions")
     day = F.to_date("block_timestamp")
     firsts = actions.groupBy("liquidity_provider", "pool_address", "pool_name").agg(F.min(day).alias("min_date"))
-    start = actions.agg(F.least(F.min(day), F.lit(EVENTS_START).cast("date")).alias("first"))
+    start = actions.sparkSession.range(1).select(F.lit(EVENTS_START).cast("date").alias("first"))
     days = time.date_spine(start, "first", EVENTS_START, SPINE_END).drop("first")
     held = firsts.withColumn("until", F.lit(None).cast("date"))
     return joins.outer_range_join(days, held, "day", "min_date", "until", width=7).drop("until")

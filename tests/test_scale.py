@@ -203,3 +203,13 @@ def test_salts_follow_the_partitions(spark, no_broadcast):
         assert joins.salted_join(big, summary, ("key",), ("row",)).count() == 80000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_topk_any_evaluates_its_input_once(spark):
+    df = spark.range(3000).selectExpr("id % 700 AS k", "CAST(id AS DOUBLE) AS a", "CAST(id * 7 % 31 AS DOUBLE) AS b")
+    totals = df.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = topk.topk_any(totals, {"ra": "a", "rb": "b"}, 5, ["k"])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("partial_sum(a") == 1 and plan.count("[sum(a") == 1
+    assert plan.count("ReusedExchange") >= 3
