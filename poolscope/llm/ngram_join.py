@@ -3,7 +3,9 @@
 A document's set is its distinct word shingles as 64-bit hashes. Two documents link when their
 Jaccard similarity reaches the threshold; a class is what links connect.
 
-1. Equal sets are found by a digest and stand for one set from here on.
+1. Equal sets are found by a digest and stand for one set from here on. Of each set the first shingles by hash are
+   looked up, a few more than the prefix in which linking sets must share one: so linking sets share several of
+   them. A set that holds fewer shingles there that any other set has there too links with nothing and takes no further part.
 2. Dealing. If two sets link, at most D of their shingles differ, with D a fixed share of their
    sizes. So if hashes are dealt into D + 1 ranges, some range holds the same shingles in both sets
    (pigeonhole; some ranges more keep empty ones out of play). Every set emits one signature per
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -48,6 +50,7 @@ PERCENT = 90
 BLOCK = 1024
 PIVOTS = 8
 HELD = 2_000_000  # signatures that a task combines at a time
+SHARED = 16  # shingles of their prefixes that linking sets share at least, if they have as many
 
 _rng = np.random.Generator(np.random.PCG64(20260))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -303,6 +306,77 @@ def _combined(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], ids[first], forest[:, 0], forest[:, 1]
 
 
+def _demanded(n: int, percent: int) -> tuple[int, int]:
+    """How many shingles, first by hash, stand for a set of ``n``, and how many of them each set that it links with has among its own.
+
+    Linking sets share at least ``least(n)`` shingles. With ``more(n)`` a number that grows with n, the first
+    n - least(n) + more(n) of either hold the smaller ``more`` of the two; a set that links has ``least(n)`` shingles or above.
+    """
+
+    def least(n: int) -> int:
+        return (n * percent + 99) // 100
+
+    def more(n: int) -> int:
+        return min(least(n), max(SHARED, n * (100 - percent) // 200))
+
+    return n - least(n) + more(n), more(least(n))
+
+
+def _possible(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Ids of ``texts`` that can link with another: all that do, and some that do not.
+
+    A task counts the shingles that several of its own sets hold, and sends of each of these one row
+    without an id. So no shingle has more rows than there are tasks and pieces of tasks. An id with several rows stays.
+    """
+    names = ["a", "b", "found"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        ids: list[int] = []
+        needed: list[int] = []
+        held = 0
+
+        def combined() -> pa.RecordBatch:
+            token = np.concatenate(keys)
+            row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            order = np.argsort(token, kind="stable")
+            token, row = token[order], row[order]
+            first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            counts = np.diff(np.append(first, len(token)))
+            several = np.repeat(counts > 1, counts)
+            own = np.array(ids, dtype=np.int64)
+            here = np.bincount(row[several], minlength=len(own)) - np.array(needed, dtype=np.int64)
+            a = np.concatenate((token[first].view(np.int64), own))
+            b = np.concatenate((own[row[first]], own))
+            nowhere = np.concatenate((counts > 1, np.zeros(len(own), dtype=bool)))
+            found = np.concatenate((np.zeros(len(first), dtype=np.int64), here))
+            is_token = np.arange(len(a)) < len(first)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=nowhere), pa.array(found, mask=is_token)], names)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shingles = shingle_set(text.as_py(), width)
+                if len(shingles):
+                    size, need = _demanded(len(shingles), percent)
+                    keys.append(shingles[:size])
+                    ids.append(doc_id)
+                    needed.append(need)
+                    held += size
+            if held > HELD:
+                yield combined()
+                keys, ids, needed, held = [], [], [], 0
+        if held:
+            yield combined()
+
+    rows = texts.where("doc_id is not null").mapInArrow(emit, "a long, b long, found long")
+    # a row with ``found`` has what a set's own task found, less what it needs; any other row is a shingle
+    met = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a"))).where("b is not null and (n > 1 or found is not null)")
+    each = met.groupBy(F.col("b").alias("id")).agg(
+        F.sum(F.coalesce("found", F.lit(1))).alias("over"), F.count("found").alias("rows")
+    )
+    return each.where("over >= 0 or rows > 1").select("id")
+
+
 def _candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges ``a, b`` that connect all ids which share a signature."""
     edges_of_size = _size_edges(percent)
@@ -500,8 +574,12 @@ def ngram_components(
     classes = staged(_set_classes(texts, width), "ngram-classes")
     linked = classes.where("doc_id is not null and digest is not null")
     heads = staged(linked.groupBy("digest").agg(F.min("doc_id").alias("id")), "ngram-heads")
-    near = staged(components(_candidates(texts, width, percent)), "ngram-near")
     head_ids = heads.select("id").distinct()
+    # texts meet the short list of copies, not the long one of heads
+    copies = staged(linked.select("doc_id").distinct().join(head_ids, F.col("doc_id") == F.col("id"), "left_anti"), "ngram-copies")
+    possible = staged(_possible(texts.join(copies, "doc_id", "left_anti"), width, percent), "ngram-possible")
+    texts = staged(texts.join(possible, F.col("doc_id") == F.col("id"), "left_semi"), "ngram-texts")
+    near = staged(components(_candidates(texts, width, percent)), "ngram-near")
     blocks = staged(near.join(head_ids, "id").select("id", F.col("component").alias("block")), "ngram-near-heads")
     blocks = _refined(texts, classes, blocks, width, percent, block)
     rows = texts.withColumnRenamed("doc_id", "id").join(blocks.select("id"), "id")

@@ -431,3 +431,33 @@ def test_pages_of_a_template_are_not_compared(spark):
     kept = {r["id"] for r in left.collect()}
     assert several <= kept
     assert len(kept) <= 3 * len(several)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linking_sets_share_what_their_prefixes_demand(percent):
+    rng = np.random.default_rng(percent)
+    for n in [1, 2, 5, 16, 21, 80, 400, 2000]:
+        for _ in range(40):
+            own = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            drop, add = rng.integers(0, n * (100 - percent) // 100 + 2, 2)
+            # what differs comes first by hash, the worst case
+            other = np.unique(np.concatenate([own[drop:], rng.integers(0, 2**40, add, dtype=np.uint64)]))
+            shared = len(np.intersect1d(own, other))
+            if shared and 100 * shared >= percent * (len(own) + len(other) - shared):
+                (size, need), (other_size, other_need) = (ngram_join._demanded(len(x), percent) for x in (own, other))
+                assert len(np.intersect1d(own[:size], other[:other_size])) >= max(need, other_need) >= 1
+
+
+def test_texts_that_share_passages_leave_before_signatures(spark):
+    """A fifth of every text is a passage of many others; only near copies stay, and texts that share an id."""
+    passages = [" ".join(f"p{k}w{j}" for j in range(16)) for k in range(6)]
+    rows = [(i, " ".join([*(f"own{i}x{j}" for j in range(64)), passages[i % 6]])) for i in range(120)]
+    rows += [(1000 + i, rows[i][1].replace(f"own{i}x0 ", f"new{i} ")) for i in range(0, 120, 30)]
+    rows += [(2000, rows[0][1]), (3000, "a b"), (3000, "c d"), (None, rows[1][1]), (4000, None), (4001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["id"] for r in ngram_join._possible(docs.where("doc_id is null or doc_id <> 2000"), 5, 80).collect()}
+    linked = {i for i in range(0, 120, 30)} | {1000 + i for i in range(0, 120, 30)}
+    assert linked | {3000} <= kept <= linked | {3000}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, 5, 80).collect() if r["doc_id"] is not None}
+    expected = classes({i: shingles(t, 5) for i, t in rows if i not in (None, 3000)}, 80)
+    assert {i: c for i, c in got.items() if i != 3000} == expected
