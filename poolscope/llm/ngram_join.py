@@ -51,6 +51,7 @@ BLOCK = 1024
 PIVOTS = 8
 HELD = 2_000_000  # signatures that a task combines at a time
 SHARED = 16  # shingles of their prefixes that linking sets share at least, if they have as many
+ORDERED = (64, 30)  # the same for the prefixes that large blocks order by rarity, and in percent of a set
 
 _rng = np.random.Generator(np.random.PCG64(20260))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -306,9 +307,11 @@ def _combined(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], ids[first], forest[:, 0], forest[:, 1]
 
 
-def _demanded(n: int, percent: int) -> tuple[int, int]:
+def _demanded(n: int, percent: int, few: int = SHARED, share: int | None = None) -> tuple[int, int]:
     """How many shingles, first by hash, stand for a set of ``n``, and how many of them each set that it links with has among its own.
 
+    ``few`` and ``share`` percent of the set, the larger one, are what linking sets are to share there; half of what they may differ by if not given.
+
     Linking sets share at least ``least(n)`` shingles. With ``more(n)`` a number that grows with n, the first
     n - least(n) + more(n) of either hold the smaller ``more`` of the two; a set that links has ``least(n)`` shingles or above.
     """
@@ -317,9 +320,10 @@ def _demanded(n: int, percent: int) -> tuple[int, int]:
         return (n * percent + 99) // 100
 
     def more(n: int) -> int:
-        return min(least(n), max(SHARED, n * (100 - percent) // 200))
+        return min(least(n), max(few, n * (100 - percent) // 200 if share is None else n * share // 100))
 
-    return n - least(n) + more(n), more(least(n))
+    # up to ``few`` shingles, a set and all that it links with are looked up whole
+    return n - least(n) + more(n), least(n) if n <= few else more(least(n))
 
 
 def _possible(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -440,8 +444,9 @@ def _tied(rows: DataFrame) -> DataFrame:
 def _refined(texts: DataFrame, classes: DataFrame, blocks: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """``blocks`` (``id, block``) with those above ``block`` sets cut into the parts that can hold links.
 
-    Within a block shingles are ordered by how many sets hold them, rare ones first. If two of n and m shingles
-    link, they share at least one among the first n - (least overlap) + 1 of the one and the like of the other. So a set whose first ones
+    Of each set the first shingles by hash count, as many as hold ``need`` common ones of any two that link. Within a
+    block these are ordered by how many sets hold them, rare ones first. Two sets that link share
+    at least one among all but the last ``need`` - 1 of either's. So a set whose first ones
     are its own alone has no link and leaves, and the others meet only through a shingle among these. Pages of
     one template, each with words of its own, come apart in this way without ever being compared.
 
@@ -463,6 +468,7 @@ def _refined(texts: DataFrame, classes: DataFrame, blocks: DataFrame, width: int
             ids, found = [], []
             for doc_id, of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 shingles = shingle_set(text.as_py(), width)
+                shingles = shingles[: _demanded(len(shingles), percent, *ORDERED)[0]]
                 found.append(_mix(shingles + _mix(np.array([of]).view(np.uint64))))
                 ids.append(np.full(len(shingles), doc_id, dtype=np.int64))
             if ids:
@@ -476,10 +482,12 @@ def _refined(texts: DataFrame, classes: DataFrame, blocks: DataFrame, width: int
     known = tokens.join(common, "token").groupBy("id").agg(
         F.array_sort(F.collect_set(F.struct("n", "token"))).alias("seen")
     )
-    n = F.col("n_shingles")
-    first = n - F.floor((n * percent + 99) / 100) + 1
+    few, share = ORDERED
+    most = F.floor((F.col("n_shingles") * percent + 99) / 100)
+    need = F.least(F.floor((most * percent + 99) / 100), F.greatest(F.lit(few), F.floor(most * share / 100)))
+    need = F.when(F.col("n_shingles") <= few, most).otherwise(need)  # as ``_demanded`` has it
     sized = known.join(classes.select(F.col("doc_id").alias("id"), "n_shingles").distinct(), "id")
-    own = F.greatest(first - (n - F.size("seen")), F.lit(0)).cast("int")
+    own = F.greatest(F.size("seen") - need + 1, F.lit(0)).cast("int")
     prefix = sized.select("id", F.explode(F.slice("seen", F.lit(1), own)).alias("x"))
     edges = _tied(prefix.select(F.lit(True).alias("is_signature"), F.col("x.token").alias("a"), F.col("id").alias("b")))
     cut = components(edges).select("id", F.col("component").alias("block"))

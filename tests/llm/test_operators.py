@@ -444,8 +444,9 @@ def test_linking_sets_share_what_their_prefixes_demand(percent):
             other = np.unique(np.concatenate([own[drop:], rng.integers(0, 2**40, add, dtype=np.uint64)]))
             shared = len(np.intersect1d(own, other))
             if shared and 100 * shared >= percent * (len(own) + len(other) - shared):
-                (size, need), (other_size, other_need) = (ngram_join._demanded(len(x), percent) for x in (own, other))
-                assert len(np.intersect1d(own[:size], other[:other_size])) >= max(need, other_need) >= 1
+                for how in [(), ngram_join.ORDERED]:
+                    (size, need), (other_size, other_need) = (ngram_join._demanded(len(x), percent, *how) for x in (own, other))
+                    assert len(np.intersect1d(own[:size], other[:other_size])) >= max(need, other_need) >= 1
 
 
 def test_texts_that_share_passages_leave_before_signatures(spark):
