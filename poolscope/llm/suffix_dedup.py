@@ -12,9 +12,9 @@ agree on, and what the sample leaves open is decided on the strings themselves:
    in them. The strings with one anchor start side by side: a cell.
 2. Prefix doubling. Spark sorts the anchors by the hash of their ``ANCHOR`` bytes and then by
    position; an anchor's rank is where its class begins. Anchors that are alone go: no string with
-   them repeats. Then ranks at growing offsets are sorted together, of an anchor and of those 1, 2 and 3 anchors on (two
-   doublings in one sort), then of a run and the one 4 anchors on, which ranks runs of 4 and of 8 anchors; runs that are
-   alone go, and runs that reach past a string of the next anchor are not extended. A run that is not the first of its class marks all strings inside it. This settles
+   them repeats. Then the ranks of an anchor and of the 5 anchors that follow are sorted together, which ranks runs of 6
+   anchors in one sort; nearly all of these reach past a string of the next anchor, so a further sort would find little.
+   Runs that are alone go. A run that is not the first of its class marks all strings inside it. This settles
    the inside of long repeats with one row per anchor.
 3. The rest. Cells with strings still unmarked are sorted by rank; one that is alone in its rank is
    dropped. The strings of the others are cut from the texts in blocks of up to ``SIDE`` neighbours.
@@ -52,7 +52,7 @@ from .shared import ensure_columns, staged, text_or_empty
 LENGTH = 100
 ANCHOR = 52
 REACH = LENGTH - ANCHOR + 1  # not more than ANCHOR, so that neighbouring anchors leave no byte between them
-DOUBLINGS = (4, 2)  # by how much runs grow from sort to sort
+DOUBLINGS = (6,)  # by how much runs grow from sort to sort
 BLOCK = 1 << 20
 SIDE = 16  # strings that are compared as one before they are compared one by one
 SAMPLED = 100  # anchors per task that balance the first sort
@@ -384,7 +384,7 @@ def _copies(texts: DataFrame) -> DataFrame:
 
 
 def _runs(cells: DataFrame) -> list[DataFrame]:
-    """Rows ``doc, tie, at, end, nxt, rank, later`` of runs of 4 and of 8 anchors that are not alone."""
+    """Rows ``doc, tie, at, end, nxt, rank, later`` of runs of anchors that are not alone, for each of ``DOUBLINGS``."""
     runs = cells.select(
         *_PLACE, (F.col("at") + ANCHOR).alias("end"),
         F.when(F.col("gap") > 0, F.col("at") + F.col("gap")).otherwise(-1).cast("long").alias("nxt"), "rank",

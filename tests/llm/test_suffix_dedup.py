@@ -152,3 +152,15 @@ def test_classes_over_the_borders_of_tasks(spark):
 def test_empty_tables(spark):
     for rows in ([], [(1, None)], [(1, ""), (None, "short")]):
         compare(spark, rows)
+
+
+def test_runs_take_one_sort(spark, monkeypatch):
+    """A passage of 1000 bytes in two texts: one sort of runs leaves only what lies at its ends."""
+    rng = np.random.default_rng(5)
+    passage, *own = (bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode() for n in (1000, 400, 400))
+    docs = spark.createDataFrame([(i, f"{o}{passage}{o[::-1]}") for i, o in enumerate(own)], "doc_id long, text string")
+    sorts, ranked = [], suffix_dedup.ranked
+    monkeypatch.setattr(suffix_dedup, "ranked", lambda rows, keys, *a, **k: sorts.append("gaps" in keys) or ranked(rows, keys, *a, **k))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {0: 0, 1: 1000}
+    assert sum(sorts) == 1
