@@ -18,8 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows ``id, component`` (its smallest id) for every id in ``edges`` (columns ``a, b``).
 
     Each round every node is merged into the one that comes first among itself and its neighbours.
-    In every other round the ids themselves are the order, which takes stars around a smallest id
-    at once; in the rounds between, a hash draws a new order, which leaves at most about three
+    The ids themselves are the order, which takes stars around a smallest id
+    at once; after a round that left more than half of the links, a hash draws a new order, which leaves at most about three
     quarters of the nodes in expectation, whatever the graph and its ids look like. So a chain
     takes a number of rounds in the logarithm of its length. Links inside a merged node vanish, and each task replaces the
     links it reads by a spanning forest of them, so their number never grows. The rounds' mergers
@@ -31,14 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.select("a", "b").distinct(), "graph-edges")
     links = staged(_forest(edges), "graph-links")
     mergers: list[DataFrame] = []
-    while not links.isEmpty():
-        k = len(mergers)
+    n, seed, drawn = links.count(), 0, False  # seed: 0 for the ids as they are
+    while n:
         arcs = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
         nearest = (
             links.select(arcs.alias("arc")).groupBy(F.col("arc.a").alias("id"))
-            .agg(F.min_by("arc.b", _order("arc.b", k)).alias("near"))
+            .agg(F.min_by("arc.b", _order("arc.b", seed)).alias("near"))
         )
-        root = F.when(_order("near", k) < _order("id", k), F.col("near")).otherwise(F.col("id"))
+        root = F.when(_order("near", seed) < _order("id", seed), F.col("near")).otherwise(F.col("id"))
         merger = staged(nearest.select("id", root.alias("root")), "graph-roots")
         mergers.append(merger)
         of_a, of_b = (merger.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
@@ -47,8 +47,11 @@ def components(edges: DataFrame) -> DataFrame:
             _forest(staged(moved.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "graph-moved")),
             "graph-links",
         )
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        before, n = n, links.count()
+        seed = len(mergers) if not seed and 2 * n > before else 0
+        drawn = drawn or (n > 0 and seed > 0)
     if not mergers:
+        ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         return ids.withColumn("component", F.col("id"))
     labels = mergers.pop().withColumnRenamed("root", "top")
     while mergers:
@@ -57,16 +60,21 @@ def components(edges: DataFrame) -> DataFrame:
             mergers.pop().join(onward, "root", "left").select("id", F.coalesce("top", "root").alias("top")),
             "graph-labels",
         )
-    least = labels.groupBy("top").agg(F.min("id").alias("component"))
-    named = labels.join(least, "top").select("id", "component")
-    loops = edges.where("a = b").select(F.col("a").alias("id")).distinct()
-    alone = loops.join(labels, "id", "left_anti")
+    if drawn:
+        least = labels.groupBy("top").agg(F.min("id").alias("component"))
+        named = labels.join(least, "top").select("id", "component")
+    else:  # a smallest id is never merged into another
+        named = labels.select("id", F.col("top").alias("component"))
+    loops = edges.where("a = b").select(F.col("a").alias("id"))
+    if loops.isEmpty():
+        return named
+    alone = loops.distinct().join(labels, "id", "left_anti")
     return named.unionByName(alone.withColumn("component", F.col("id")))
 
 
-def _order(column: str, k: int) -> Column:
-    """What round ``k`` orders nodes by."""
-    return F.xxhash64(F.col(column), F.lit(k)) if k % 2 else F.col(column)
+def _order(column: str, seed: int) -> Column:
+    """What a round orders nodes by: their ids, or a hash if there is a seed."""
+    return F.xxhash64(F.col(column), F.lit(seed)) if seed else F.col(column)
 
 
 def _forest(links: DataFrame) -> DataFrame:

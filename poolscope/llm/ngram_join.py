@@ -17,13 +17,14 @@ Jaccard similarity reaches the threshold; a class is what links connect.
 3. Trie join. The sets connected in this way meet in one block. Their shingles are ordered by
    frequency in the block, then by hash; the sets go into a prefix tree in that order. Each set
    traverses the tree and shares the overlap of a path with all sets below it. A subtree is left
-   when the shingles that remain on either side cannot reach the threshold, or when all its sets
-   already belong to the probing set's class. What comes out is a spanning forest of the links.
+   when the shingles that remain on either side cannot reach the threshold, when all its sets
+   already belong to the probing set's class, or when all of them come before it and so have met it. Where
+   many nodes are left to visit, they are visited together. What comes out is a spanning forest of the links.
 4. A block above ``BLOCK`` sets is split into parts by hash. Every part also takes about
    ``PIVOTS`` pivots of the block, which tie the classes of its parts together. Where parts still
    hold several classes, the sets outside the block's largest class are dealt into as few parts as
-   they fill, and each of these meets each part of the block. So a group of copies of any size is
-   joined in bounded parts, and no link between different sets is lost.
+   they fill, and each of these meets each part of the block: its sets are looked up in the tree of that part's.
+   So a group of copies of any size is joined in bounded parts, and no link between different sets is lost.
 
 Hashes are 64 bits wide; a collision matters only between the shingles of two sets that meet.
 
@@ -51,6 +52,7 @@ BLOCK = 1024
 PIVOTS = 8
 HELD = 2_000_000  # signatures that a task combines at a time
 SHARED = 16  # shingles of their prefixes that linking sets share at least, if they have as many
+WIDE = 6  # nodes of a tree that are worth a step of their own together
 ORDERED = (64, 30)  # the same for the prefixes that large blocks order by rarity, and in percent of a set
 
 _rng = np.random.Generator(np.random.PCG64(20260))
@@ -156,14 +158,12 @@ class _Sets:
 
 
 class _Node:
-    __slots__ = ("segment", "depth", "children", "members", "sample", "least", "most", "uniform")
+    __slots__ = ("segment", "depth", "children", "members")
 
     def __init__(self, segment: np.ndarray, depth: int):
         self.segment, self.depth = segment, depth
         self.children: list[_Node] = []
         self.members: list[int] = []
-        self.sample = self.least = self.most = 0
-        self.uniform = False
 
 
 def _build(order: list[int], sets: list[np.ndarray]) -> _Node:
@@ -194,76 +194,135 @@ def _build(order: list[int], sets: list[np.ndarray]) -> _Node:
     return root
 
 
-def _measure(root: _Node, sizes: list[int]) -> None:
-    """Set sizes and one member below every node, children before parents."""
-    stack, seen = [root], []
-    while stack:
-        node = stack.pop()
-        seen.append(node)
-        stack.extend(node.children)
-    for node in reversed(seen):
-        found = [sizes[i] for i in node.members]
-        node.least = min([*found, *(c.least for c in node.children)], default=0)
-        node.most = max([*found, *(c.most for c in node.children)], default=0)
-        node.sample = node.members[0] if node.members else node.children[0].sample if node.children else -1
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start up to its stop, one range after the other, and how many each has."""
+    counts = stops - starts
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts), counts
+
+
+class _Tree:
+    """A prefix tree as arrays, its nodes level by level, so that the children of a node stand side by side.
+
+    ``first`` and ``last`` are the places, in lexicographic order, of the sets below a node; ``least`` and ``most`` their sizes.
+    """
+
+    def __init__(self, root: _Node, place: np.ndarray, sizes: np.ndarray):
+        nodes, children, members = [root], [1], [0]
+        for node in nodes:
+            nodes.extend(node.children)
+            children.append(len(nodes))
+            members.append(members[-1] + len(node.members))
+        self.children, self.ends = np.array(children[:-1]), np.array(children[1:])
+        self.own, self.own_ends = np.array(members[:-1]), np.array(members[1:])
+        self.members = np.array([i for node in nodes for i in node.members], dtype=np.int64)
+        stops = np.cumsum([len(node.segment) for node in nodes])
+        self.starts, self.stops = np.append(0, stops[:-1]), stops
+        self.segments = np.concatenate([node.segment for node in nodes])
+        self.depth = np.array([node.depth for node in nodes])
+        n = len(nodes)
+        bounds = [[0] * n for _ in range(4)]
+        first, last, least, most = bounds
+        for k in range(n - 1, -1, -1):
+            of, below = nodes[k].members, range(children[k], children[k + 1])
+            first[k] = min([*(int(place[i]) for i in of), *(first[c] for c in below)], default=0)
+            last[k] = max([*(int(place[i]) for i in of), *(last[c] for c in below)], default=-1)
+            least[k] = min([*(int(sizes[i]) for i in of), *(least[c] for c in below)], default=0)
+            most[k] = max([*(int(sizes[i]) for i in of), *(most[c] for c in below)], default=0)
+        self.first, self.last, self.least, self.most = (np.array(b, dtype=np.int64) for b in bounds)
+        columns = (self.depth, self.starts, self.stops, self.own, self.own_ends, self.children, self.ends)
+        self.rows = list(zip(*bounds, *(c.tolist() for c in columns), strict=True))
 
 
 def trie_links(
-    shingles: list[np.ndarray], percent: int = PERCENT, known: list | None = None
+    shingles: list[np.ndarray], percent: int = PERCENT, known: list | None = None, probing: list[bool] | None = None
 ) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets, as pairs of positions.
 
-    ``known`` names a class for each set; sets of one class count as connected already.
+    ``known`` names a class for each set; sets of one class count as connected already. With ``probing``, only links
+    between a set that has it and one that has not are sought; else each two sets are compared once at most.
     """
-    classes = _Sets(len(shingles))
+    m = len(shingles)
+    label = np.arange(m)
     if known is not None:
         first: dict = {}
-        for i, k in enumerate(known):
-            classes.join(first.setdefault(k, i), i)
+        label = np.array([first.setdefault(k, i) for i, k in enumerate(known)], dtype=np.int64)
     every, counts = np.unique(np.concatenate(shingles), return_counts=True)
     rank = np.empty(len(every), dtype=np.int64)
     rank[np.lexsort((every, -counts))] = np.arange(len(every))
     sets = [np.sort(rank[np.searchsorted(every, s)]) for s in shingles]
-    sizes = [len(s) for s in sets]
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
-    root = _build(order, sets)
-    _measure(root, sizes)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    order = sorted(range(m), key=lambda i: sets[i].astype(">i8").tobytes())
+    held = order if probing is None else [i for i in order if not probing[i]]
+    place = np.full(m, -1)
+    place[held] = np.arange(len(held))
+    if not held:
+        return []
+    tree = _Tree(_build(held, sets), place, sizes)
     has = np.zeros(len(every), dtype=bool)
     links: list[tuple[int, int]] = []
-
-    def uniform(node: _Node) -> bool:
-        if not node.uniform:
-            top = classes.find(node.sample)
-            node.uniform = all(classes.find(m) == top for m in node.members) and all(
-                c.uniform and classes.find(c.sample) == top for c in node.children
-            )
-        return node.uniform
-
-    for x in order:
-        own, n = sets[x], sizes[x]
+    runs: np.ndarray | None = None
+
+    def join(x: int, y: int) -> None:
+        nonlocal runs
+        if label[y] != label[x]:
+            label[label == label[y]] = label[x]
+            links.append((x, y))
+            runs = None
+
+    def narrow(x: int, own: np.ndarray, nodes: list[int], overlaps: list[int]) -> None:
+        """Replace the last of ``nodes`` by those of its children that may hold links of ``x``."""
+        k, overlap, n = nodes.pop(), overlaps.pop(), len(own)
+        first, last, least, most, depth, start, stop, member, member_end, child, child_end = tree.rows[k]
+        if last <= place[x] or most * 100 < n * percent or n * 100 < least * percent:
+            return
+        if runs[first] == runs[last] and classes[first] == label[x]:
+            return
+        if stop > start:
+            segment = tree.segments[start:stop]
+            overlap += int(np.count_nonzero(has[segment]))
+            # what can still match: the rest of x beyond this path, or the rest of the longest set below
+            rest = min(n - int(np.searchsorted(own, segment[-1], side="right")), most - depth)
+            if (100 + percent) * (overlap + rest) < percent * (n + least):
+                return
+        for y in tree.members[member:member_end].tolist():
+            if place[y] > place[x] and 100 * overlap >= percent * (n + len(sets[y]) - overlap):
+                join(x, y)
+        nodes.extend(range(child, child_end))
+        overlaps.extend([overlap] * (child_end - child))
+
+    def wide(x: int, own: np.ndarray, nodes: np.ndarray, overlap: np.ndarray) -> tuple[list[int], list[int]]:
+        """The same for all ``nodes`` at once."""
+        n = len(own)
+        first, last, least, most = tree.first[nodes], tree.last[nodes], tree.least[nodes], tree.most[nodes]
+        near = (last > place[x]) & (most * 100 >= n * percent) & (n * 100 >= least * percent)
+        near &= (runs[first] != runs[last]) | (classes[first] != label[x])
+        nodes, overlap, least, most = nodes[near], overlap[near], least[near], most[near]
+        if not len(nodes):
+            return [], []
+        steps, lengths = _ranges(tree.starts[nodes], tree.stops[nodes])
+        overlap = overlap + np.add.reduceat(has[tree.segments[steps]], np.cumsum(lengths) - lengths, dtype=np.int64)
+        rest = n - np.searchsorted(own, tree.segments[tree.stops[nodes] - 1], side="right")
+        near = (100 + percent) * (overlap + np.minimum(rest, most - tree.depth[nodes])) >= percent * (n + least)
+        nodes, overlap = nodes[near], overlap[near]
+        which, counts = _ranges(tree.own[nodes], tree.own_ends[nodes])
+        others, shared = tree.members[which], np.repeat(overlap, counts)
+        for y in others[(place[others] > place[x]) & (100 * shared >= percent * (n + sizes[others] - shared))].tolist():
+            join(x, y)
+        below, counts = _ranges(tree.children[nodes], tree.ends[nodes])
+        return below.tolist(), np.repeat(overlap, counts).tolist()
+
+    for x in order if probing is None else [i for i in order if probing[i]]:
+        own = sets[x]
         has[own] = True
-        entered: list[_Node] = []
-        stack = [(root, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            if node.uniform and classes.find(node.sample) == classes.find(x):
-                continue
-            if node.most * 100 < n * percent or n * 100 < node.least * percent:
-                continue
-            if len(node.segment):
-                overlap += int(has[node.segment].sum())
-                # what can still match: the rest of x beyond this path, or the rest of the longest set below
-                rest = min(n - int(np.searchsorted(own, node.segment[-1], side="right")), node.most - node.depth)
-                if (100 + percent) * (overlap + rest) < percent * (n + node.least):
-                    continue
-            entered.append(node)
-            for y in node.members:
-                if classes.find(y) != classes.find(x) and 100 * overlap >= percent * (n + sizes[y] - overlap):
-                    classes.join(x, y)
-                    links.append((x, y))
-            stack.extend((child, overlap) for child in node.children)
-        for node in reversed(entered):
-            uniform(node)
+        nodes, overlaps = [0], [0]
+        while nodes:
+            if runs is None:  # sets that stand next to each other and are of one class share a run
+                classes = label[held]
+                runs = np.cumsum(np.append(False, classes[1:] != classes[:-1]))
+            if len(nodes) < WIDE:
+                narrow(x, own, nodes, overlaps)
+            else:  # never the root, so all have a segment
+                nodes, overlaps = wide(x, own, np.array(nodes), np.array(overlaps))
         has[own] = False
     return links
 
@@ -495,17 +554,21 @@ def _refined(texts: DataFrame, classes: DataFrame, blocks: DataFrame, width: int
 
 
 def _joined(members: DataFrame, keys: list[str], width: int, percent: int) -> DataFrame:
-    """Links inside every group of ``keys``, from rows with ``id, text, known``."""
+    """Links between classes inside every group of ``keys``, from rows with ``id, text, known``.
+
+    With a column ``probing``, only links of a row that has it with one that has not.
+    """
+    meet = "probing" in members.columns
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list = []
         current = None
 
         def solve() -> pa.RecordBatch:
-            ids = [g[0] for g in group]
-            found = trie_links([g[1] for g in group], percent, [g[2] for g in group])
+            known = [g[0] for g in group]
+            found = trie_links([g[1] for g in group], percent, known, [g[2] for g in group] if meet else None)
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())],
+                [pa.array([known[x] for x, _ in found], pa.int64()), pa.array([known[y] for _, y in found], pa.int64())],
                 _EDGE,
             )
 
@@ -522,12 +585,13 @@ def _joined(members: DataFrame, keys: list[str], width: int, percent: int) -> Da
         if len(group) > 1:
             yield solve()
 
-    dealt = members.select(*keys, "id", "known", "text").repartition(*keys).sortWithinPartitions(*keys, "id")
+    rows = members.select(*keys, "id", "known", "probing" if meet else F.lit(False).alias("probing"), "text")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "id").drop("id")
     return dealt.mapInArrow(links, "a long, b long")
 
 
 def _links(sets: DataFrame, blocks: DataFrame, width: int, percent: int, block: int, pivots: int) -> DataFrame:
-    """A spanning forest of all links: ``sets`` has ``id, text``, ``blocks`` has ``id, block``."""
+    """Rows ``id, component`` of all ids with a link: ``sets`` has ``id, text``, ``blocks`` has ``id, block``."""
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / block).cast("int")
     every = F.ceil(F.col("n") / pivots)
@@ -545,10 +609,11 @@ def _links(sets: DataFrame, blocks: DataFrame, width: int, percent: int, block:
     first = placed.select("id", "block", F.col("id").alias("known"), spots.alias("part"))
     found = staged(_joined(first.join(sets, "id"), ["block", "part"], width, percent), "ngram-links")
     large = placed.where(F.col("parts") > 1)
+    label = components(found)
     if large.isEmpty():
-        return found
+        return label
     # second round: sets outside the largest class of a block meet the sets of its other parts
-    label = components(found)
+    label = staged(label, "ngram-labels")
     known = staged(
         large.join(label, "id", "left")
         .select("id", "block", "part", "parts", F.coalesce("component", "id").alias("known")),
@@ -563,14 +628,22 @@ def _links(sets: DataFrame, blocks: DataFrame, width: int, percent: int, block:
     groups = marked.where("outside").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("groups"))
     meeting = marked.join(groups, "block")
     spread = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i")
-    theirs = meeting.select("id", "block", "known", spread, F.col("part").alias("j"))
+    theirs = meeting.select("id", "block", "known", F.lit(False).alias("probing"), spread, F.col("part").alias("j"))
     dealt = F.pmod(F.xxhash64("id", F.lit(11)), F.col("groups")).cast("int").alias("i")
     own = (
-        meeting.where("outside").select("id", "block", "known", dealt, "part", F.explode(others).alias("j"))
+        meeting.where("outside")
+        .select("id", "block", "known", F.lit(True).alias("probing"), dealt, "part", F.explode(others).alias("j"))
         .where("part != j").drop("part")
     )
     pairs = theirs.unionByName(own)
-    return found.unionByName(_joined(pairs.join(sets, "id"), ["block", "i", "j"], width, percent))
+    more = staged(_joined(pairs.join(sets, "id"), ["block", "i", "j"], width, percent), "ngram-more")
+    if more.isEmpty():
+        return label
+    # these links are between classes, so only classes are merged further
+    merged = staged(components(more), "ngram-merged")
+    tops = merged.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    named = label.join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return named.unionByName(merged.join(label, "id", "left_anti"))
 
 
 def ngram_components(
@@ -587,14 +660,14 @@ def ngram_components(
     copies = staged(linked.select("doc_id").distinct().join(head_ids, F.col("doc_id") == F.col("id"), "left_anti"), "ngram-copies")
     possible = staged(_possible(texts.join(copies, "doc_id", "left_anti"), width, percent), "ngram-possible")
     texts = staged(texts.join(possible, F.col("doc_id") == F.col("id"), "left_semi"), "ngram-texts")
-    near = staged(components(_candidates(texts, width, percent)), "ngram-near")
-    blocks = staged(near.join(head_ids, "id").select("id", F.col("component").alias("block")), "ngram-near-heads")
+    near = components(_candidates(texts, width, percent))
+    blocks = staged(near.select("id", F.col("component").alias("block")), "ngram-near")
     blocks = _refined(texts, classes, blocks, width, percent, block)
     rows = texts.withColumnRenamed("doc_id", "id").join(blocks.select("id"), "id")
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["id", "text"])
     sets = staged(rows, "ngram-sets")
-    label = staged(components(_links(sets, blocks, width, percent, block, pivots)), "ngram-components")
+    label = staged(_links(sets, blocks, width, percent, block, pivots), "ngram-components")
     named = heads.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return classes.join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

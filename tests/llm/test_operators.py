@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from poolscope.llm import catalog, chat, classifier, graph, licenses, ngram_join, quality_rules
+from poolscope.llm import catalog, chat, classifier, graph, licenses, ngram_join, quality_rules, shared
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +100,53 @@ def test_tries_find_what_pairs_find():
     assert {i: parent.find(i) for i in plain} == plain
 
 
+@pytest.mark.parametrize("wide", [2, 6, 10**9])
+@pytest.mark.parametrize("seed", range(3))
+def test_probing_sets_meet_the_others_only(monkeypatch, wide, seed):
+    """Links between sets that probe and sets that do not, and none besides; the same in narrow and wide steps."""
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    texts = near_copies(150, seed)
+    given_sets = [ngram_join.shingle_set(t) for t in texts.values()]
+    plain = [set(s.tolist()) for s in given_sets]
+    rng = random.Random(seed)
+    probing = [rng.random() < 0.4 for _ in plain]
+    known = [rng.randrange(300) for _ in plain]
+    expected, got = ngram_join._Sets(len(plain)), ngram_join._Sets(len(plain))
+    for parent in (expected, got):
+        for i, k in enumerate(known):
+            parent.join(known.index(k), i)
+    for a, b in itertools.combinations(range(len(plain)), 2):
+        if probing[a] != probing[b] and 100 * len(plain[a] & plain[b]) >= 90 * len(plain[a] | plain[b]):
+            expected.join(a, b)
+    links = ngram_join.trie_links(given_sets, 90, known, probing)
+    for a, b in links:
+        assert probing[a] and not probing[b]
+        assert got.find(a) != got.find(b)
+        got.join(a, b)
+    assert [got.find(i) for i in range(len(plain))] == [expected.find(i) for i in range(len(plain))]
+    assert ngram_join.trie_links(given_sets, probing=[False] * len(plain)) == []
+    assert ngram_join.trie_links(given_sets, probing=[True] * len(plain)) == []
+
+
+def test_components_of_stars_of_stars_take_two_rounds(spark, monkeypatch):
+    """After the first round a star around the smallest id is left, which the ids as they are take at once."""
+    named = []
+    monkeypatch.setattr(graph, "staged", lambda df, name: named.append(name) or shared.staged(df, name))
+    inner = range(51, 110)
+    edges = [(50, i) for i in inner] + [(i, 1000 * i + j) for i in inner for j in range(20)]
+    spread = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1k"}
+    before = {key: spark.conf.get(key) for key in spread}
+    for key, value in spread.items():
+        spark.conf.set(key, value)
+    try:
+        got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {r["id"]: r["component"] for r in got} == {i: 50 for e in edges for i in e}
+    assert named.count("graph-roots") <= 2
+
+
 def test_links_always_share_a_signature():
     edges = ngram_join._size_edges(90)
     rng = np.random.default_rng(1)
