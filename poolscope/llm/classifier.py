@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ensure_columns, staged
+from .shared import ensure_columns, released, staged
 
 FEATURES, SEED, WIDTH, RIDGE = 192, 20260, 3.0, 1.0
 SAMPLE, PARTS, BINS = 200_000, 16, 1000
@@ -103,7 +103,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(measure), "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -195,7 +195,7 @@ def _solve(rows: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["sums"])
 
     total = np.zeros((width + 1, width))
-    for row in rows.select("y", "x").coalesce(PARTS).mapInArrow(sums, "sums binary").toLocalIterator():
+    for row in rows.select("y", "x").coalesce(PARTS).mapInArrow(released(sums), "sums binary").toLocalIterator():
         total += np.frombuffer(row["sums"]).reshape(width + 1, width)
     return np.linalg.solve(total[:width] + RIDGE * np.eye(width), total[width])
 
@@ -209,7 +209,7 @@ def _calibrate(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
             bins = ((raw + 0.5) / 2 * (BINS - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(0)], ["bin", "y"])
 
-    counts = rows.select("y", "x").mapInArrow(binned, "bin int, y int")
+    counts = rows.select("y", "x").mapInArrow(released(binned), "bin int, y int")
     table = counts.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).orderBy("bin").collect()
     if not table:
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
@@ -233,7 +233,7 @@ def _scored(measured: DataFrame, model: Model | None, threshold: float) -> DataF
     if model is None:
         rated = measured.select("doc_id", F.lit(PRIOR).alias("score"))
     else:
-        rated = measured.mapInArrow(rate, "doc_id long, score double")
+        rated = measured.mapInArrow(released(rate), "doc_id long, score double")
     return rated.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
@@ -258,4 +258,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             if rows:
                 yield batch.filter(pa.array(model.score(np.array(rows)) >= threshold))
 
-    return docs.mapInArrow(accept, docs.schema)
+    return docs.mapInArrow(released(accept), docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import released, staged
 
 HELD = 2_000_000  # edges that a task contracts at a time
 
@@ -90,7 +90,7 @@ def _forest(links: DataFrame) -> DataFrame:
         if held:
             yield _record(np.concatenate(held, axis=1))
 
-    return links.select("a", "b").mapInArrow(forest, "a long, b long")
+    return links.select("a", "b").mapInArrow(released(forest), "a long, b long")
 
 
 def _record(links: np.ndarray) -> pa.RecordBatch:

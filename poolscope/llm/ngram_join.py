@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WORD, ensure_columns, staged
+from .shared import WORD, ensure_columns, released, staged
 
 WIDTH = 3
 PERCENT = 90
@@ -342,7 +342,7 @@ def _set_classes(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest"],
             )
 
-    return docs.mapInArrow(digests, "doc_id long, n_shingles long, digest binary")
+    return docs.mapInArrow(released(digests), "doc_id long, n_shingles long, digest binary")
 
 
 _EDGE = ["a", "b"]
@@ -431,7 +431,7 @@ def _possible(texts: DataFrame, width: int, percent: int) -> DataFrame:
         if held:
             yield combined()
 
-    rows = texts.where("doc_id is not null").mapInArrow(emit, "a long, b long, found long")
+    rows = texts.where("doc_id is not null").mapInArrow(released(emit), "a long, b long, found long")
     # a row with ``found`` has what a set's own task found, less what it needs; any other row is a shingle
     met = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a"))).where("b is not null and (n > 1 or found is not null)")
     each = met.groupBy(F.col("b").alias("id")).agg(
@@ -472,7 +472,7 @@ def _candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
         if held:
             yield from combined()
 
-    return _tied(texts.where("doc_id is not null").mapInArrow(emit, "is_signature boolean, a long, b long"))
+    return _tied(texts.where("doc_id is not null").mapInArrow(released(emit), "is_signature boolean, a long, b long"))
 
 
 def _tied(rows: DataFrame) -> DataFrame:
@@ -497,7 +497,7 @@ def _tied(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in passed], _EDGE)
 
     dealt = rows.repartition("a").sortWithinPartitions("a", "b")
-    return dealt.mapInArrow(tie, "a long, b long")
+    return dealt.mapInArrow(released(tie), "a long, b long")
 
 
 def _refined(texts: DataFrame, classes: DataFrame, blocks: DataFrame, width: int, percent: int, block: int) -> DataFrame:
@@ -536,7 +536,7 @@ def _refined(texts: DataFrame, classes: DataFrame, blocks: DataFrame, width: int
                 )
 
     held = texts.select(F.col("doc_id").alias("id"), "text").join(large, "id").select("id", "block", "text")
-    tokens = held.mapInArrow(emit, "token long, id long")
+    tokens = held.mapInArrow(released(emit), "token long, id long")
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = tokens.join(common, "token").groupBy("id").agg(
         F.array_sort(F.collect_set(F.struct("n", "token"))).alias("seen")
@@ -587,7 +587,7 @@ def _joined(members: DataFrame, keys: list[str], width: int, percent: int) -> Da
 
     rows = members.select(*keys, "id", "known", "probing" if meet else F.lit(False).alias("probing"), "text")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "id").drop("id")
-    return dealt.mapInArrow(links, "a long, b long")
+    return dealt.mapInArrow(released(links), "a long, b long")
 
 
 def _links(sets: DataFrame, blocks: DataFrame, width: int, percent: int, block: int, pivots: int) -> DataFrame:
