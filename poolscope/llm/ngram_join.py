@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -54,6 +54,8 @@ HELD = 2_000_000  # signatures that a task combines at a time
 SHARED = 16  # shingles of their prefixes that linking sets share at least, if they have as many
 WIDE = 6  # nodes of a tree that are worth a step of their own together
 ORDERED = (64, 30)  # the same for the prefixes that large blocks order by rarity, and in percent of a set
+SCREEN = (32, 2**26)  # bits of a screen for each of its keys, and at most
+MAP = 2**15  # Fixed value: bits of one bitmap of Spark's ``bitmap_construct_agg``
 
 _rng = np.random.Generator(np.random.PCG64(20260))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -327,6 +329,45 @@ def trie_links(
     return links
 
 
+def _screened(rows: DataFrame, column: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` those whose ``column`` may be in the one column of ``listed``, of the same type, and those where it is not.
+
+    The first holds all that are listed and few others. Every task gets a bitmap of the hashed keys, which is bounded however long
+    the list is, so the rows need no shuffle to be told apart; a list too long for it leaves more to the first.
+    """
+    each, most = SCREEN
+    bits = MAP
+    while bits < min(most, each * listed.count()):
+        bits *= 2
+
+    def spot(key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(bits))
+
+    name, taken = "__screen", {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    key = listed.columns[0]
+    maps = listed.groupBy(F.floor(spot(key) / MAP).alias("map")).agg(F.bitmap_construct_agg(spot(key) % MAP).alias("bits"))
+    maps = maps.select(F.struct("map", "bits").alias(name))
+    at = spot(column) % MAP
+    byte = F.conv(F.hex(F.substring(F.col(f"{name}.bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.floor(spot(column) / MAP) == F.col(f"{name}.map"), "left")
+    may = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return met.where(may).drop(name), met.where(~may).drop(name)
+
+
+def _among(rows: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` is in ``listed``; few others cross a shuffle, however long the list is."""
+    some, _ = _screened(rows, column, listed)
+    return some.join(listed.toDF(column), column, "left_semi")
+
+
+def _without(rows: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` is not in ``listed``, or null; few of them cross a shuffle."""
+    some, others = _screened(rows, column, listed)
+    return others.unionByName(some.join(listed.toDF(column), column, "left_anti"))
+
+
 def _set_classes(docs: DataFrame, width: int) -> DataFrame:
     """Per row ``doc_id, n_shingles, digest``."""
 
@@ -656,10 +697,10 @@ def ngram_components(
     linked = classes.where("doc_id is not null and digest is not null")
     heads = staged(linked.groupBy("digest").agg(F.min("doc_id").alias("id")), "ngram-heads")
     head_ids = heads.select("id").distinct()
-    # texts meet the short list of copies, not the long one of heads
+    # texts meet the short lists of copies and of possible ids, and most are told from them without a shuffle
     copies = staged(linked.select("doc_id").distinct().join(head_ids, F.col("doc_id") == F.col("id"), "left_anti"), "ngram-copies")
-    possible = staged(_possible(texts.join(copies, "doc_id", "left_anti"), width, percent), "ngram-possible")
-    texts = staged(texts.join(possible, F.col("doc_id") == F.col("id"), "left_semi"), "ngram-texts")
+    possible = staged(_possible(_without(texts, "doc_id", copies), width, percent), "ngram-possible")
+    texts = staged(_among(texts, "doc_id", possible), "ngram-texts")
     near = components(_candidates(texts, width, percent))
     blocks = staged(near.select("id", F.col("component").alias("block")), "ngram-near")
     blocks = _refined(texts, classes, blocks, width, percent, block)
@@ -681,8 +722,8 @@ def keep_first(docs: DataFrame, width: int, percent: int) -> DataFrame:
     are in no class and stay; of rows equal in id and text one stays, the least by its other columns.
 
     A row is known by a hash of its id and text, drawn anew until no two different ones share it. Texts
-    meet the short list of rows to go, not the long one of rows that stay, so they cross no shuffle
-    as long as that list is small enough to be sent to every task.
+    meet the short list of rows to go, not the long one of rows that stay, and all but a few of those that stay
+    are told from it without a shuffle.
     """
     ensure_columns(docs, "doc_id", "text")
     key = "__key"
@@ -714,7 +755,7 @@ def keep_first(docs: DataFrame, width: int, percent: int) -> DataFrame:
     first = ranked.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.key").alias("key"))
     gone = staged(ranked.join(first, "key", "left_anti").select(F.col("key").alias(key)), "ngram-gone")
     repeated = staged(ranked.where("n > 1").join(first, "key", "left_semi").select(F.col("key").alias(key)), "ngram-repeated")
-    kept = keyed.join(gone.unionByName(repeated), key, "left_anti").drop(key)
+    kept = _without(keyed, key, gone.unionByName(repeated)).drop(key)
     if repeated.isEmpty():
         return kept
     columns = [F.col(f"`{c}`") for c in docs.columns]

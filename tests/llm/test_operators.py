@@ -510,3 +510,47 @@ def test_texts_that_share_passages_leave_before_signatures(spark):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs, 5, 80).collect() if r["doc_id"] is not None}
     expected = classes({i: shingles(t, 5) for i, t in rows if i not in (None, 3000)}, 80)
     assert {i: c for i, c in got.items() if i != 3000} == expected
+
+
+@pytest.mark.parametrize("most", [2**26, ngram_join.MAP])
+def test_screen_tells_most_rows_from_a_list(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "SCREEN", (32, most))
+    rows = [(i, f"v{i}", i, i) for i in [*range(-2000, 4000), 7, 11]] + [(None, "n", 0, 0)]
+    frame = spark.createDataFrame(rows, "id long, __screen string, map long, bits long")
+    listed = {*range(-100, 4000, 5), 10**15}
+    held = spark.createDataFrame([(i,) for i in listed], "x long")
+    some, others = ngram_join._screened(frame, "id", held)
+    assert some.columns == others.columns == frame.columns
+    inside, outside = ([tuple(r) for r in part.collect()] for part in (some, others))
+    assert Counter(inside + outside) == Counter(rows)
+    assert not {r[0] for r in outside} & listed
+    wrong = sum(r[0] not in listed for r in inside)
+    assert wrong < 400
+    among = [tuple(r) for r in ngram_join._among(frame, "id", held).collect()]
+    assert Counter(among) == Counter(r for r in rows if r[0] in listed)
+    without = [tuple(r) for r in ngram_join._without(frame, "id", held).collect()]
+    assert Counter(without) == Counter(r for r in rows if r[0] not in listed)
+    assert ngram_join._without(frame, "id", held.limit(0)).count() == len(rows)
+    assert ngram_join._among(frame, "id", held.limit(0)).count() == 0
+
+
+def test_texts_that_link_with_nothing_cross_no_shuffle(spark, monkeypatch, no_broadcast):
+    """Where no list is small enough to be broadcast by its size, only texts that may be listed meet it in a shuffle."""
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(30))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 400, 100)]
+    rows += [(2000 + i, rows[i][1].replace(f"own{i}x0 ", "new ")) for i in range(50, 400, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    screened, moved = ngram_join._screened, []
+
+    def recorded(*args):
+        some, others = screened(*args)
+        moved.append((some.count(), others.count()))
+        assert "SortMergeJoin" not in others._jdf.queryExecution().executedPlan().toString()
+        return some, others
+
+    monkeypatch.setattr(ngram_join, "_screened", recorded)
+    kept = ngram_join.keep_first(docs, 5, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+    assert len(moved) == 3  # copies, texts that can link, rows to go
+    for some, others in moved:
+        assert some + others == len(rows) and some <= 40
